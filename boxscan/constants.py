@@ -14,19 +14,11 @@ D_BOX_MISSING = "NNNN"
 C_MAX_SUBS = 3
 D_MAX_SUBS = 2
 
-# Where a C and a D box may be found (1-based nt of the window, inclusive).
-C_RANGE = (21, 82)
-D_RANGE = (113, 174)
-
 # IUPAC complement; S, W and N map to themselves.
 COMPLEMENT_FROM = "ACGTRYKMBDHV"
 COMPLEMENT_TO = "TGCAYRMKVHDB"
 
-# Savitzky-Golay weights for width 11 and order 2.  Row i of the edge table
-# gives the fitted value at point i of the first 11 points; the last points
-# of a signal use the same rows mirrored.
-SAVGOL_WIDTH = 11
-SAVGOL_CENTRE = ([-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36], 429)
+SAVGOL_WIDTH = 11     # smoothing fits a parabola to 11 points
 
 PEAK_HEIGHT = 0.005
 PEAK_DROP = 0.00001

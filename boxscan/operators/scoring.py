@@ -246,20 +246,21 @@ def bed_threshold(threshold: float | None = None) -> float:
 
 
 def score_windows(df: DataFrame, scorer: Scorer | None = None, seq: str = "window_seq") -> DataFrame:
-    """Adds ``p_pos``, ``p_top`` and ``label`` to a table of windows; no shuffle."""
+    """Adds ``p_pos``, ``p_top`` and ``label`` to a table of windows; no shuffle.
+
+    A window without a sequence is not scored and gets label 0.
+    """
     scorer = scorer or MotifScorer()
 
     @F.pandas_udf("l0 double, l1 double")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for seqs in batches:
-            codes = encode(seqs, scorer.width)
-            parts = [
-                scorer.logits(codes[i:i + scorer.batch_size])
-                for i in range(0, len(codes), scorer.batch_size)
-            ]
-            yield pd.DataFrame(
-                np.concatenate(parts) if parts else np.empty((0, 2)), columns=["l0", "l1"]
-            )
+            out = np.full((len(seqs), 2), np.nan)
+            asked = np.flatnonzero(seqs.notna().to_numpy())
+            codes = encode(seqs.iloc[asked], scorer.width)
+            for i in range(0, len(asked), scorer.batch_size):
+                out[asked[i:i + scorer.batch_size]] = scorer.logits(codes[i:i + scorer.batch_size])
+            yield pd.DataFrame(out, columns=["l0", "l1"])
 
     scored = df.withColumn("_l", logits(F.col(seq)))
     l0, l1 = F.col("_l.l0"), F.col("_l.l1")
