@@ -39,7 +39,7 @@ def occlusion(scorer: Scorer, seq: Column, k: int = K.KMER) -> Column:
             codes = encode(seqs, scorer.width)
             yield pd.Series([drops(row, len(s)) for row, s in zip(codes, seqs)], dtype=object)
 
-    return run(seq)
+    return run.asNondeterministic()(seq)
 
 
 def attribute(candidates: DataFrame, scorer: Scorer | None = None, k: int = K.KMER) -> DataFrame:

@@ -223,12 +223,16 @@ def find_boxes(attributed: DataFrame, width: int = K.WINDOW, min_box_dist: int =
                flank: int = K.FLANK) -> DataFrame:
     """All four boxes of each candidate with a ``signal``; one narrow pass."""
     c_range, d_range = box_ranges(width, min_box_dist, flank)
-    ready = attributed.withColumn("_smooth", savgol(framed(F.col("signal")))).withColumn(
+    # the frame is a column of its own: inlined, it would be rebuilt per lambda step
+    framed_signal = attributed.withColumn("_framed", framed(F.col("signal")))
+    ready = framed_signal.withColumn("_smooth", savgol(F.col("_framed"))).withColumn(
         "peaks", F.coalesce(peaks(F.col("_smooth")), F.array().cast("array<struct<pos:int,height:double>>"))
     )
     paired = pair_at_peaks(ready, c_range, d_range, width)
     limited = fill_limits(rescue_exact_d(paired, width, flank), width, flank)
-    return with_motifs(box_score(pair_primes(limited))).drop("_smooth", "_cd", "_dd", "peaks")
+    return with_motifs(box_score(pair_primes(limited))).drop(
+        "_framed", "_smooth", "_cd", "_dd", "peaks"
+    )
 
 
 def motif_distance(motif: Column, consensus: str) -> Column:

@@ -262,7 +262,9 @@ def score_windows(df: DataFrame, scorer: Scorer | None = None, seq: str = "windo
                 out[asked[i:i + scorer.batch_size]] = scorer.logits(codes[i:i + scorer.batch_size])
             yield pd.DataFrame(out, columns=["l0", "l1"])
 
-    scored = df.withColumn("_l", logits(F.col(seq)))
+    # "nondeterministic" keeps the optimizer from running the model once more
+    # for a filter on its result
+    scored = df.withColumn("_l", logits.asNondeterministic()(F.col(seq)))
     l0, l1 = F.col("_l.l0"), F.col("_l.l1")
     return (
         scored.withColumn("p_pos", p_class1(l0, l1))

@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16
+FASTA_FILES = "*.{fa,fasta}"
 
 _SUMMARY = "file string, block long, has_header boolean, last_name string, head_len long, tail_len long"
 _PIECES = "file string, block long, name string, offset long, bases string"
 
 
-def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+def fasta_lines(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -> DataFrame:
     """Raw lines with the file and split they come from, in split order per task."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     return (
-        spark.read.option("pathGlobFilter", "*.{fa,fasta}")
-        .option("recursiveFileLookup", "true")
-        .text(path)
+        reader.text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -104,9 +106,9 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=cols)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -> DataFrame:
     """``lines(contig, pos, bases)``: pieces of every entry with their 0-based offset."""
-    lines = fasta_lines(spark, path)
+    lines = fasta_lines(spark, path, glob)
     by_file = Window.partitionBy("file").orderBy("block")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     summary = lines.mapInPandas(_summaries, _SUMMARY)
@@ -145,10 +147,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def fasta_headers(spark: SparkSession, path: str) -> DataFrame:
+def fasta_headers(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -> DataFrame:
     """``headers(file, header, contig)``; ``contig`` is empty for a bare or spaced ``>``."""
     return (
-        fasta_lines(spark, path)
+        fasta_lines(spark, path, glob)
         .filter(F.col("value").startswith(">"))
         .select(
             "file",
