@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from boxscan import constants as K
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column expression that is used inside a lambda is otherwise evaluated
+    again for every element, which makes linear work quadratic.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def revcomp(seq: Column) -> Column:
     """Reverse complement, with ambiguity codes."""
     return F.reverse(F.translate(F.upper(seq), K.COMPLEMENT_FROM, K.COMPLEMENT_TO))
@@ -27,11 +37,14 @@ def cut(seq: Column, start: Column, end: Column) -> Column:
 
 def kmers(seq: Column, k: int = K.KMER) -> Column:
     """Overlapping k-mers as an array; empty when the sequence is shorter than k."""
-    n = F.length(seq) - (k - 1)
-    return F.when(
-        n >= 1,
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(seq, i, F.lit(k))),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def every(s):
+        n = F.length(s) - (k - 1)
+        return F.when(
+            n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(s, i, F.lit(k)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    return bind(seq, every)
 
 
 def kmer_tokens(seq: Column, k: int = K.KMER) -> Column:
@@ -62,13 +75,16 @@ def kmer_to_nt(scores: Column, length: Column, k: int = K.KMER) -> Column:
     nucleotide near an end is covered by fewer than k.
     """
 
-    def mean_at(i):
-        lo = F.greatest(i - (k - 1), F.lit(1))
-        hi = F.least(i, length - (k - 1))
-        part = F.slice(scores, lo, hi - lo + 1)
-        total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-        return total / (hi - lo + 1)
+    def every(values):
+        def mean_at(i):
+            lo = F.greatest(i - (k - 1), F.lit(1))
+            hi = F.least(i, length - (k - 1))
+            part = F.slice(values, lo, hi - lo + 1)
+            total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+            return total / (hi - lo + 1)
+
+        return F.when(
+            length >= k, F.transform(F.sequence(F.lit(1), length), mean_at)
+        ).otherwise(F.array().cast("array<double>"))
 
-    return F.when(
-        length >= k, F.transform(F.sequence(F.lit(1), length), mean_at)
-    ).otherwise(F.array().cast("array<double>"))
+    return bind(scores, every)

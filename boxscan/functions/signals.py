@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
+from boxscan.functions.sequences import bind
 
 HALF = K.SAVGOL_WIDTH // 2
 DIGITS = 9   # rounding after the last operation makes equal heights equal
@@ -37,33 +38,41 @@ def framed(values: Column) -> Column:
 
 def savgol(values: Column) -> Column:
     """Smoothed array; the five points at either end come from the outermost fits."""
-    n = F.size(values)
 
-    def window(first: Column) -> list[Column]:
-        return [F.get(values, first + j) for j in range(K.SAVGOL_WIDTH)]
+    def smooth(v):
+        n = F.size(v)
 
-    def edge(first: Column, points: range) -> Column:
-        return F.array(*[weighted(window(first), savgol_weights(at)) for at in points])
+        def window(first: Column) -> list[Column]:
+            return [F.get(v, first + j) for j in range(K.SAVGOL_WIDTH)]
 
-    middle = F.transform(
-        F.sequence(F.lit(0), n - K.SAVGOL_WIDTH), lambda i: weighted(window(i), savgol_weights())
-    )
-    smooth = F.concat(
-        edge(F.lit(0), range(-HALF, 0)), middle,
-        edge(n - K.SAVGOL_WIDTH, range(1, HALF + 1)),
-    )
-    return F.when(n >= K.SAVGOL_WIDTH, smooth)
+        def edge(first: Column, points: range) -> Column:
+            return F.array(*[weighted(window(first), savgol_weights(at)) for at in points])
+
+        middle = F.transform(
+            F.sequence(F.lit(0), n - K.SAVGOL_WIDTH), lambda i: weighted(window(i), savgol_weights())
+        )
+        whole = F.concat(
+            edge(F.lit(0), range(-HALF, 0)), middle,
+            edge(n - K.SAVGOL_WIDTH, range(1, HALF + 1)),
+        )
+        return F.when(n >= K.SAVGOL_WIDTH, whole)
+
+    return bind(values, smooth)
 
 
 def peaks(smoothed: Column) -> Column:
     """``array<struct<pos, height>>`` of local maxima; pos is the 0-based array index."""
-    n = F.size(smoothed)
 
-    def is_peak(i):
-        here = F.get(smoothed, i)
-        drop = F.least(here - F.get(smoothed, i - 1), here - F.get(smoothed, i + 1))
-        return (here >= K.PEAK_HEIGHT) & (F.round(drop, DIGITS) >= K.PEAK_DROP)
+    def find(v):
+        n = F.size(v)
+
+        def is_peak(i):
+            here = F.get(v, i)
+            drop = F.least(here - F.get(v, i - 1), here - F.get(v, i + 1))
+            return (here >= K.PEAK_HEIGHT) & (F.round(drop, DIGITS) >= K.PEAK_DROP)
+
+        at = F.filter(F.sequence(F.lit(1), n - 2), is_peak)
+        found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(v, i).alias("height")))
+        return F.when(n >= 3, found)
 
-    at = F.filter(F.sequence(F.lit(1), n - 2), is_peak)
-    found = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get(smoothed, i).alias("height")))
-    return F.when(n >= 3, found)
+    return bind(smoothed, find)

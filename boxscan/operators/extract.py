@@ -57,6 +57,7 @@ def long_sequences_at(
             ).alias("_tile"),
         )
         .join(lake, ["contig", "_tile"])
+        .filter(lo < hi)
         .select(
             *key, "strand", lo.alias("at"),
             F.substr("seq", (lo - F.col("tile_start") + 1).cast("int"), (hi - lo).cast("int")).alias("bases"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
+from boxscan.functions.sequences import bind
 
 # Pair energies; T stands for U.
 PAIR_ENERGY = {"GC": -3, "CG": -3, "AT": -2, "TA": -2, "GT": -1, "TG": -1}
@@ -26,12 +27,17 @@ def pair_energy(a: Column, b: Column) -> Column:
 
 def duplex_energy(left: Column, right: Column) -> Column:
     """Summed pair energy of ``left[i]`` with ``right[n-1-i]``."""
-    n = F.least(F.length(left), F.length(right))
-    terms = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: pair_energy(F.substr(left, i, F.lit(1)), F.substr(right, F.length(right) - i + 1, F.lit(1))),
-    )
-    return F.when(n >= 1, F.aggregate(terms, F.lit(0), lambda a, x: a + x)).otherwise(0).cast("double")
+
+    def total(x):
+        a, b = x["a"], x["b"]
+        n = F.least(F.length(a), F.length(b))
+        terms = F.transform(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+            lambda i: pair_energy(F.substr(a, i, F.lit(1)), F.substr(b, F.length(b) - i + 1, F.lit(1))),
+        )
+        return F.when(n >= 1, F.aggregate(terms, F.lit(0), lambda s, t: s + t)).otherwise(0).cast("double")
+
+    return bind(F.struct(left.alias("a"), right.alias("b")), total)
 
 
 def hairpin_energy(seq: Column) -> Column:
@@ -42,14 +48,19 @@ def hairpin_energy(seq: Column) -> Column:
 
 def pairing_string(left: Column, right: Column) -> Column:
     """Dots and brackets of the left flank, read away from the C box."""
-    n = F.least(F.length(left), F.length(right))
-    marks = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda j: F.when(
-            pair_energy(F.substr(left, F.length(left) - j + 1, F.lit(1)), F.substr(right, j, F.lit(1))) < 0, "("
-        ).otherwise("."),
-    )
-    return F.when(n >= 1, F.array_join(marks, "")).otherwise("")
+
+    def marks(x):
+        a, b = x["a"], x["b"]
+        n = F.least(F.length(a), F.length(b))
+        each = F.transform(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+            lambda j: F.when(
+                pair_energy(F.substr(a, F.length(a) - j + 1, F.lit(1)), F.substr(b, j, F.lit(1))) < 0, "("
+            ).otherwise("."),
+        )
+        return F.when(n >= 1, F.array_join(each, "")).otherwise("")
+
+    return bind(F.struct(left.alias("a"), right.alias("b")), marks)
 
 
 def stem_length_score(pairing: Column, width: int = K.FLANK) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import hamming, hamming_at
+from boxscan.functions.sequences import bind, hamming, hamming_at
 from boxscan.functions.signals import framed, peaks, savgol
 
 LEN_C, LEN_D = len(K.C_BOX), len(K.D_BOX)
@@ -37,16 +37,19 @@ def d_distances(seq: Column) -> Column:
 
 
 def _distances(seq: Column, box: str, sign: int) -> Column:
-    n = F.length(seq) - (len(box) - 1)
-    return F.when(
-        n >= 1,
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(
-                hamming_at(seq, i, box).cast("int").alias("dist"), (i * sign).cast("int").alias("start")
+    def every(s):
+        n = F.length(s) - (len(box) - 1)
+        return F.when(
+            n >= 1,
+            F.transform(
+                F.sequence(F.lit(1), n),
+                lambda i: F.struct(
+                    hamming_at(s, i, box).cast("int").alias("dist"), (i * sign).cast("int").alias("start")
+                ),
             ),
-        ),
-    ).otherwise(F.array().cast(f"array<{BOX}>"))
+        ).otherwise(F.array().cast(f"array<{BOX}>"))
+
+    return bind(seq, every)
 
 
 def _best(distances: Column, lo: Column, hi: Column, size: int, most: int, sign: int) -> Column:
@@ -223,16 +226,12 @@ def find_boxes(attributed: DataFrame, width: int = K.WINDOW, min_box_dist: int =
                flank: int = K.FLANK) -> DataFrame:
     """All four boxes of each candidate with a ``signal``; one narrow pass."""
     c_range, d_range = box_ranges(width, min_box_dist, flank)
-    # the frame is a column of its own: inlined, it would be rebuilt per lambda step
-    framed_signal = attributed.withColumn("_framed", framed(F.col("signal")))
-    ready = framed_signal.withColumn("_smooth", savgol(F.col("_framed"))).withColumn(
+    ready = attributed.withColumn("_smooth", savgol(framed(F.col("signal")))).withColumn(
         "peaks", F.coalesce(peaks(F.col("_smooth")), F.array().cast("array<struct<pos:int,height:double>>"))
     )
     paired = pair_at_peaks(ready, c_range, d_range, width)
     limited = fill_limits(rescue_exact_d(paired, width, flank), width, flank)
-    return with_motifs(box_score(pair_primes(limited))).drop(
-        "_framed", "_smooth", "_cd", "_dd", "peaks"
-    )
+    return with_motifs(box_score(pair_primes(limited))).drop("_smooth", "_cd", "_dd", "peaks")
 
 
 def motif_distance(motif: Column, consensus: str) -> Column:

@@ -608,9 +608,11 @@ ORACLE: dict[str, str] = {
     "missing_contigs": query([CONTIGS, PEAKS],
         "SELECT contig, count(*) AS n_peaks FROM peaks WHERE contig NOT IN (SELECT contig FROM contigs) GROUP BY contig"),
     "reverse_complement": query([CONTIGS], f"SELECT contig, {revcomp('seq')} AS rc FROM contigs"),
-    "kmer_tokens": query([CONTIGS],
-        "SELECT contig, greatest(len - 5, 0) AS n_tokens, md5(coalesce(array_to_string(list_transform("
-        "range(1, len - 4), lambda i: substr(seq, i, 6)), ' '), '')) AS digest FROM contigs"),
+    "kmer_tokens": query([CONTIGS, """parts AS MATERIALIZED (
+      SELECT contig, t AS tile, substr(seq, t * 4096 + 1, 4101) AS part
+      FROM (SELECT *, unnest(range(0, (len - 1) // 4096 + 1)) AS t FROM contigs WHERE len > 0))"""],
+        "SELECT contig, tile, greatest(length(part) - 5, 0) AS n_tokens, md5(coalesce(array_to_string(list_transform("
+        "range(1, length(part) - 4), lambda i: substr(part, i, 6)), ' '), '')) AS digest FROM parts"),
     "kmer_counts": query([CONTIGS],
         "SELECT substr(seq, i, 6) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, len - 4)) AS i "
         "FROM contigs) GROUP BY 1"),
@@ -673,12 +675,13 @@ ORACLE: dict[str, str] = {
         'SELECT contig, start, "end", gene_id, strand, p_pos, p_top, label FROM scored_peaks'),
     "bed_candidates": query(peak_candidates(0.9),
         'SELECT contig, start, "end", strand, score, window_seq, gene_id FROM cand'),
-    "kmer_to_nt": query([CONTIGS, """vals AS MATERIALIZED (
-      SELECT contig, len, m, CASE WHEN substr(seq, m + 1, 1) = 'A' THEN 4.0 WHEN substr(seq, m + 6, 1) = 'C' THEN 1.0 ELSE 2.0 END AS v
-      FROM (SELECT *, unnest(range(0, greatest(len - 5, 0))) AS m FROM contigs)
+    "kmer_to_nt": query([*PREPARED, """vals AS MATERIALIZED (
+      SELECT gene_id, strand, m, CASE WHEN substr(window_seq, m + 1, 1) = 'A' THEN 4.0 WHEN substr(window_seq, m + 6, 1) = 'C' THEN 1.0 ELSE 2.0 END AS v
+      FROM (SELECT *, unnest(range(0, greatest(length(window_seq) - 5, 0))) AS m FROM prepared_seq)
     ), spots AS MATERIALIZED (
-      SELECT contig, m + d AS pos, avg(v) AS s FROM (SELECT *, unnest(range(0, 6)) AS d FROM vals) GROUP BY contig, m + d)"""],
-        "SELECT contig, count(*) AS n, round(sum(s), 4) AS total, round(sum(s * (pos % 7)), 4) AS checksum FROM spots GROUP BY contig"),
+      SELECT gene_id, strand, m + d AS pos, avg(v) AS s FROM (SELECT *, unnest(range(0, 6)) AS d FROM vals) GROUP BY ALL)"""],
+        "SELECT gene_id, strand, count(*) AS n, round(sum(s), 4) AS total, round(sum(s * (pos % 7)), 4) AS checksum "
+        "FROM spots GROUP BY gene_id, strand"),
     "savgol_events": query([_EVENTS, _EV_SMOOTH], "SELECT id, seq_no, pos, n, round(s, 6) AS smoothed FROM evs"),
     "peaks_events": query([_EVENTS, _EV_SMOOTH],
         f"""SELECT id, seq_no, pos, round(s, 6) AS smoothed FROM (

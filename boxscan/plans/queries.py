@@ -23,6 +23,7 @@ from boxscan.sources.fasta import contig_sizes, read_fasta
 SCAN = 0.9     # threshold of the interval queries
 GENES = 0.99   # threshold of the per-candidate queries
 SMALL_TILE = 500
+KMER_TILE = 1 << 12
 
 
 def lake(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,18 +126,21 @@ def q_reverse_complement(spark, folder):
     return tables.document_contigs(spark, folder).select("contig", S.revcomp(F.col("seq")).alias("rc"))
 
 
+def kmer_tiles(spark, folder, k=K.KMER):
+    """Small tiles whose halo completes the last k-mer, so no contig is one row."""
+    return tiles.tile_sequences(tables.document_contigs(spark, folder), KMER_TILE, k - 1)
+
+
 def q_kmer_tokens(spark, folder):
     seq = F.col("seq")
-    return tables.document_contigs(spark, folder).select(
-        "contig", F.size(S.kmers(seq)).alias("n_tokens"), F.md5(S.kmer_tokens(seq)).alias("digest")
+    return kmer_tiles(spark, folder).select(
+        "contig", "tile", F.size(S.kmers(seq)).alias("n_tokens"), F.md5(S.kmer_tokens(seq)).alias("digest")
     )
 
 
 def q_kmer_counts(spark, folder):
-    """k-mers are read from tiles with a halo of k - 1, so no contig is one row."""
-    cut = tiles.tile_sequences(tables.document_contigs(spark, folder), halo=K.KMER - 1)
     return (
-        cut.select(F.explode(S.kmers(F.col("seq"))).alias("kmer"))
+        kmer_tiles(spark, folder).select(F.explode(S.kmers(F.col("seq"))).alias("kmer"))
         .groupBy("kmer").agg(F.count("*").alias("n"))
     )
 
@@ -176,21 +180,15 @@ def q_lift_tiles(spark, folder):
 
 
 def q_motif_hamming(spark, folder):
-    cut = tiles.tile_sequences(tables.document_contigs(spark, folder), halo=6)
-    found = cut.select(F.explode(F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.length("seq")),
-            lambda i: F.struct(
-                F.substr("seq", i, F.lit(7)).alias("k7"),
-                (F.col("tile_start") + i <= F.col("tile_end")).alias("mine"),
-            ),
-        ),
-        lambda x: x["mine"] & (F.length(x["k7"]) == 7),
-    )).alias("x"))
-    k7 = F.col("x.k7")
-    return found.groupBy(
+    """Distances of every 7-mer to both boxes; k-mers are counted before they are measured."""
+    counted = (
+        kmer_tiles(spark, folder, 7).select(F.explode(S.kmers(F.col("seq"), 7)).alias("k7"))
+        .groupBy("k7").agg(F.count("*").alias("n"))
+    )
+    k7 = F.col("k7")
+    return counted.groupBy(
         S.hamming(k7, K.C_BOX).alias("c_dist"), S.hamming(k7, K.D_BOX).alias("d_dist")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.sum("n").alias("n"))
 
 
 # --- scoring and intervals -----------------------------------------------
@@ -313,18 +311,18 @@ def q_bed_candidates(spark, folder):
 # --- signals -------------------------------------------------------------
 
 def q_kmer_to_nt(spark, folder):
-    """A value per 6-mer (its C-box-like distance) spread over nucleotides."""
-    n = F.col("length").cast("int")
+    """A value per 6-mer of each prepared peak window, spread over its nucleotides."""
     values = F.transform(
-        S.kmers(F.col("seq")),
-        lambda k: F.lit(0.0) + F.when(F.substr(k, F.lit(1), F.lit(1)) == "A", 4).otherwise(
-            F.when(F.substr(k, F.lit(6), F.lit(1)) == "C", 1).otherwise(2)),
+        S.kmers(F.col("window_seq")),
+        lambda k: F.when(F.substr(k, F.lit(1), F.lit(1)) == "A", 4.0)
+        .when(F.substr(k, F.lit(6), F.lit(1)) == "C", 1.0).otherwise(2.0),
     )
-    per_nt = tables.document_contigs(spark, folder).withColumn("_v", values).withColumn(
-        "nt", S.kmer_to_nt(F.col("_v"), n))
-    return per_nt.select("contig", F.posexplode("nt")).groupBy("contig").agg(
-        F.count("*").alias("n"), F.round(F.sum("col"), 4).alias("total"),
-        F.round(F.sum(F.col("col") * F.pmod("pos", F.lit(7))), 4).alias("checksum"),
+    return _prepared_windows(spark, folder).select(
+        "gene_id", "strand",
+        F.posexplode(S.kmer_to_nt(values, F.length("window_seq"))).alias("pos", "v"),
+    ).groupBy("gene_id", "strand").agg(
+        F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"),
+        F.round(F.sum(F.col("v") * F.pmod("pos", F.lit(7))), 4).alias("checksum"),
     )
 
 
@@ -351,11 +349,8 @@ def q_occlusion_attribution(spark, folder):
 
 
 def q_candidate_peaks(spark, folder):
-    smooth = (
-        attributed(spark, folder).withColumn("_framed", framed(F.col("signal")))
-        .withColumn("_smooth", savgol(F.col("_framed")))
-    )
-    return smooth.select("gene_id", F.inline(peaks(F.col("_smooth")))).select(
+    found = peaks(savgol(framed(F.col("signal"))))
+    return attributed(spark, folder).select("gene_id", F.inline(found)).select(
         "gene_id", "pos", F.round("height", 7).alias("height"))
 
 
