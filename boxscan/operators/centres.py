@@ -10,7 +10,7 @@ from boxscan.functions.intervals import centre_end, centre_start
 from boxscan.operators.extract import sequences_at
 from boxscan.operators.scoring import Scorer, score_windows
 from boxscan.operators.tiles import HALO, TILE
-from boxscan.session import stage
+from boxscan.session import stage, task_count
 
 PLACE = ["contig", "start", "end", "strand"]
 
@@ -99,7 +99,8 @@ def number_rows(df: DataFrame, order: list[str], column: str = "row_number") ->
     """
     spot = F.monotonically_increasing_id()
     laid = stage(
-        df.repartitionByRange(*order)
+        # a fixed count, so that the costly steps per row that follow stay spread
+        df.repartitionByRange(task_count(df.sparkSession), *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.shiftright(spot, 33))
         .withColumn("_rank", spot.bitwiseAND(F.lit((1 << 33) - 1))),

@@ -28,34 +28,34 @@ GENE_COLUMNS = [
 def gene_limits(boxed: DataFrame) -> DataFrame:
     """Adds the gene interval and its two sequences.
 
-    ``c_start`` and ``d_end`` count along the strand, the interval does not:
+    ``c_limit`` and ``d_limit`` count along the strand, the interval does not:
     on the minus strand the window end is where counting begins.
     """
     seq = F.col("window_seq")
     size = F.length(seq)
-    lo = F.greatest(F.col("c_start") - MARGIN - 1, F.lit(0))
-    hi = F.least(F.col("d_end") + MARGIN, size)
+    lo = F.greatest(F.col("c_limit") - MARGIN - 1, F.lit(0))
+    hi = F.least(F.col("d_limit") + MARGIN, size)
     minus = F.col("strand") == "-"
     return (
-        boxed.withColumn("gene_start", F.when(minus, F.col("end") - hi).otherwise(F.col("start") + lo))
-        .withColumn("gene_end", F.when(minus, F.col("end") - lo).otherwise(F.col("start") + hi))
-        .withColumn("_origin", lo)
-        .withColumn("predicted_sequence", cut(seq, lo, hi))
-        .withColumn("predicted_extended_sequence",
-                    cut(seq, lo - EXTENSION, F.least(hi + EXTENSION, size)))
+        boxed.withColumns({
+            "gene_start": F.when(minus, F.col("end") - hi).otherwise(F.col("start") + lo),
+            "gene_end": F.when(minus, F.col("end") - lo).otherwise(F.col("start") + hi),
+            "_origin": lo,
+            "predicted_sequence": cut(seq, lo, hi),
+            "predicted_extended_sequence": cut(seq, lo - EXTENSION, F.least(hi + EXTENSION, size)),
+        })
     )
 
 
 def rebase(limited: DataFrame) -> DataFrame:
     """Box columns counted within the gene (1-based); a missing box has positions 0."""
+    columns = {}
     for name, (box, size) in BOXES.items():
         at = F.col(f"{box}.start") - F.col("_origin")
-        limited = (
-            limited.withColumn(f"{name}_MOTIF", F.coalesce(F.col(f"{box}.motif"), F.lit("N" * size)))
-            .withColumn(f"{name}_START", F.coalesce(at, F.lit(0)).cast("int"))
-            .withColumn(f"{name}_END", F.coalesce(at + size - 1, F.lit(0)).cast("int"))
-        )
-    return limited
+        columns[f"{name}_MOTIF"] = F.coalesce(F.col(f"{box}.motif"), F.lit("N" * size))
+        columns[f"{name}_START"] = F.coalesce(at, F.lit(0)).cast("int")
+        columns[f"{name}_END"] = F.coalesce(at + size - 1, F.lit(0)).cast("int")
+    return limited.withColumns(columns)
 
 
 def gene_table(boxed: DataFrame) -> DataFrame:

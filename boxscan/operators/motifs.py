@@ -36,6 +36,12 @@ def d_distances(seq: Column) -> Column:
     return _distances(seq, K.D_BOX, -1)
 
 
+def with_distances(df: DataFrame) -> DataFrame:
+    """Adds both distance arrays of ``window_seq``, used by every search below."""
+    seq = F.col("window_seq")
+    return df.withColumns({"_cd": c_distances(seq), "_dd": d_distances(seq)})
+
+
 def _distances(seq: Column, box: str, sign: int) -> Column:
     def every(s):
         n = F.length(s) - (len(box) - 1)
@@ -115,14 +121,14 @@ def pair_at_peaks(df: DataFrame, c_range=None, d_range=None, width: int = K.WIND
     done = first["c"].isNotNull() & first["d"].isNotNull()
     best = F.when(done, first).otherwise(any_pass)
     return (
-        df.withColumn("_cd", c_distances(F.col("window_seq")))
-        .withColumn("_dd", d_distances(F.col("window_seq")))
+        with_distances(df)
         .withColumn("_offers", offers)
-        .withColumn("_first", F.array_min(F.filter("_offers", lambda o: o["lenient"] == 0)))
-        .withColumn("_any", F.array_min("_offers"))
+        .withColumns({
+            "_first": F.array_min(F.filter("_offers", lambda o: o["lenient"] == 0)),
+            "_any": F.array_min("_offers"),
+        })
         .withColumn("_best", best)
-        .withColumn("c", F.col("_best.c"))
-        .withColumn("d", F.col("_best.d"))
+        .withColumns({"c": F.col("_best.c"), "d": F.col("_best.d")})
         .drop("_offers", "_first", "_any", "_best")
     )
 
@@ -136,13 +142,12 @@ def rescue_exact_d(df: DataFrame, width: int = K.WINDOW, flank: int = K.FLANK, s
 
 
 def fill_limits(df: DataFrame, width: int = K.WINDOW, flank: int = K.FLANK) -> DataFrame:
-    """Adds ``c_start`` and ``d_end``: found, mirrored from the other box, or the default."""
+    """Adds ``c_limit`` and ``d_limit``: found, mirrored from the other box, or the default."""
     c_start, d_end = F.col("c.start"), F.col("d.start") + LEN_D - 1
-    return df.withColumn(
-        "c_start", F.coalesce(c_start, mirror(d_end, width), F.lit(flank)).cast("int")
-    ).withColumn(
-        "d_end", F.coalesce(d_end, mirror(c_start, width), F.lit(width - flank)).cast("int")
-    )
+    return df.withColumns({
+        "c_limit": F.coalesce(c_start, mirror(d_end, width), F.lit(flank)).cast("int"),
+        "d_limit": F.coalesce(d_end, mirror(c_start, width), F.lit(width - flank)).cast("int"),
+    })
 
 
 def pair_primes(df: DataFrame) -> DataFrame:
@@ -164,11 +169,10 @@ def pair_primes(df: DataFrame) -> DataFrame:
             lambda x: F.struct(x["dist"].alias("dist"), (x["start"] * sign).alias("start")),
         )
 
-    spots = df.withColumn(
-        "_cs", inside(F.col("_cd"), middle, F.col("d_end") - LEN_D - 10, LEN_C, K.C_MAX_SUBS, 1)
-    ).withColumn(
-        "_ds", inside(F.col("_dd"), F.col("c_start") + LEN_C + 10, middle, LEN_D, K.D_MAX_SUBS, -1)
-    )
+    spots = df.withColumns({
+        "_cs": inside(F.col("_cd"), middle, F.col("d_limit") - LEN_D - 10, LEN_C, K.C_MAX_SUBS, 1),
+        "_ds": inside(F.col("_dd"), F.col("c_limit") + LEN_C + 10, middle, LEN_D, K.D_MAX_SUBS, -1),
+    })
 
     def first_d(dist):
         return F.array_min(F.filter("_ds", lambda x: x["dist"] == dist))
@@ -178,8 +182,7 @@ def pair_primes(df: DataFrame) -> DataFrame:
             F.filter("_cs", lambda x: (x["dist"] == dist) & (x["start"] >= d["start"] + LEN_D + 1))
         )
 
-    for dist in range(K.D_MAX_SUBS + 1):
-        spots = spots.withColumn(f"_d{dist}", first_d(dist))
+    spots = spots.withColumns({f"_d{dist}": first_d(dist) for dist in range(K.D_MAX_SUBS + 1)})
     order = sorted(
         ((x + y, x, y) for x in range(K.D_MAX_SUBS + 1) for y in range(K.C_MAX_SUBS + 1))
     )
@@ -195,8 +198,7 @@ def pair_primes(df: DataFrame) -> DataFrame:
     )
     return (
         spots.withColumn("_pair", F.coalesce(*pairs, alone))
-        .withColumn("c_prime", F.col("_pair.c"))
-        .withColumn("d_prime", F.col("_pair.d"))
+        .withColumns({"c_prime": F.col("_pair.c"), "d_prime": F.col("_pair.d")})
         .drop("_cs", "_ds", "_pair", *[f"_d{x}" for x in range(K.D_MAX_SUBS + 1)])
     )
 
@@ -205,21 +207,23 @@ def box_score(df: DataFrame) -> DataFrame:
     """Adds the distances of the four boxes (their length where missing) and the sum."""
     parts = {"score_c": ("c", LEN_C), "score_d": ("d", LEN_D),
              "score_c_prime": ("c_prime", LEN_C), "score_d_prime": ("d_prime", LEN_D)}
-    for name, (box, size) in parts.items():
-        df = df.withColumn(name, F.coalesce(F.col(f"{box}.dist"), F.lit(size)))
+    df = df.withColumns({
+        name: F.coalesce(F.col(f"{box}.dist"), F.lit(size)) for name, (box, size) in parts.items()
+    })
     return df.withColumn("box_score", reduce(lambda a, b: a + b, [F.col(n) for n in parts]))
 
 
 def with_motifs(df: DataFrame) -> DataFrame:
     """Box structs as ``struct<motif, start, end, dist>``, null where not found."""
+    printed = {}
     for box, size in (("c", LEN_C), ("d", LEN_D), ("c_prime", LEN_C), ("d_prime", LEN_D)):
         at = F.col(f"{box}.start")
         full = F.struct(
             F.substr("window_seq", at, F.lit(size)).alias("motif"), at.alias("start"),
             (at + size - 1).alias("end"), F.col(f"{box}.dist").alias("dist"),
         )
-        df = df.withColumn(box, F.when(at.isNotNull(), full))
-    return df
+        printed[box] = F.when(at.isNotNull(), full)
+    return df.withColumns(printed)
 
 
 def find_boxes(attributed: DataFrame, width: int = K.WINDOW, min_box_dist: int = K.MIN_BOX_DIST,

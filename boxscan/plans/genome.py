@@ -24,7 +24,7 @@ from boxscan.operators.scoring import (
     MotifScorer, Scorer, StemScorer, above, bed_threshold, refine, scan, scan_threshold, score_windows,
 )
 from boxscan.operators.tiles import HALO, TILE
-from boxscan.session import stage
+from boxscan.session import stage, task_count
 from boxscan.sinks.formats import write
 from boxscan.sinks.tables import final_table
 
@@ -99,7 +99,8 @@ def candidates_of_peaks(
     threshold = bed_threshold(params.prob_first_model)
     read = sequences_at(prepare_peaks(peaks, sizes), tiles, params.tile_size)
     scored = score_windows(read, params.first_model)
-    return scored.filter((F.col("label") == 1) & (F.col("p_top") > threshold)).select(
+    # attribution scores each candidate some 190 times: spread the few rows first
+    return scored.repartition(task_count(peaks.sparkSession), "gene_id").filter((F.col("label") == 1) & (F.col("p_top") > threshold)).select(
         "contig", "start", "end", "strand", F.col("p_top").alias("score"),
         F.col("gene_id").alias("block_id"), F.col("start").alias("block_start"),
         F.col("end").alias("block_end"), "window_seq", "gene_id",

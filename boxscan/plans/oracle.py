@@ -465,7 +465,7 @@ def stem_score(mark: str) -> str:
 
 FEATURES = f"""featured AS MATERIALIZED (
       SELECT *, round(ge / length(predicted_sequence), 2) AS normalized_sno_stability,
-             se * stem AS terminal_combined, round(se * stem, 2) AS terminal_stem_score
+             se * stem AS terminal_combined, round(se * stem, 2) + 0.0 AS terminal_stem_score
       FROM (SELECT *, {stem_score('mark')} AS stem FROM (
         SELECT *, {pairing('lf', 'rf', 'least(length(lf), length(rf))')} AS mark,
                {duplex('lf', 'rf', 'length(rf)')} AS se,

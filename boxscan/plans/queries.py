@@ -359,9 +359,7 @@ def q_candidate_peaks(spark, folder):
 def q_fuzzy_boxes(spark, folder):
     """Leftmost best C, rightmost best D and exact D in their ranges of each window."""
     (c_lo, c_hi), (d_lo, d_hi) = motifs.box_ranges()
-    ready = candidates(spark, folder).withColumn(
-        "_cd", motifs.c_distances(F.col("window_seq"))
-    ).withColumn("_dd", motifs.d_distances(F.col("window_seq")))
+    ready = motifs.with_distances(candidates(spark, folder))
     lit = F.lit
     return ready.select(
         "gene_id",
@@ -381,17 +379,14 @@ def q_boxes(spark, folder):
         F.col(f"{box}.{part}").alias(f"{box}_{part}")
         for box in ("c", "d", "c_prime", "d_prime") for part in ("motif", "start", "dist")
     ]
-    return out.select("gene_id", *cols, F.col("c_start").alias("c_limit"),
-                      F.col("d_end").alias("d_limit"), "box_score")
+    return out.select("gene_id", *cols, "c_limit", "d_limit", "box_score")
 
 
 def q_prime_pairs(spark, folder):
     """C'/D' of every prepared peak window, between fixed box limits."""
     ready = (
-        _prepared_windows(spark, folder)
-        .withColumn("_cd", motifs.c_distances(F.col("window_seq")))
-        .withColumn("_dd", motifs.d_distances(F.col("window_seq")))
-        .withColumn("c_start", F.lit(25)).withColumn("d_end", F.lit(170))
+        motifs.with_distances(_prepared_windows(spark, folder))
+        .withColumns({"c_limit": F.lit(25), "d_limit": F.lit(170)})
     )
     return motifs.pair_primes(ready).select(
         "gene_id", "strand",
@@ -429,7 +424,7 @@ def q_structure_features(spark, folder):
 
 def q_stem_flanks(spark, folder):
     """Flanks before C and after D, taken from the window, of every gene."""
-    left, right = features.box_flanks(F.col("window_seq"), F.col("c_start"), F.col("d_end"))
+    left, right = features.box_flanks(F.col("window_seq"), F.col("c_limit"), F.col("d_limit"))
     return boxed(spark, folder).select(
         "gene_id", left.alias("left_flank"), right.alias("right_flank"),
         features.stem_length_score(features.pairing_string(left, right)).alias("stem_length_score"),

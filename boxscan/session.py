@@ -47,3 +47,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all tasks when a table has fewer splits than there are cores.
+
+    Only for plain table reads, whose split count is known without running
+    anything.  A large table is left as it is: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

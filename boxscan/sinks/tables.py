@@ -22,12 +22,12 @@ INTEGERS = ["box_score", *[c for c in BOX_COLUMNS if not c.endswith("MOTIF")]]
 
 def final_table(genes: DataFrame, minimal: bool = False) -> DataFrame:
     """24 columns, or 20 when only the first model was run; positions as integers."""
-    out = genes.withColumnRenamed("contig", "chr").select(*(MINIMAL if minimal else FULL))
-    for name in INTEGERS:
-        out = out.withColumn(name, F.col(name).cast("int"))
-    for name in ("start", "end"):
-        out = out.withColumn(name, F.col(name).cast("long"))
-    return out
+    types = {**dict.fromkeys(INTEGERS, "int"), "start": "long", "end": "long"}
+    named = genes.withColumnRenamed("contig", "chr")
+    return named.select(*[
+        F.col(name).cast(types[name]).alias(name) if name in types else F.col(name)
+        for name in (MINIMAL if minimal else FULL)
+    ])
 
 
 def is_minimal(final: DataFrame) -> bool:

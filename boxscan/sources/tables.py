@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxscan.session import spread_small
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAN"
 
@@ -13,11 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_small(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 def document_contigs(spark: SparkSession, folder: str) -> DataFrame:
     """``contigs(contig, seq, length)``: the letters of each text spelled as bases."""
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .select(
             F.col("doc_id").cast("string").alias("contig"),
             F.translate(letters, LETTERS, BASES).alias("seq"),
@@ -40,7 +46,7 @@ def document_peaks(spark: SparkSession, folder: str) -> DataFrame:
     width = 50 + F.pmod(doc * 31 + k * 17, F.lit(351))
     twin = k - F.when(F.pmod(doc + k, F.lit(13)) == 12, F.least(k, F.lit(1))).otherwise(0)
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .select("doc_id", n.alias("length"))
         .select(
             "doc_id", "length",
