@@ -609,8 +609,8 @@ ORACLE: dict[str, str] = {
         "SELECT contig, count(*) AS n_peaks FROM peaks WHERE contig NOT IN (SELECT contig FROM contigs) GROUP BY contig"),
     "reverse_complement": query([CONTIGS], f"SELECT contig, {revcomp('seq')} AS rc FROM contigs"),
     "kmer_tokens": query([CONTIGS, """parts AS MATERIALIZED (
-      SELECT contig, t AS tile, substr(seq, t * 4096 + 1, 4101) AS part
-      FROM (SELECT *, unnest(range(0, (len - 1) // 4096 + 1)) AS t FROM contigs WHERE len > 0))"""],
+      SELECT contig, t AS tile, substr(seq, t * 256 + 1, 261) AS part
+      FROM (SELECT *, unnest(range(0, (len - 1) // 256 + 1)) AS t FROM contigs WHERE len > 0))"""],
         "SELECT contig, tile, greatest(length(part) - 5, 0) AS n_tokens, md5(coalesce(array_to_string(list_transform("
         "range(1, length(part) - 4), lambda i: substr(part, i, 6)), ' '), '')) AS digest FROM parts"),
     "kmer_counts": query([CONTIGS],

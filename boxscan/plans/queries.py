@@ -13,7 +13,7 @@ from boxscan.operators import motifs, rules, scoring, signals, tiles, windows
 from boxscan.operators import peaks as bed
 from boxscan.operators.extract import long_sequences_at, sequences_at, slop
 from boxscan.plans import genome
-from boxscan.session import new_folder, stage
+from boxscan.session import new_folder, stage, task_count
 from boxscan.sinks import formats
 from boxscan.sinks.tables import final_table
 from boxscan.sources import tables
@@ -23,7 +23,7 @@ from boxscan.sources.fasta import contig_sizes, read_fasta
 SCAN = 0.9     # threshold of the interval queries
 GENES = 0.99   # threshold of the per-candidate queries
 SMALL_TILE = 500
-KMER_TILE = 1 << 12
+KMER_TILE = 1 << 8   # short strings: reading a k-mer costs its offset
 
 
 def lake(spark: SparkSession, folder: str) -> DataFrame:
@@ -384,8 +384,9 @@ def q_boxes(spark, folder):
 
 def q_prime_pairs(spark, folder):
     """C'/D' of every prepared peak window, between fixed box limits."""
+    spread = _prepared_windows(spark, folder).repartition(task_count(spark), "gene_id")
     ready = (
-        motifs.with_distances(_prepared_windows(spark, folder))
+        motifs.with_distances(spread)
         .withColumns({"c_limit": F.lit(25), "d_limit": F.lit(170)})
     )
     return motifs.pair_primes(ready).select(
