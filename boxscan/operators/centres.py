@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from boxscan import constants as K
 from boxscan.functions.intervals import centre_end, centre_start
+from boxscan.functions.sequences import on_strand
 from boxscan.operators.extract import sequences_at
 from boxscan.operators.scoring import Scorer, score_windows
 from boxscan.operators.tiles import HALO, TILE
-from boxscan.session import stage, task_count
+from boxscan.session import broadcast_if_small, stage, task_count
 
 PLACE = ["contig", "start", "end", "strand"]
 
@@ -46,7 +47,8 @@ def unconfirmed(centres: DataFrame, windows: DataFrame) -> DataFrame:
 
 def with_presence(centres: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``present``.  The windows are reduced to the centres before anything is joined."""
-    hit = windows.select(*PLACE).join(centres.select(*PLACE), PLACE, "left_semi").distinct()
+    wanted = broadcast_if_small(centres.select(*PLACE))
+    hit = windows.select(*PLACE).join(wanted, PLACE, "left_semi").distinct()
     return centres.join(hit.withColumn("present", F.lit(True)), PLACE, "left").withColumn(
         "present", F.coalesce("present", F.lit(False))
     )
@@ -98,6 +100,8 @@ def number_rows(df: DataFrame, order: list[str], column: str = "row_number") ->
     Writing first is what makes the positions final.
     """
     spot = F.monotonically_increasing_id()
+    # ranges are found by sampling, which would run an unwritten input twice
+    df = stage(df, "unnumbered")
     laid = stage(
         # a fixed count, so that the costly steps per row that follow stay spread
         df.repartitionByRange(task_count(df.sparkSession), *order)
@@ -126,13 +130,13 @@ def with_prediction_ids(candidates: DataFrame, prefix: str = "CD_") -> DataFrame
 
 def short_candidates(windows: DataFrame, tiles: DataFrame, width: int = K.WINDOW) -> DataFrame:
     """Contigs no longer than a window: their one window is block and centre at once."""
-    whole = tiles.filter(F.col("length") <= width)
-    hits = windows.join(
-        whole.select("contig", F.col("length").alias("end")), ["contig", "end"], "left_semi"
-    ).filter("start = 0")
-    placed = hits.select(
+    whole = tiles.filter(F.col("length") <= width).select(
+        "contig", F.col("length").alias("end"), F.col("seq").alias("_seq")
+    )
+    few = windows.filter((F.col("start") == 0) & (F.col("end") <= width))
+    return few.join(whole, ["contig", "end"]).select(
         "contig", "start", "end", "strand", F.col("prob").alias("score"),
         block_id().alias("block_id"),
         F.col("start").alias("block_start"), F.col("end").alias("block_end"),
+        on_strand(F.col("_seq"), F.col("strand")).alias("window_seq"),
     )
-    return sequences_at(placed, whole)

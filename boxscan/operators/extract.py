@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxscan.functions.sequences import on_strand
 from boxscan.operators.tiles import HALO, TILE
+from boxscan.session import broadcast_if_small, stage
 
 
 def sequences_at(
@@ -22,7 +23,13 @@ def sequences_at(
     One tile holds the whole interval, so this is an equi-join on
     (contig, tile): a tile row meets only its own intervals, and AQE splits a
     tile on which many of them lie.  Intervals on unknown contigs drop out.
+
+    The tiles are the large side.  The intervals are written and measured
+    first: a small set is broadcast, so that no tile moves; a large one is
+    joined by key, where a lake saved by ``tiles.save_lake`` is already in
+    place and only the intervals are shuffled.
     """
+    intervals = stage(intervals, "intervals")
     inside = F.substr(
         "_seq", (F.col("start") - F.col("_tile_start") + 1).cast("int"),
         (F.col("end") - F.col("start")).cast("int"),
@@ -35,7 +42,8 @@ def sequences_at(
         F.col("tile_start").alias("_tile_start"), F.col("seq").alias("_seq"),
     )
     return (
-        intervals.withColumn("_tile", F.floor(F.col("start") / size))
+        broadcast_if_small(intervals)
+        .withColumn("_tile", F.floor(F.col("start") / size))
         .join(lake, ["contig", "_tile"])
         .withColumn(name, on_strand(checked, F.col("strand")) if stranded else checked)
         .select(*intervals.columns, name)

@@ -45,8 +45,8 @@ def tile_lines(
 
     Each piece goes, cut to size, to the tiles it touches; pieces meet by
     (contig, tile), so a contig that holds a third of all bases is spread
-    evenly.  ``sizes`` has one row per contig; its join is left to AQE, which
-    broadcasts it when small and splits a hot contig otherwise.
+    evenly.  The contig length comes as one more row per tile of ``sizes``,
+    through the same shuffle: a join by contig would move every base again.
     """
     last = F.floor((F.col("pos") + F.length("bases") - 1) / size)
     first = F.greatest(F.floor((F.col("pos") - halo) / size), F.lit(0))
@@ -58,25 +58,29 @@ def tile_lines(
         lines.filter(F.length("bases") > 0)
         .withColumn("tile", F.explode(F.sequence(first, last)))
         .select(
-            "contig", "tile", lo.alias("pos"),
-            F.substr("bases", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("bases"),
+            "contig", "tile", F.lit(None).cast("long").alias("length"),
+            F.struct(
+                lo.alias("pos"),
+                F.substr("bases", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("bases"),
+            ).alias("part"),
         )
     )
+    known = sizes.filter("length > 0").select(
+        "contig",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("tile"),
+        "length",
+        F.lit(None).cast("struct<pos:bigint,bases:string>").alias("part"),
+    )
     return (
-        cut.groupBy("contig", "tile")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "bases"))).alias("parts"))
-        .select(
-            "contig", "tile",
-            F.array_join(F.col("parts.bases"), "").alias("seq"),
-        )
-        .join(sizes.select("contig", "length"), "contig")
-        # a tile beyond the last start exists only as the halo of nothing
-        .filter(F.col("tile") * size < F.col("length"))
+        cut.unionByName(known).groupBy("contig", "tile")
+        .agg(F.max("length").alias("length"), F.array_sort(F.collect_list("part")).alias("parts"))
+        # what lies beyond the last tile was only copied as a halo
+        .filter(F.col("length").isNotNull())
         .select(
             "contig", "length", "tile",
             (F.col("tile") * size).alias("tile_start"),
             F.least((F.col("tile") + 1) * size, F.col("length")).alias("tile_end"),
-            "seq",
+            F.array_join(F.col("parts.bases"), "").alias("seq"),
         )
     )
 
@@ -99,3 +103,15 @@ def redistribute(tiles: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread tiles by (contig, tile): entries are split without one file per entry."""
     keys = ["contig", "tile"]
     return tiles.repartition(partitions, *keys) if partitions else tiles.repartition(*keys)
+
+
+def save_lake(tiles: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Tiles as a table bucketed by (contig, tile).
+
+    Looking up intervals then shuffles the intervals only, run after run.
+    """
+    (
+        tiles.repartition(buckets, "contig", "tile").write.bucketBy(buckets, "contig", "tile")
+        .sortBy("contig", "tile").mode("overwrite").saveAsTable(name)
+    )
+    return tiles.sparkSession.table(name)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the jobs are written for.  AQE does the coalescing, the skew
 #: splitting and the switch to a broadcast once a side is measured to be small.
@@ -61,3 +63,20 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the values of ``df``, summed by Spark: string lengths, 8 per other cell."""
+    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    width = 8 * (len(df.columns) - len(texts)) + 16 * len(texts)
+    cells = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c in texts]
+    row = reduce(lambda a, b: a + b, cells, F.lit(width).cast("long"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("n")).first().n
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Marks a table for broadcast only when its measured size allows it."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df

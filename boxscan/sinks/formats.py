@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
+from boxscan.session import stage
 from boxscan.sinks.tables import BOX_COLUMNS, is_minimal
 
 SOURCE = "boxscan"
@@ -115,7 +116,12 @@ def fasta_records(final: DataFrame) -> DataFrame:
 
 
 def write(final: DataFrame, path: str, output_type: str = "tsv", source: str = SOURCE) -> None:
-    """Writes the final table to the folder ``path``, sorted by (chr, start, strand)."""
+    """Writes the final table to the folder ``path``, sorted by (chr, start, strand).
+
+    The table is written as parquet first: sorting samples its input, which
+    would run the whole plan twice.
+    """
+    final = stage(final, "final")
     if final.limit(1).count() == 0:
         warnings.warn("no gene was predicted in the input")
     place = ["chr", "start", "strand"]

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxscan.session import broadcast_if_small, stage
+
 PIECE = 1 << 16
 FASTA_FILES = "*.{fa,fasta}"
 
@@ -134,13 +136,17 @@ def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -
             (F.col("bases_in") + F.coalesce("opened_len", F.lit(0))).alias("carry_len"),
         )
     )
+    # one row per split, written once: the text is not summed up again for
+    # every use of the lines
+    carried = broadcast_if_small(stage(carried, "splits").withColumn("known", F.lit(True)))
     pieces = lines.mapInPandas(_pieces, _PIECES)
+    resplit = F.raise_error(F.lit("the split size changed since the FASTA files were summed up"))
+    before = F.when(F.col("known"), F.col("carry_len")).otherwise(resplit.cast("long"))
     return (
-        pieces.join(carried, ["file", "block"])
+        pieces.join(carried, ["file", "block"], "left")
         .select(
             F.coalesce("name", "carry_name").alias("contig"),
-            (F.col("offset") + F.when(F.col("name").isNull(), F.col("carry_len")).otherwise(0))
-            .alias("pos"),
+            (F.col("offset") + F.when(F.col("name").isNull(), before).otherwise(0)).alias("pos"),
             "bases",
         )
         .filter(F.col("contig").isNotNull())

@@ -195,3 +195,23 @@ def test_row_numbers_follow_the_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     got = centres.number_rows(df, ["v"], "n").collect()
     assert all(r.n == r.v + 1 for r in got) and len(got) == 1000
+
+
+def test_saved_lake_is_not_shuffled(spark, contigs, monkeypatch):
+    from boxscan import session
+    lake = tiles.save_lake(tiles.tile_sequences(contigs, 128), "lake_test", 4)
+    spans = spark.createDataFrame(
+        [("s1000", 5, 100, "+"), ("s6592", 6000, 6100, "-")], "contig string, start long, end long, strand string")
+    small = extract.sequences_at(spans, lake, 128)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = extract.sequences_at(spans, lake, 128)
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") == 1      # the intervals
+        assert sorted(large.collect()) == sorted(small.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE lake_test")
