@@ -493,6 +493,7 @@ RULES = f"""ruled AS MATERIALIZED (
             FROM featured f JOIN refined r ON r.gene_id = f.gene_id)
     )"""
 
+GENE_INTS = [f"{box}_{side}" for box in ("C", "D", "C_PRIME", "D_PRIME") for side in ("START", "END")]
 BOXES = ("C_MOTIF, C_START, C_END, D_MOTIF, D_START, D_END, C_PRIME_MOTIF, C_PRIME_START, C_PRIME_END, "
          "D_PRIME_MOTIF, D_PRIME_START, D_PRIME_END")
 FINAL_COLUMNS = (f'gene_id, contig AS chr, start, "end", strand, probability_CD, box_score, {BOXES}, '
@@ -506,7 +507,11 @@ CANDIDATES = found(0.99)
 LABELLED = [*CANDIDATES, *GENES_CTES, REFINED, FEATURES, RULES, FINAL]
 
 
-def query(ctes: list[str], select: str) -> str:
+def query(ctes: list[str], select: str, ints: list[str] | None = None) -> str:
+    """One statement; ``ints`` are columns that the Spark side keeps as 32-bit integers."""
+    if ints:
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+        select = f"SELECT * REPLACE ({casts}) FROM ({select})"
     return "WITH RECURSIVE " + ",\n    ".join(ctes) + "\n" + select if ctes else select
 
 
@@ -612,7 +617,7 @@ ORACLE: dict[str, str] = {
       SELECT contig, t AS tile, substr(seq, t * 256 + 1, 261) AS part
       FROM (SELECT *, unnest(range(0, (len - 1) // 256 + 1)) AS t FROM contigs WHERE len > 0))"""],
         "SELECT contig, tile, greatest(length(part) - 5, 0) AS n_tokens, md5(coalesce(array_to_string(list_transform("
-        "range(1, length(part) - 4), lambda i: substr(part, i, 6)), ' '), '')) AS digest FROM parts"),
+        "range(1, length(part) - 4), lambda i: substr(part, i, 6)), ' '), '')) AS digest FROM parts", ["n_tokens"]),
     "kmer_counts": query([CONTIGS],
         "SELECT substr(seq, i, 6) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, len - 4)) AS i "
         "FROM contigs) GROUP BY 1"),
@@ -630,7 +635,7 @@ ORACLE: dict[str, str] = {
     ), win AS MATERIALIZED (
       SELECT contig, strand, start, least(start + {W}, len) AS "end", {stranded(f'substr(seq, start + 1, {W})')} AS w FROM starts)"""],
         'SELECT contig, strand, count(*) AS n_windows, min(start) AS first_start, max(start) AS last_start, '
-        'sum(start) AS sum_start, max("end") AS last_end, min(w) AS min_window, max(w) AS max_window '
+        'CAST(sum(start) AS BIGINT) AS sum_start, max("end") AS last_end, min(w) AS min_window, max(w) AS max_window '
         'FROM win GROUP BY contig, strand'),
     "lift_minus": query([CONTIGS],
         f'SELECT contig, j AS strand_start, len - {W} - j AS start, len - j AS "end" FROM (SELECT *, '
@@ -659,7 +664,11 @@ ORACLE: dict[str, str] = {
         'SELECT gene_id, contig, start, "end", strand, score, block_id, window_seq FROM cand'),
     "blocks_kept": query(confirmed(0.9),
         f'SELECT {block_id("m.")} AS block_id, m.* FROM merged m WHERE {block_id("m.")} IN (SELECT block_id FROM kept)'),
-    "short_contigs": query([*positive(0.5), SHORT], "SELECT * FROM short_kept"),
+    "short_contigs": query([CONTIGS.replace("contigs AS", "whole AS", 1), """contigs AS MATERIALIZED (
+      SELECT contig || '_' || (t * 190) AS contig, substr(seq, t * 190 + 1, 190) AS seq,
+             length(substr(seq, t * 190 + 1, 190)) AS len
+      FROM (SELECT *, unnest(range(0, (len - 1) // 190 + 1)) AS t FROM whole WHERE len > 0))""",
+        POS, FRAMES, windows(5, 0.9, "hits"), SHORT], "SELECT * FROM short_kept"),
     "bed_centre": query([PEAKS, CENTRED_PEAKS.replace('WHERE start < "end" AND start >= 0', "")],
         'SELECT contig, start, "end", gene_id, score, strand FROM centred_peaks'),
     "bed_deduplicate": query([PEAKS, dedup("peaks", "u")],
@@ -689,9 +698,9 @@ ORACLE: dict[str, str] = {
             WHERE pos > 0 AND pos < n - 1 AND s >= {K.PEAK_HEIGHT} AND round(fall, 9) >= {K.PEAK_DROP}"""),
     "occlusion_attribution": query([*CANDIDATES, *ATTRIBUTED],
         "SELECT a.gene_id, a.predicted_label, a.probability, s.pos, round(s.v, 8) AS value "
-        "FROM attributed a JOIN signal s ON s.gene_id = a.gene_id"),
+        "FROM attributed a JOIN signal s ON s.gene_id = a.gene_id", ["pos"]),
     "candidate_peaks": query([*CANDIDATES, *SIGNAL_PEAKS],
-        "SELECT gene_id, pos, round(height, 7) AS height FROM signal_peaks"),
+        "SELECT gene_id, pos, round(height, 7) AS height FROM signal_peaks", ["pos"]),
     "fuzzy_boxes": query([*CANDIDATES, BOX_HITS],
         """SELECT c.gene_id, any_value(a.start) AS c_start, any_value(a.cd) AS c_dist, any_value(b.start) AS d_start,
                   any_value(b.dd) AS d_dist, any_value(x.start) AS exact_d_start
@@ -702,7 +711,7 @@ ORACLE: dict[str, str] = {
                       WHERE start BETWEEN 113 AND 175 AND dd <= 2) b ON b.gene_id = c.gene_id AND b.r = 1
            LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY start DESC) AS r FROM box_hits
                       WHERE start BETWEEN 113 AND 175 AND dd = 0) x ON x.gene_id = c.gene_id AND x.r = 1
-           GROUP BY c.gene_id"""),
+           GROUP BY c.gene_id""", ["c_start", "d_start", "exact_d_start"]),
     "boxes": query([*CANDIDATES, *BOXED, primes("cd")],
         """SELECT gene_id, substr(window_seq, cs, 7) AS c_motif, cs AS c_start, cdist AS c_dist,
                   substr(window_seq, ds, 4) AS d_motif, ds AS d_start, ddist AS d_dist,
@@ -710,12 +719,12 @@ ORACLE: dict[str, str] = {
                   substr(window_seq, dps, 4) AS d_prime_motif, dps AS d_prime_start, dpd AS d_prime_dist,
                   c_limit, d_limit,
                   coalesce(cdist, 7) + coalesce(ddist, 4) + coalesce(cpd, 7) + coalesce(dpd, 4) AS box_score
-           FROM primed"""),
+           FROM primed""", ["c_start", "d_start", "c_prime_start", "d_prime_start", "c_limit", "d_limit"]),
     "prime_pairs": query([*PREPARED, _FIXED, _PEAK_BOXES, primes("fixed")],
-        "SELECT gene_id, strand, cps AS c_prime_start, cpd AS c_prime_dist, dps AS d_prime_start, dpd AS d_prime_dist FROM primed"),
+        "SELECT gene_id, strand, cps AS c_prime_start, cpd AS c_prime_dist, dps AS d_prime_start, dpd AS d_prime_dist FROM primed", ["c_prime_start", "d_prime_start"]),
     "gene_limits": query([*CANDIDATES, *GENES_CTES],
         'SELECT gene_id, contig, gene_start AS start, gene_end AS "end", strand, predicted_sequence, predicted_extended_sequence FROM limited'),
-    "gene_table": query([*CANDIDATES, *GENES_CTES], "SELECT * EXCLUDE (r) FROM genes"),
+    "gene_table": query([*CANDIDATES, *GENES_CTES], "SELECT * EXCLUDE (r) FROM genes", GENE_INTS),
     "genes_without_n": query([*CANDIDATES, *GENES_CTES],
         "SELECT gene_id, contig, start, \"end\", strand FROM genes WHERE NOT contains(predicted_sequence, 'N')"),
     "refinements": query([*CANDIDATES, REFINED], "SELECT * FROM refined"),
@@ -723,14 +732,14 @@ ORACLE: dict[str, str] = {
         "SELECT gene_id, normalized_sno_stability, terminal_combined, terminal_stem_score FROM featured"),
     "stem_flanks": query([*CANDIDATES, *BOXED, _FLANKED],
         f"SELECT gene_id, left_flank, right_flank, {stem_score('mark')} AS stem_length_score FROM (SELECT *, "
-        f"{pairing('left_flank', 'right_flank', 'least(length(left_flank), length(right_flank))')} AS mark FROM flanked)"),
+        f"{pairing('left_flank', 'right_flank', 'least(length(left_flank), length(right_flank))')} AS mark FROM flanked)", ["stem_length_score"]),
     "rule_cascade": query(LABELLED,
         "SELECT gene_id, probability_expressed_pseudogene, second_model_prediction, predicted_label FROM ruled"),
-    "final_genes": query(LABELLED, "SELECT * FROM final"),
+    "final_genes": query(LABELLED, "SELECT * FROM final", GENE_INTS),
     "final_first_model": query([*CANDIDATES, *GENES_CTES],
         f'SELECT gene_id, contig AS chr, start, "end", strand, probability_CD, box_score, {BOXES}, predicted_sequence '
-        "FROM genes WHERE NOT contains(predicted_sequence, 'N')"),
-    "final_peaks": query([*peak_candidates(0.99), *GENES_CTES, REFINED, FEATURES, RULES, FINAL], "SELECT * FROM final"),
+        "FROM genes WHERE NOT contains(predicted_sequence, 'N')", GENE_INTS),
+    "final_peaks": query([*peak_candidates(0.99), *GENES_CTES, REFINED, FEATURES, RULES, FINAL], "SELECT * FROM final", GENE_INTS),
     "bed_rows": query(LABELLED,
         "SELECT chr, start, \"end\", gene_id, '.' AS empty_score, strand, "
         + " || '; ' || ".join(_text(["probability_CD", "box_score", *_BOX_NAMES, *_STRUCTURE, "predicted_label", "predicted_sequence"]))
@@ -747,7 +756,7 @@ ORACLE: dict[str, str] = {
         "|| normalized_sno_stability || ' predicted_label=' || predicted_label || chr(10) || predicted_sequence AS record FROM final"),
     "tsv_roundtrip": query([*CANDIDATES, *GENES_CTES],
         f'SELECT gene_id, contig AS chr, start, "end", strand, probability_CD, box_score, {BOXES}, predicted_sequence '
-        "FROM genes WHERE NOT contains(predicted_sequence, 'N')"),
+        "FROM genes WHERE NOT contains(predicted_sequence, 'N')", GENE_INTS),
     "label_joins": query([CONTIGS, """known AS MATERIALIZED (
       SELECT CAST(doc_id AS VARCHAR) AS contig, quality FROM labels)"""],
         "SELECT 'left' AS kind, c.contig, c.len AS length, k.quality FROM contigs c LEFT JOIN known k ON k.contig = c.contig "

@@ -264,7 +264,13 @@ def q_blocks_kept(spark, folder):
 
 
 def q_short_contigs(spark, folder):
-    return centres.short_candidates(hits(spark, folder, 0.5), lake(spark, folder))
+    """Documents cut into entries of 190 nt: every window is its own candidate."""
+    pieces = tiles.split_lines(tables.document_contigs(spark, folder), 190)
+    short = tiles.tile_sequences(pieces.select(
+        F.concat_ws("_", "contig", F.col("pos").cast("string")).alias("contig"),
+        F.col("bases").alias("seq"), F.length("bases").cast("long").alias("length"),
+    ))
+    return centres.short_candidates(scoring.above(scoring.scan(short), SCAN), short)
 
 
 # --- peaks ---------------------------------------------------------------
