@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
+from boxscan.operators.peaks import duplicated_ids
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 
@@ -113,15 +114,11 @@ def check_peaks(peaks: DataFrame, sizes: DataFrame, width: int = K.WINDOW) -> Da
         report(missing_contigs(peaks, sizes), "unknown_contig", ERROR, "contig"),
         report(reversed_peaks(peaks), "start_not_before_end", ERROR, "gene_id"),
         report(long, "longer_than_window", WARNING, "gene_id"),
-        report(duplicates(peaks), "duplicated_id", WARNING, "gene_id"),
+        report(duplicated_ids(peaks), "duplicated_id", WARNING, "gene_id"),
         scoring_units(peaks),
     ])
 
 
-def duplicates(peaks: DataFrame) -> DataFrame:
-    return peaks.groupBy("gene_id").agg(F.count("*").alias("n")).filter("n > 1")
-
-
 def scoring_units(peaks: DataFrame) -> DataFrame:
     """Windows to score: peaks, counted twice where the strand is unknown."""
     known = F.coalesce(F.col("strand").isin("+", "-"), F.lit(False))

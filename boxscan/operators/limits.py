@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxscan import constants as K
 from boxscan.functions.sequences import cut
 from boxscan.operators.motifs import LEN_C, LEN_D
 from boxscan.operators.peaks import first_of

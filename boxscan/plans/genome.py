@@ -23,7 +23,7 @@ from boxscan.operators.rules import apply_rules
 from boxscan.operators.scoring import (
     MotifScorer, Scorer, StemScorer, above, bed_threshold, refine, scan, scan_threshold, score_windows,
 )
-from boxscan.operators.tiles import HALO, TILE
+from boxscan.operators.tiles import TILE
 from boxscan.session import stage, task_count
 from boxscan.sinks.formats import write
 from boxscan.sinks.tables import final_table

@@ -15,7 +15,6 @@ from boxscan.operators.extract import long_sequences_at, sequences_at, slop
 from boxscan.plans import genome
 from boxscan.session import new_folder, stage, task_count
 from boxscan.sinks import formats
-from boxscan.sinks.tables import final_table
 from boxscan.sources import tables
 from boxscan.sources.bed import read_bed
 from boxscan.sources.fasta import contig_sizes, read_fasta
