@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +26,57 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new one only where unset."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset (tests, notebooks), a folder under the warehouse takes its
+    place and is set.  A path on a local disk is refused then unless the
+    executors run in this machine's own JVM: they would not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="boxscan-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/boxscan-shared"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not local and _scheme(spark, folder) == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _scheme(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
+#: Folders made by this process and not removed yet.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/boxscan-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/boxscan-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_folders(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the folders made by ``new_folder`` after the first ``since``; returns how many.
+
+    To be called when the results that read them have been written.
+    """
+    gone, _made[since:] = _made[since:], []
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def own_folders(spark: SparkSession):
+    """Removes, at its end, every staged table made inside the block."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        remove_folders(spark, since)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
