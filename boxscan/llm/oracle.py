@@ -75,7 +75,7 @@ WITH base AS (
     q3 + greatest(spread, 3 * (q3 - q1)) AS high
   FROM (SELECT level, lang, source, m, max(total) AS total,
           min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3,
-          CASE m WHEN 1 THEN 20000 WHEN 2 THEN 20000 WHEN 3 THEN 100000 ELSE 1000 END AS spread
+          CASE m WHEN 1 THEN 20000 WHEN 2 THEN 50000 WHEN 3 THEN 250000 ELSE 2000 END AS spread
         FROM ranked GROUP BY level, lang, source, m)
   GROUP BY ALL
 ), chosen AS (

@@ -41,9 +41,9 @@ class Rules:
     fences: int = 3
     min_group: int = 100
     symbol_spread: int = 20_000
-    line_spread: int = 20_000
-    repeat_spread: int = 100_000
-    length_spread: int = 1_000
+    line_spread: int = 50_000
+    repeat_spread: int = 250_000
+    length_spread: int = 2_000
 
 
 #: measure: (value in integers, name of its spread, whether low values are outliers as well)
