@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxscan.llm import chat, mixing, quality_rules
+from boxscan.llm import bpe, chat, mixing, quality_rules
 from boxscan.llm.oracle import LLM_ORACLE
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,15 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op6_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """An equal share of every source, as many rows as there are documents."""
     return mixing.replicate(table(spark, folder, "documents"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each document and the text they decode to."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
