@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxscan.llm import bpe, chat, mixing, quality_rules
+from boxscan.llm import bpe, chat, mixing, quality_rules, rans
 from boxscan.llm.oracle import LLM_ORACLE
+from boxscan.session import new_folder
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,3 +71,13 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_rans_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Places and checksums of the ids of each document, read back from token files."""
+    path = new_folder(spark, "tokens")
+    rans.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return rans.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32")
+    )
