@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxscan.llm import bpe, chat, mixing, quality_rules, rans
+from boxscan.llm import bpe, chat, importance, mixing, quality_rules, rans, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -81,3 +81,16 @@ def op2_rans_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return rans.read_tokens(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32")
     )
+
+
+@query
+def op1_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents does resampling towards the good labels keep?"""
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors by integer inner product of every 20th vector."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return top_k.search(vectors, vectors.where("id % 20 = 0"), 20, 64)
