@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxscan.llm import bpe, chat, importance, mixing, quality_rules, rans, top_k
+from boxscan.llm import bpe, chat, importance, mixing, near_dup, quality_rules, rans, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -94,3 +94,9 @@ def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors by integer inner product of every 20th vector."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return top_k.search(vectors, vectors.where("id % 20 = 0"), 20, 64)
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 3-word shingles are at least 85 % alike."""
+    return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.Likeness(words=3, percent=85))
