@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxscan.llm import bpe, chat, importance, mixing, near_dup, quality_rules, rans, top_k
+from boxscan.llm import bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -100,3 +100,9 @@ def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word shingles are at least 85 % alike."""
     return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.Likeness(words=3, percent=85))
+
+
+@query
+def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates in place of personal data."""
+    return pii.pseudonymize(table(spark, folder, "documents"))
