@@ -22,6 +22,7 @@ makes a block of its own.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +42,7 @@ BLOCK_IDS = 1 << 18
 LANES = 1024
 CHECK_STEPS = 64
 #: Distinct chunks of text whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Signs that end a word on their own: ids of "word" + signs are ids of both, one after the other.
 TAIL = ".,;:!?#$%&*|()\""
 
@@ -50,46 +51,76 @@ class ChunkIds:
     """Ids of chunks of text without blanks, each given to the tokenizer once.
 
     The tokenizer drops white space and splits at it before anything else, so
-    the ids of a text are those of its chunks.
+    the ids of a text are those of its chunks; a chunk is a word and its tail of
+    signs.  New words of letters alone go to the tokenizer in one text: each
+    yields one run of ids, which its end-of-word id closes.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.words: dict[str, int] = {"": 0}
+        self.word, self.tail = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and how many each has."""
+        if all(map(str.isalpha, words)):
+            found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+            ids = np.array(found, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=0)
+        rows = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in rows for i in x], np.uint32), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def learn(self, chunks: list[str]) -> None:
-        parts = []
-        for chunk in chunks:
+        words, known = self.words, len(self.words)
+        word, tail = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        letters, others = [], []
+        for k, chunk in enumerate(chunks):
             core = chunk.rstrip(TAIL)
             if not core or not core[-1].isalnum():
-                core = chunk
-            tail = chunk[len(core):]
-            parts.append((core.lower() if core.isascii() else core, tail))
-        new = list(dict.fromkeys(x for pair in parts for x in pair if x and x not in self.cores))
-        for x, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cores[x] = coded.ids
-        none: list[int] = []
-        ids = [self.cores.get(a, none) + self.cores.get(b, none) for a, b in parts]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        last = self.ends[-1] if len(self.ends) else 0
-        self.ends = np.concatenate([self.ends, last + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+                core, rest = chunk, ""
+            else:
+                rest = chunk[len(core):]
+            if core.isascii():
+                core = core.lower()
+            for part, out in ((core, word), (rest, tail)):
+                at = words.get(part)
+                if at is None:
+                    at = words[part] = len(words)
+                    (letters if part.isalpha() and part.lower().isalpha() else others).append(part)
+                out[k] = at
+        groups = [letters[i:i + 2000] for i in range(0, len(letters), 2000)] + ([others] if others else [])
+        if groups:
+            ids, sizes = zip(*map(self.coded, groups), strict=True)
+            # from the order of coding to the order of the numbers
+            at = np.fromiter((words[x] for g in groups for x in g), np.int64) - known
+            size = np.concatenate(sizes)
+            starts = np.cumsum(size) - size
+            order = np.argsort(at)
+            length = size[order]
+            upto = np.cumsum(length)
+            take = np.repeat(starts[order] - (upto - length), length) + np.arange(upto[-1])
+            self.flat = np.concatenate([self.flat, np.concatenate(ids)[take]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + upto])
+        self.word, self.tail = np.concatenate([self.word, word]), np.concatenate([self.tail, tail])
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with their end ids, one after another, and where each text ends."""
         if len(self.number) > REMEMBERED:
             self.clear()
-        known, number, rows, new = len(self.number), self.number, [], []
-        if not known:
-            number[""] = 0
-            new.append("")
+        number, rows, new = self.number, [], []
         for text in texts:
             chunks = (text or "").replace("\n", " ").split(" ")
             for chunk in chunks:
@@ -97,16 +128,17 @@ class ChunkIds:
                     number[chunk] = len(number)
                     new.append(chunk)
             rows.append(np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)))
+        if not rows:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if new:
             self.learn(new)
-        size = np.diff(self.ends, prepend=0)
-        picked = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        length = size[picked]
+        picked = np.concatenate(rows)
+        picked = np.stack([self.word[picked], self.tail[picked]], 1).reshape(-1)
+        length = np.diff(self.ends, prepend=0)[picked]
         upto = np.cumsum(length)
-        take = np.repeat(self.ends[picked] - upto, length) + np.arange(upto[-1] if len(upto) else 0)
-        text_ends = upto[np.cumsum([len(r) for r in rows]) - 1] if rows else np.empty(0, np.int64)
-        ids = np.insert(self.flat[take], text_ends, end_id)
-        return ids, text_ends + np.arange(1, len(text_ends) + 1)
+        take = np.repeat(self.ends[picked] - upto, length) + np.arange(upto[-1])
+        text_ends = upto[2 * np.cumsum([len(r) for r in rows]) - 1]
+        return np.insert(self.flat[take], text_ends, end_id), text_ends + np.arange(1, len(text_ends) + 1)
 
 
 @lru_cache(2)
