@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxscan.llm import bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, top_k
+from boxscan.llm import bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, suffixes, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -106,3 +106,14 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op8_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with surrogates in place of personal data."""
     return pii.pseudonymize(table(spark, folder, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without strings of 400 bytes that start twice."""
+    out = suffixes.remove_repeats(table(spark, folder, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.end - x.begin)
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
