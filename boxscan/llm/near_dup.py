@@ -325,3 +325,13 @@ def near_duplicates(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def keep_first(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with all their columns.
+
+    Rows go by their id: those without an id stay, and repeated rows with the id
+    that names the component stay together.
+    """
+    gone = stage(near_duplicates(docs, how).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -173,26 +173,26 @@ def fences(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """Fences per (lang, source), from the finest sketch with ``min_group`` rows."""
+    """Fences per (lang, source), from the finest sketch with ``min_group`` rows.
+
+    The fences of all rows are one row, read by the driver.
+    """
     edges = [f"{name}_{side}" for name in MEASURES for side in ("low", "high")]
     own = fences(sketch, ["lang", "source"], rules)
     by_lang = fences(merged(sketch, ["lang"]), ["lang"], rules).select(
         F.col("lang").alias("wide_lang"), F.col("n_group").alias("wide_n"),
         *[F.col(e).alias(f"wide_{e}") for e in edges],
     )
-    whole = fences(merged(sketch.withColumn("every", F.lit(1)), ["every"]), ["every"], rules).select(
-        "every", *[F.col(e).alias(f"all_{e}") for e in edges]
-    )
+    whole = fences(merged(sketch.withColumn("every", F.lit(1)), ["every"]), ["every"], rules).first()
     enough = F.col("n_group") >= rules.min_group
     wide_enough = F.col("wide_n") >= rules.min_group
     return (
-        own.withColumn("every", F.lit(1))
-        .join(by_lang, F.col("lang").eqNullSafe(F.col("wide_lang"))).join(whole, "every")
+        own.join(by_lang, F.col("lang").eqNullSafe(F.col("wide_lang")))
         .select(
             F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
             *[
                 F.when(enough, F.col(e)).when(wide_enough, F.col(f"wide_{e}"))
-                .otherwise(F.col(f"all_{e}")).alias(e)
+                .otherwise(F.lit(whole[e] if whole else None).cast("long")).alias(e)
                 for e in edges
             ],
         )
@@ -208,7 +208,7 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """
     rules = rules or Rules()
     table = stage(measure(docs, rules), "measures")
-    limits = stage(thresholds(sketches(table), rules), "fences")
+    limits = stage(thresholds(stage(sketches(table), "bins"), rules), "fences")
     broken = F.lit(False)
     for name, (value, _, low) in MEASURES.items():
         broken = broken | (F.expr(value) > F.col(f"{name}_high"))
@@ -222,3 +222,30 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
             (~F.col("base_failed") & ~F.coalesce(broken, F.lit(False))).alias("kept"),
         )
     )
+
+
+def keep(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The text is measured where it is read, and the fences come from a written
+    table of the measures, so the texts themselves are never shuffled unless the
+    fences are too many to broadcast.
+    """
+    rules = rules or Rules()
+    table = stage(measure(docs, rules), "measures")
+    limits = stage(thresholds(stage(sketches(table), "bins"), rules), "fences")
+    names = docs.columns
+    rows = docs.withColumn("measured", measured(F.col("text"))).where(
+        f"measured.n_words >= {rules.min_words} AND "
+        f"100 * measured.n_repeat_words <= {rules.max_repeat_percent} * measured.n_words"
+    )
+    joined = rows.alias("d").join(
+        limits, F.col("d.lang").eqNullSafe(F.col("t_lang")) & F.col("d.source").eqNullSafe(F.col("t_source")), "left")
+    broken = F.lit(False)
+    for name, (value, _, low) in MEASURES.items():
+        for word in BASE:
+            value = value.replace(word, f"measured.{word}")
+        broken = broken | (F.expr(value) > F.col(f"{name}_high"))
+        if low:
+            broken = broken | (F.expr(value) < F.col(f"{name}_low"))
+    return joined.where(~F.coalesce(broken, F.lit(False))).select(*[F.col(f"d.{c}") for c in names])
