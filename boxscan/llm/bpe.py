@@ -42,7 +42,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Words above so many bytes are not folded.
 FOLD_BYTES = 48
 #: Characters of text in a block.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,46 +86,45 @@ def rank_literals(ranks: dict[bytes, int]) -> Column:
 
 #: Stands for a pair that does not merge.
 NONE = (1 << 31) - 1
+#: Bits of an id.
+ID_BITS = 20
 
 
 def fold_merges(word: Column, table: Column) -> Column:
     """array<int>: the ids of one word, from the ids of its bytes.
 
-    The fold carries the pieces and, for each, the rank of its pair with the
-    next.  A round merges the leftmost pair of lowest rank, whose rank is the id
-    of the merged piece, and looks up the two pairs that this makes.
+    The fold carries one number per piece: the rank of its pair with the next
+    piece, and in the low ``ID_BITS`` bits its own id.  The least number is the
+    leftmost pair of lowest rank; a round merges it (its rank is the id of the
+    merged piece) and looks up the two pairs that this makes.
     """
-    none = F.lit(NONE).cast("bigint")
+    ids = F.lit((1 << ID_BITS) - 1).cast("bigint")
+    none = F.lit(NONE << ID_BITS).cast("bigint")
 
-    def rank(a: Column, b: Column) -> Column:
+    def packed(a: Column, b: Column) -> Column:
         cell = F.get(table.cells, F.get(table.base, a) + b)
-        return F.when(F.shiftright(cell, 32) == a + 1, cell.bitwiseAND(F.lit(NONE).cast("bigint"))).otherwise(none)
+        rank = F.when(F.shiftright(cell, 32) == a + 1, F.shiftleft(cell.bitwiseAND(F.lit(NONE).cast("bigint")), ID_BITS))
+        return F.coalesce(rank, none) + a
+
+    def piece(item: Column) -> Column:
+        return item.bitwiseAND(ids).cast("int")
 
     def step(acc: Column, _: Column) -> Column:
-        def merge(best: Column) -> Column:
-            def at_place(at: Column) -> Column:
-                piece = best.cast("int")
-                return F.struct(
-                    F.concat(
-                        F.slice(acc.p, F.lit(1), at - 1), F.array(piece), F.slice(acc.p, at + 2, F.size(acc.p))
-                    ).alias("p"),
-                    F.concat(
-                        F.slice(acc.r, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                        F.when(at > 1, F.array(rank(F.get(acc.p, at - 2), piece))).otherwise(F.slice(acc.r, 1, 0)),
-                        F.array(rank(piece, F.get(acc.p, at + 1))),
-                        F.slice(acc.r, at + 2, F.size(acc.r)),
-                    ).alias("r"),
-                )
-
-            return F.when(best == NONE, acc).otherwise(
-                let(F.array_position(acc.r, best).cast("int"), at_place))
-
-        return let(F.array_min(acc.r), merge)
-
-    pairs = F.transform(word, lambda x, i: rank(x, F.get(word, i + 1)))
-    zero = F.struct(word.alias("p"), pairs.alias("r"))
+        def merge(at: Column) -> Column:
+            best = F.shiftright(F.get(acc, at - 1), ID_BITS).cast("int")
+            return F.when(best == NONE, acc).otherwise(F.concat(
+                F.when(at > 1, F.concat(
+                    F.slice(acc, F.lit(1), at - 2), F.array(packed(piece(F.get(acc, at - 2)), best)))
+                ).otherwise(F.slice(acc, 1, 0)),
+                F.array(packed(best, piece(F.get(acc, at + 1)))),
+                F.slice(acc, at + 2, F.size(acc)),
+            ))
+
+        return let(F.array_position(acc, F.array_min(acc)).cast("int"), merge)
+
+    items = F.transform(word, lambda x, i: packed(x, F.get(word, i + 1)))
     rounds = F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2)))
-    folded = F.aggregate(rounds, zero, step, lambda acc: acc.p)
+    folded = F.aggregate(rounds, items, step, lambda acc: F.transform(acc, piece))
     return F.when((F.size(word) < 2) | (F.size(word) > FOLD_BYTES), word).otherwise(folded)
 
 
@@ -139,24 +138,29 @@ def _splitter(pattern: str) -> tuple:
 def _first_pieces(words: list[str], ranks: dict[bytes, int]) -> pa.Array:
     """list<int>: the ids of the bytes of each word; of words that need no fold, their own ids."""
     by_byte = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
-    parts, ends, total, slow = [], [0], 0, None
-    for word in words:
+    sizes = np.empty(len(words) + 1, np.int32)
+    sizes[0] = 0
+    parts, run, slow = [], [], None
+    for k, word in enumerate(words, 1):
         data = word.encode()
-        if data in ranks:
-            part = np.array([ranks[data]], np.int32)
-        elif len(data) <= FOLD_BYTES:
-            part = by_byte[np.frombuffer(data, np.uint8)]
-        else:
+        own = ranks.get(data)
+        if own is None and len(data) <= FOLD_BYTES:
+            run.append(data)
+            sizes[k] = len(data)
+            continue
+        parts.append(by_byte[np.frombuffer(b"".join(run), np.uint8)])
+        run = []
+        if own is None:
             if slow is None:
                 import tiktoken
 
                 slow = tiktoken.Encoding("own", pat_str="x", mergeable_ranks=ranks, special_tokens={})
-            part = np.array(slow._encode_single_piece(data), np.int32)
-        parts.append(part)
-        total += len(part)
-        ends.append(total)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            parts.append(np.array(slow._encode_single_piece(data), np.int32))
+        else:
+            parts.append(np.array([own], np.int32))
+        sizes[k] = len(parts[-1])
+    parts.append(by_byte[np.frombuffer(b"".join(run), np.uint8)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(parts)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str, text: str) -> Iterator[pa.RecordBatch]:
@@ -227,8 +231,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
             if size >= BLOCK_CHARS:
                 kept.append(rest.slice(begin, i + 1 - begin))
                 begin = i + 1
-                yield flush()
+                block = flush()
                 fresh()
+                yield block
         if begin < batch.num_rows:
             kept.append(rest.slice(begin))
     if kept:
@@ -265,8 +270,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row_ends = np.concatenate([[0], upto])[np.frombuffer(cell["ends"].as_py(), "<u8").astype(np.int64)]
             offsets = np.concatenate([[0], row_ends])
             rows = pa.ipc.open_stream(cell["rows"].as_buffer()).read_all()
-            for first in range(0, rows.num_rows, 4096):
-                last = min(first + 4096, rows.num_rows)
+            for first in range(0, rows.num_rows, 1024):
+                last = min(first + 1024, rows.num_rows)
                 own = offsets[first:last + 1]
                 part = out[own[0]:own[-1]].astype("<i4")
                 arrays = [c.combine_chunks() for c in rows.slice(first, last - first).columns]
