@@ -18,8 +18,8 @@ table of values, and its occurrences carry no text.  Only DataFrame functions
 are used.
 
 Defined results: a null text stays null; repeated rows change alike; other
-columns pass through (``pii_row``, ``found``, ``parts`` and ``swap`` are
-reserved names); an empty table stays empty.
+columns pass through (names that begin with two underscores are reserved); an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -234,17 +234,17 @@ def pseudonymize(docs: DataFrame, how: Pseudonyms | None = None) -> DataFrame:
         F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(0)),
         lambda m: let(kind_of(m), lambda k: F.struct(m.alias("text"), k.alias("kind"), atoms(m, k).alias("parts"))))
     held = stage(
-        docs.where(suspect).withColumn("found", found).withColumn("pii_row", F.monotonically_increasing_id()), "held")
-    parts = held.select("pii_row", F.explode(F.array_distinct(F.flatten(F.transform("found", lambda x: x.parts)))).alias("a"))
-    parts = parts.select("pii_row", "a.kind", "a.value")
+        docs.where(suspect).withColumn("__found", found).withColumn("__row", F.monotonically_increasing_id()), "held")
+    parts = held.select("__row", F.explode(F.array_distinct(F.flatten(F.transform("__found", lambda x: x.parts)))).alias("__a"))
+    parts = parts.select("__row", "__a.kind", "__a.value")
     given = stage(assign(parts.select("kind", "value"), how), "surrogates")
     swaps = (
-        parts.join(given, ["kind", "value"]).groupBy("pii_row")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "given"))).alias("swap"))
+        parts.join(given, ["kind", "value"]).groupBy("__row")
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "given"))).alias("__swap"))
     )
-    joined = held.join(swaps, "pii_row", "left")
-    new = F.transform("found", lambda x: _swapped(x.text, x.kind, F.col("swap")))
+    joined = held.join(swaps, "__row", "left")
+    new = F.transform("__found", lambda x: _swapped(x.text, x.kind, F.col("__swap")))
     text = let(F.split("text", ANY, -1), lambda p: let(new, lambda n: F.array_join(
         F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.get(n, i), F.lit("")))), "")))
-    changed = joined.withColumn("text", F.when(F.col("swap").isNull(), F.col("text")).otherwise(text)).select(*names)
+    changed = joined.withColumn("text", F.when(F.col("__swap").isNull(), F.col("text")).otherwise(text)).select(*names)
     return docs.where(~suspect).select(*names).unionByName(changed)
