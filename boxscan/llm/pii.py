@@ -35,7 +35,7 @@ from boxscan.session import stage
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind: pattern.  The first kind whose pattern matches a place wins.
 PATTERNS = {
-    "email": "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\\.){1,8}[A-Za-z]{2,24}",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\\.){1,8}[A-Za-z]{2,24}",
     "secret": "(?i:token|secret|api_?key|password|passwd)\\s{0,3}[=:]\\s{0,3}\"[^\"\\s]{8,512}\"",
     "phone": "\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
              "|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
