@@ -75,10 +75,9 @@ def confirm_centres(
         return sequences_at(marked.filter("present").drop("present"), tiles, size, halo)
     read = sequences_at(marked, tiles, size, halo)
     asked = read.withColumn("_asked", F.when(~F.col("present"), F.col("window_seq")))
-    again = (F.col("label") == 1) & (F.col("p_top") > threshold)
     return (
-        score_windows(asked, scorer, "_asked")
-        .filter(F.col("present") | again)
+        score_windows(asked, scorer, "_asked", threshold)
+        .filter(F.col("present") | F.col("passes"))
         .select(*centres.columns, "window_seq")
     )
 

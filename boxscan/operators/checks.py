@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxscan import constants as K
 from boxscan.operators.peaks import duplicated_ids
+from boxscan.sources.bed import bad_numbers
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 
@@ -108,6 +109,11 @@ def check_bed_lines(lines: DataFrame) -> DataFrame:
     ])
 
 
+def check_bed_numbers(lines: DataFrame) -> DataFrame:
+    """Places that are no integers; the first line of a file may be a header."""
+    return report(bad_numbers(lines), "no_number", ERROR, "value")
+
+
 def check_peaks(peaks: DataFrame, sizes: DataFrame, width: int = K.WINDOW) -> DataFrame:
     long = peaks.filter(F.col("end") - F.col("start") > width)
     return combine([

@@ -72,6 +72,41 @@ def widen_short(peaks: DataFrame, sizes: DataFrame, width: int = K.WINDOW) -> Da
     return slop(peaks, sizes, widen_left(start, end, width), widen_right(start, end, width))
 
 
+def rejected_peaks(peaks: DataFrame, sizes: DataFrame, width: int = K.WINDOW) -> DataFrame:
+    """``(row_no, gene_id, reason)`` of every peak that ``prepare_peaks`` leaves out.
+
+    ``row_no`` tells the rows apart.  Each peak has the first reason that holds,
+    in the order in which the preparation meets them.
+    """
+    reversed_, negative = F.col("start") >= F.col("end"), F.col("start") < 0
+    bad = peaks.filter(reversed_ | negative).select(
+        "row_no", "gene_id", F.when(reversed_, "start_not_before_end").otherwise("negative_start").alias("reason"))
+    valid = peaks.filter(~(reversed_ | negative))
+    centred = centre_long(valid, width)
+    by_id = first_of(centred, ["gene_id"], ["row_no"])
+    by_place = first_of(by_id, ["contig", "start", "end", "strand"], ["row_no"])
+    inside = widen_short(by_place, sizes, width).filter(F.col("start") < F.col("end"))
+    known = peaks.join(sizes.select("contig"), "contig", "left_semi")
+
+    def mark(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("row_no", F.lit(True).alias(name))
+
+    reason = (
+        F.when(F.col("_id").isNull(), "repeated_id").when(F.col("_place").isNull(), "repeated_place")
+        .when(F.col("_known").isNull(), "unknown_contig").when(F.col("_inside").isNull(), "outside_contig")
+    )
+    judged = valid.select("row_no", "gene_id")
+    for rows, name in ((by_id, "_id"), (by_place, "_place"), (known, "_known"), (inside, "_inside")):
+        judged = judged.join(mark(rows, name), "row_no", "left")
+    return bad.unionByName(
+        judged.select("row_no", "gene_id", reason.alias("reason")).filter("reason IS NOT NULL"))
+
+
+def strandless(peaks: DataFrame) -> DataFrame:
+    """Peaks that are looked at on both strands."""
+    return peaks.filter(~F.coalesce(F.col("strand").isin("+", "-"), F.lit(False)))
+
+
 def prepare_peaks(peaks: DataFrame, sizes: DataFrame, width: int = K.WINDOW) -> DataFrame:
     """Centre, deduplicate, expand strands, widen; bad or unknown places drop out."""
     valid = peaks.filter((F.col("start") < F.col("end")) & (F.col("start") >= 0))

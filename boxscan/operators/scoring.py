@@ -24,8 +24,12 @@ for _a, _b in zip(K.COMPLEMENT_FROM, K.COMPLEMENT_TO):
 
 
 def encode(seqs, width: int) -> np.ndarray:
-    """Strings -> (n, width) byte matrix, padded with N on the right."""
-    joined = "".join(s.ljust(width, "N")[:width] for s in seqs)
+    """Strings -> (n, width) byte matrix, padded with N on the right; longer ones are refused."""
+    seqs = list(seqs)
+    longest = max(map(len, seqs), default=0)
+    if longest > width:
+        raise ValueError(f"a sequence of {longest} nt does not fit a model of {width} nt")
+    joined = "".join(s.ljust(width, "N") for s in seqs)
     return np.frombuffer(joined.encode("ascii"), dtype=np.uint8).reshape(-1, width)
 
 
@@ -65,6 +69,8 @@ class Scorer:
 
     def scan(self, codes: np.ndarray, starts: np.ndarray, strand: str) -> np.ndarray:
         """Logits of the windows at ``starts`` of a long byte array."""
+        if not len(starts):
+            return np.empty((0, 2))
         view = np.lib.stride_tricks.sliding_window_view(codes, self.width)
         out = []
         for i in range(0, len(starts), self.batch_size):
@@ -138,12 +144,17 @@ class StemScorer(MotifScorer):
 
 def p_class1(l0: Column, l1: Column) -> Column:
     """Softmax over two classes, probability of class 1."""
-    return F.round(1 / (1 + F.exp(l0 - l1)), 6)
+    return 1 / (1 + F.exp(l0 - l1))
 
 
 def p_top(p_pos: Column) -> Column:
     """Probability of the winning class."""
-    return F.round(F.greatest(p_pos, 1 - p_pos), 6)
+    return F.greatest(p_pos, 1 - p_pos)
+
+
+def shown(p: Column) -> Column:
+    """A probability as tables show it; thresholds compare the unrounded one."""
+    return F.round(p, 6)
 
 
 def label(l0: Column, l1: Column) -> Column:
@@ -172,17 +183,17 @@ _HITS = "contig string, strand string, start long, `end` long, l0 double, l1 dou
 def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool):
     width = scorer.width
 
-    def rows(pdf, strand, start, end, logits):
+    def rows(contigs, tile, strand, start, end, logits):
         keep = np.ones(len(start), bool) if keep_all else logits[:, 1] > logits[:, 0]
         return pd.DataFrame({
-            "contig": pdf["contig"].to_numpy()[keep], "strand": strand,
+            "contig": contigs[tile[keep]], "strand": strand,
             "start": start[keep], "end": end[keep],
             "l0": logits[keep, 0], "l1": logits[keep, 1],
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            short = pdf[pdf["length"] <= width]
+            short = pdf[(pdf["length"] <= width) & (pdf["tile_start"] == 0)]
             tiles = pdf[pdf["length"] > width].reset_index(drop=True)
             if len(tiles):
                 codes = np.frombuffer("".join(tiles["seq"]).encode("ascii"), dtype=np.uint8)
@@ -191,7 +202,7 @@ def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool)
                 for strand in strands:
                     tile, start = _tile_starts(tiles, width, step, strand)
                     logits = scorer.scan(codes, start + at[tile], strand)
-                    yield rows(tiles.iloc[tile], strand, start, start + width, logits)
+                    yield rows(tiles["contig"].to_numpy(), tile, strand, start, start + width, logits)
             for strand in strands if len(short) else []:
                 codes = encode(short["seq"], width)
                 if strand == "-":
@@ -200,7 +211,9 @@ def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool)
                         [_COMPLEMENT[np.frombuffer(s.encode(), np.uint8)[::-1]].tobytes().decode()
                          for s in short["seq"]], width)
                 end = short["length"].to_numpy()
-                yield rows(short, strand, np.zeros_like(end), end, scorer.logits(codes))
+                yield rows(
+                    short["contig"].to_numpy(), np.arange(len(short)), strand, np.zeros_like(end), end,
+                    scorer.logits(codes))
 
     return run
 
@@ -211,18 +224,22 @@ def scan(
     step: int = K.STEP,
     strand: str = "both",
     keep_all: bool = False,
+    threshold: float | None = None,
 ) -> DataFrame:
     """``(contig, strand, start, end, prob)`` of the positive windows of tiles.
 
     Negatives are dropped inside the task, before anything is shuffled;
-    ``keep_all`` keeps them, with their label.
+    ``keep_all`` keeps them, with their label.  A ``threshold`` is compared with
+    the unrounded probability.
     """
     scorer = scorer or MotifScorer()
     hits = tiles.select("contig", "length", "tile_start", "tile_end", "seq").mapInPandas(
         _scan_batches(scorer, step, STRANDS[strand], keep_all), _HITS
     )
     l0, l1 = F.col("l0"), F.col("l1")
-    out = hits.select("contig", "strand", "start", "end", p_class1(l0, l1).alias("prob"),
+    if threshold is not None:
+        hits = hits.filter(p_class1(l0, l1) > threshold)
+    out = hits.select("contig", "strand", "start", "end", shown(p_class1(l0, l1)).alias("prob"),
                       label(l0, l1).alias("label"))
     return out if keep_all else out.drop("label")
 
@@ -245,10 +262,13 @@ def bed_threshold(threshold: float | None = None) -> float:
     return K.PROB_FIRST_RELAXED if threshold in (None, K.PROB_FIRST) else threshold
 
 
-def score_windows(df: DataFrame, scorer: Scorer | None = None, seq: str = "window_seq") -> DataFrame:
+def score_windows(
+    df: DataFrame, scorer: Scorer | None = None, seq: str = "window_seq", above: float | None = None
+) -> DataFrame:
     """Adds ``p_pos``, ``p_top`` and ``label`` to a table of windows; no shuffle.
 
-    A window without a sequence is not scored and gets label 0.
+    A window without a sequence is not scored and gets label 0.  With ``above``
+    also ``passes``: positive, and the unrounded probability over that threshold.
     """
     scorer = scorer or MotifScorer()
 
@@ -266,12 +286,11 @@ def score_windows(df: DataFrame, scorer: Scorer | None = None, seq: str = "windo
     # for a filter on its result
     scored = df.withColumn("_l", logits.asNondeterministic()(F.col(seq)))
     l0, l1 = F.col("_l.l0"), F.col("_l.l1")
-    return (
-        scored.withColumn("p_pos", p_class1(l0, l1))
-        .withColumn("p_top", p_top(F.col("p_pos")))
-        .withColumn("label", label(l0, l1))
-        .drop("_l")
-    )
+    p = p_class1(l0, l1)
+    scored = scored.withColumn("p_pos", shown(p)).withColumn("p_top", shown(p_top(p))).withColumn("label", label(l0, l1))
+    if above is not None:
+        scored = scored.withColumn("passes", (l1 > l0) & (p_top(p) > above))
+    return scored.drop("_l")
 
 
 def refine(candidates: DataFrame, scorer: Scorer | None = None) -> DataFrame:

@@ -82,6 +82,12 @@ def tile_lines(
             F.least((F.col("tile") + 1) * size, F.col("length")).alias("tile_end"),
             F.array_join(F.col("parts.bases"), "").alias("seq"),
         )
+        # entries of one name, or lines that are missing, would give another length
+        .withColumn("seq", F.when(
+            F.length("seq") == F.least(F.col("tile_end") + halo, F.col("length")) - F.col("tile_start"), F.col("seq")
+        ).otherwise(F.raise_error(F.concat(
+            F.lit("tile "), F.col("tile").cast("string"), F.lit(" of "), F.col("contig"),
+            F.lit(" does not hold each base once: repeated names or missing lines")))))
     )
 
 

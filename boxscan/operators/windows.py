@@ -30,7 +30,8 @@ def owned_starts(strand: Column, width: int, step: int) -> Column:
     with_flush = F.when(
         (flush >= lo) & (flush <= hi), F.array_union(regular, F.array(flush))
     ).otherwise(regular)
-    return F.when(length <= width, F.array(F.lit(0).cast("long"))).otherwise(with_flush)
+    whole = F.when(lo == 0, F.array(F.lit(0).cast("long"))).otherwise(none)
+    return F.when(length <= width, whole).otherwise(with_flush)
 
 
 def sliding_windows(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
+from boxscan.operators import checks
 from boxscan.operators.attribution import attribute, positives_only
 from boxscan.operators.centres import (
     centre_windows, confirm_centres, short_candidates, with_prediction_ids,
@@ -15,18 +17,20 @@ from boxscan.operators.centres import (
 from boxscan.operators.extract import sequences_at
 from boxscan.operators.features import with_features
 from boxscan.operators.islands import blocks_of
-from boxscan.operators.limits import gene_table, one_per_location, without_n
+from boxscan.operators.limits import gene_table, without_n
 from boxscan.operators.merge import keep_long, merge_reciprocal
 from boxscan.operators.motifs import find_boxes
 from boxscan.operators.peaks import prepare_peaks
 from boxscan.operators.rules import apply_rules
 from boxscan.operators.scoring import (
-    MotifScorer, Scorer, StemScorer, above, bed_threshold, refine, scan, scan_threshold, score_windows,
+    MotifScorer, Scorer, StemScorer, bed_threshold, refine, scan, scan_threshold, score_windows,
 )
-from boxscan.operators.tiles import TILE
+from boxscan.operators.tiles import TILE, tile_lines
 from boxscan.session import stage, task_count
 from boxscan.sinks.formats import write
 from boxscan.sinks.tables import final_table
+from boxscan.sources.bed import bed_lines, parse_bed
+from boxscan.sources.fasta import contig_sizes, fasta_headers, read_fasta
 
 
 @dataclass
@@ -48,13 +52,15 @@ class Params:
     first_model_only: bool = False
     min_box_dist: int = K.MIN_BOX_DIST
     flanking_nt: int = K.FLANK
-    batch_size: int = 128
+    batch_size: int | None = None             # None: what the model itself asks for
+    on_bad_peaks: str = "raise"               # or "drop": leave them out, see rejected_peaks
     first_model: Scorer = field(default_factory=MotifScorer)
     second_model: Scorer = field(default_factory=StemScorer)
 
     def __post_init__(self):
         for name in ("step_size", "tile_size", "consecutive_windows", "batch_size"):
-            if getattr(self, name) <= 0:
+            value = getattr(self, name)
+            if value is not None and value <= 0:
                 raise ValueError(f"{name} must be > 0")
         for name in ("box_score", "score_c", "score_d"):
             if getattr(self, name) < 0:
@@ -68,13 +74,17 @@ class Params:
                 raise ValueError(f"{name} must be <= 0")
         if self.strand not in ("both", "plus", "minus"):
             raise ValueError("strand must be both, plus or minus")
-        self.first_model.batch_size = self.second_model.batch_size = self.batch_size
+        if self.on_bad_peaks not in ("raise", "drop"):
+            raise ValueError("on_bad_peaks must be raise or drop")
+        if self.batch_size is not None:  # on copies: the models belong to the caller
+            self.first_model, self.second_model = copy(self.first_model), copy(self.second_model)
+            self.first_model.batch_size = self.second_model.batch_size = self.batch_size
 
 
 def positive_windows(tiles: DataFrame, params: Params, threshold: float) -> DataFrame:
     """Positive windows above the threshold, written once: scoring is what costs."""
-    hits = scan(tiles, params.first_model, params.step_size, params.strand)
-    return stage(above(hits, threshold), "windows")
+    hits = scan(tiles, params.first_model, params.step_size, params.strand, threshold=threshold)
+    return stage(hits, "windows")
 
 
 def merged_blocks(windows: DataFrame, params: Params) -> DataFrame:
@@ -89,7 +99,11 @@ def find_candidates(tiles: DataFrame, params: Params, threshold: float) -> DataF
     found = confirm_centres(
         centres, windows, tiles, threshold, params.step_size, params.first_model, params.tile_size
     )
-    return with_prediction_ids(found.unionByName(short_candidates(windows, tiles)))
+    short = short_candidates(windows, tiles)
+    if params.consecutive_windows == 1:
+        # a contig of one window would be a block as well
+        found = found.join(short.select("contig").distinct(), "contig", "left_anti").select(*found.columns)
+    return with_prediction_ids(found.unionByName(short))
 
 
 def candidates_of_peaks(
@@ -98,9 +112,9 @@ def candidates_of_peaks(
     """Prepared peaks whose window is positive; ids are the user's."""
     threshold = bed_threshold(params.prob_first_model)
     read = sequences_at(prepare_peaks(peaks, sizes), tiles, params.tile_size)
-    scored = score_windows(read, params.first_model)
+    scored = score_windows(read, params.first_model, above=threshold)
     # attribution scores each candidate some 190 times: spread the few rows first
-    return scored.repartition(task_count(peaks.sparkSession), "gene_id").filter((F.col("label") == 1) & (F.col("p_top") > threshold)).select(
+    return scored.repartition(task_count(peaks.sparkSession), "gene_id").filter("passes").select(
         "contig", "start", "end", "strand", F.col("p_top").alias("score"),
         F.col("gene_id").alias("block_id"), F.col("start").alias("block_start"),
         F.col("end").alias("block_end"), "window_seq", "gene_id",
@@ -132,7 +146,7 @@ def label_genes(
 
 def _finish(candidates: DataFrame, params: Params, energies: DataFrame | None) -> DataFrame:
     if params.first_model_only:
-        return final_table(one_per_location(without_n(genes_of(candidates, params))), minimal=True)
+        return final_table(without_n(genes_of(candidates, params)), minimal=True)
     candidates = stage(candidates, "candidates")
     return final_table(label_genes(
         genes_of(candidates, params), refine(candidates, params.second_model), params, energies
@@ -157,8 +171,35 @@ def run_peaks(
 ) -> DataFrame:
     """Final gene table of given peaks; step, strand and block settings do not apply."""
     params = params or Params()
+    if params.on_bad_peaks == "raise":
+        checks.raise_on_error(checks.check_peaks(peaks, sizes))
     return _finish(candidates_of_peaks(peaks, sizes, tiles, params), params, energies)
 
 
+def run_files(
+    spark: SparkSession,
+    fasta: str,
+    bed: str | None = None,
+    params: Params | None = None,
+    energies: DataFrame | None = None,
+) -> DataFrame:
+    """Final gene table straight from FASTA, and BED if peaks are given.
+
+    All input checks run first and raise.  The tiles are written once, as the
+    run reads them several times.
+    """
+    params = params or Params()
+    lines = read_fasta(spark, fasta)
+    sizes = stage(contig_sizes(lines), "sizes")
+    checks.raise_on_error(checks.check_fasta(fasta_headers(spark, fasta), sizes))
+    if bed is not None:
+        raw = bed_lines(spark, bed)
+        checks.raise_on_error(checks.combine([checks.check_bed_lines(raw), checks.check_bed_numbers(raw)]))
+        peaks = parse_bed(raw)
+        checks.raise_on_error(checks.check_peaks(peaks, sizes))
+    tiles = stage(tile_lines(lines, sizes, params.tile_size), "lake")
+    return run_scan(tiles, params, energies) if bed is None else run_peaks(peaks, sizes, tiles, params, energies)
+
+
 def save(final: DataFrame, path: str, output_type: str = "tsv") -> None:
     write(final, path, output_type)

@@ -610,6 +610,26 @@ ORACLE: dict[str, str] = {
                       "(SELECT gene_id FROM peaks GROUP BY gene_id HAVING count(*) > 1)"),
         "SELECT 'scoring_units', 'info', count(*) + count(*) FILTER (strand NOT IN ('+', '-')), NULL FROM peaks",
     ])),
+    "bed_line_checks": query([PEAKS, """lines AS MATERIALIZED (
+      SELECT *, CASE WHEN row_no % 83 = 1 THEN 1 WHEN row_no % 71 = 2 THEN 4 ELSE 6 END AS cells,
+        row_number() OVER (PARTITION BY contig ORDER BY row_no) AS nth,
+        CASE WHEN row_no % 67 = 3 THEN '1e3' ELSE CAST(start AS VARCHAR) END AS place
+      FROM peaks
+    ), written AS MATERIALIZED (
+      SELECT *, CASE cells WHEN 1 THEN contig || ' ' || place || ' ' || "end" || ' ' || gene_id
+        WHEN 4 THEN contig || chr(9) || place || chr(9) || "end" || chr(9) || gene_id
+        ELSE contig || chr(9) || place || chr(9) || "end" || chr(9) || gene_id || chr(9) || score || chr(9) || strand
+        END AS line
+      FROM lines
+    ), span AS MATERIALIZED (
+      SELECT count(DISTINCT cells) AS kinds, min(cells) || '-' || max(cells) AS sample, max(cells) AS most FROM lines
+    )"""], """SELECT 'not_tabbed' AS "check", 'error' AS severity, count(*) AS n, min(CAST(cells AS VARCHAR)) AS sample
+      FROM lines WHERE cells < 2
+      UNION ALL SELECT 'empty_bed', 'error', CASE WHEN kinds = 0 THEN 1 ELSE 0 END, sample FROM span
+      UNION ALL SELECT 'uneven_columns', 'error', CASE WHEN kinds > 1 THEN kinds ELSE 0 END, sample FROM span
+      UNION ALL SELECT 'too_few_columns', 'error', CASE WHEN kinds = 1 AND most < 6 THEN 1 ELSE 0 END, sample FROM span
+      UNION ALL SELECT 'no_number', 'error', count(*), min(line) FROM written
+      WHERE (cells = 1 OR place = '1e3') AND nth > 1"""),
     "missing_contigs": query([CONTIGS, PEAKS],
         "SELECT contig, count(*) AS n_peaks FROM peaks WHERE contig NOT IN (SELECT contig FROM contigs) GROUP BY contig"),
     "reverse_complement": query([CONTIGS], f"SELECT contig, {revcomp('seq')} AS rc FROM contigs"),
@@ -673,6 +693,21 @@ ORACLE: dict[str, str] = {
         'SELECT contig, start, "end", gene_id, score, strand FROM centred_peaks'),
     "bed_deduplicate": query([PEAKS, dedup("peaks", "u")],
         'SELECT contig, start, "end", gene_id, score, strand FROM u'),
+    "rejected_peaks": query([*PREPARED[:4], dedup("centred_peaks", "u"), f"""named AS MATERIALIZED (
+      SELECT row_no FROM (
+        SELECT row_no, row_number() OVER (PARTITION BY gene_id ORDER BY row_no) AS a FROM centred_peaks) WHERE a = 1
+    ), inside AS MATERIALIZED (
+      SELECT row_no FROM (
+        SELECT p.row_no, greatest(p.start - greatest(CAST(floor(({W} - (p."end" - p.start)) / 2) AS BIGINT), 0), 0) AS s,
+          least(p."end" + greatest(CAST(ceil(({W} - (p."end" - p.start)) / 2) AS BIGINT), 0), t.len) AS e
+        FROM u p JOIN contigs t ON t.contig = p.contig) WHERE s < e
+    )"""], """SELECT row_no, gene_id, reason FROM (
+        SELECT row_no, gene_id, CASE WHEN start >= "end" THEN 'start_not_before_end' WHEN start < 0 THEN 'negative_start'
+          WHEN row_no NOT IN (SELECT row_no FROM named) THEN 'repeated_id'
+          WHEN row_no NOT IN (SELECT row_no FROM u) THEN 'repeated_place'
+          WHEN contig NOT IN (SELECT contig FROM contigs) THEN 'unknown_contig'
+          WHEN row_no NOT IN (SELECT row_no FROM inside) THEN 'outside_contig' END AS reason
+        FROM peaks) WHERE reason IS NOT NULL"""),
     "bed_prepare": query(PREPARED, 'SELECT contig, start, "end", gene_id, strand FROM prepared'),
     "bed_slop": query([CONTIGS, PEAKS],
         'SELECT p.row_no, p.contig, greatest(p.start - 30, 0) AS start, least(p."end" + 50, t.len) AS "end" '
@@ -763,3 +798,7 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'semi', contig, len, NULL FROM contigs WHERE contig IN (SELECT contig FROM known) "
         "UNION ALL SELECT 'anti', contig, len, NULL FROM contigs WHERE contig NOT IN (SELECT contig FROM known)"),
 }
+
+# other plans for the same rows
+ORACLE["short_contigs_small_tile"] = ORACLE["short_contigs"]
+ORACLE["scan_user_scorer"] = ORACLE["positive_windows"]

@@ -34,7 +34,7 @@ def sizes(spark, folder):
 
 
 def hits(spark, folder, threshold, step=K.STEP):
-    return scoring.above(scoring.scan(lake(spark, folder), step=step), threshold)
+    return scoring.scan(lake(spark, folder), step=step, threshold=threshold)
 
 
 def params(**more) -> genome.Params:
@@ -115,6 +115,21 @@ def q_bed_checks(spark, folder):
     ])
 
 
+def q_bed_line_checks(spark, folder):
+    """Lines with blanks for tabs, missing cells and places that are no numbers; a file per contig."""
+    peaks_ = tables.document_peaks(spark, folder)
+    place = F.when(F.pmod("row_no", F.lit(67)) == 3, "1e3").otherwise(F.col("start").cast("string"))
+    cells = [F.col("contig"), place, F.col("end").cast("string"), F.col("gene_id")]
+    line = (
+        F.when(F.pmod("row_no", F.lit(83)) == 1, F.concat_ws(" ", *cells))
+        .when(F.pmod("row_no", F.lit(71)) == 2, F.concat_ws("\t", *cells))
+        .otherwise(F.concat_ws("\t", *cells, F.col("score"), F.col("strand")))
+    )
+    lines = peaks_.select(
+        line.alias("value"), F.struct(F.col("contig").alias("file"), F.col("row_no").alias("line")).alias("row_no"))
+    return checks.combine([checks.check_bed_lines(lines), checks.check_bed_numbers(lines)])
+
+
 def q_missing_contigs(spark, folder):
     return checks.missing_contigs(tables.document_peaks(spark, folder), sizes(spark, folder))
 
@@ -269,7 +284,31 @@ def q_short_contigs(spark, folder):
         F.concat_ws("_", "contig", F.col("pos").cast("string")).alias("contig"),
         F.col("bases").alias("seq"), F.length("bases").cast("long").alias("length"),
     ))
-    return centres.short_candidates(scoring.above(scoring.scan(short), SCAN), short)
+    return centres.short_candidates(scoring.scan(short, threshold=SCAN), short)
+
+
+def q_short_contigs_small_tile(spark, folder):
+    """The same entries, cut into tiles that are shorter than they are."""
+    pieces = tiles.split_lines(tables.document_contigs(spark, folder), 190)
+    short = pieces.select(
+        F.concat_ws("_", "contig", F.col("pos").cast("string")).alias("contig"),
+        F.col("bases").alias("seq"), F.length("bases").cast("long").alias("length"),
+    )
+    cut = tiles.tile_sequences(short, 100)
+    return centres.short_candidates(scoring.scan(cut, threshold=SCAN), tiles.tile_sequences(short))
+
+
+class OwnModel(scoring.Scorer):
+    """A model of a user's: only ``logits``, no shortcut for tiles."""
+
+    def logits(self, windows):
+        return scoring.MotifScorer().logits(windows)
+
+
+def q_scan_user_scorer(spark, folder):
+    """Positive windows by a user's model over tiles of 500 nt."""
+    cut = tiles.tile_sequences(tables.document_contigs(spark, folder), 500)
+    return scoring.scan(cut, OwnModel(), threshold=SCAN)
 
 
 # --- peaks ---------------------------------------------------------------
@@ -286,6 +325,11 @@ def q_bed_prepare(spark, folder):
     return bed.prepare_peaks(tables.document_peaks(spark, folder), sizes(spark, folder))
 
 
+def q_rejected_peaks(spark, folder):
+    """Every peak that the preparation leaves out, and why."""
+    return bed.rejected_peaks(tables.document_peaks(spark, folder), sizes(spark, folder))
+
+
 def q_bed_slop(spark, folder):
     wide = slop(tables.document_peaks(spark, folder), sizes(spark, folder), F.lit(30), F.lit(50))
     return wide.select("row_no", "contig", "start", "end")
@@ -457,7 +501,8 @@ def q_final_first_model(spark, folder):
 
 def q_final_peaks(spark, folder):
     return genome.run_peaks(
-        tables.document_peaks(spark, folder), sizes(spark, folder), lake(spark, folder), params())
+        tables.document_peaks(spark, folder), sizes(spark, folder), lake(spark, folder),
+        params(on_bad_peaks="drop"))
 
 
 # --- sinks ---------------------------------------------------------------

@@ -26,20 +26,21 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+    """The folder named by ``spark.checkpoint.dir``, which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder.rstrip("/") if folder else own_folder(spark)
+
 
-    Where it is unset (tests, notebooks), a folder under the warehouse takes its
-    place and is set.  A path on a local disk is refused then unless the
-    executors run in this machine's own JVM: they would not see it.
+def own_folder(spark: SparkSession) -> str:
+    """Where the setting is missing (tests, notebooks): a folder under the warehouse.
+
+    A path on a local disk is refused unless the executors run in this machine's
+    own JVM: they would not see it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/boxscan-shared"
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        if not local and _scheme(spark, folder) == "file":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/boxscan-shared"
+    if spark.sparkContext.master.split("[")[0] != "local" and _scheme(spark, folder) == "file":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def _scheme(spark: SparkSession, folder: str) -> str:

@@ -20,17 +20,25 @@ def bed_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_bed(lines: DataFrame) -> DataFrame:
-    """First six columns, typed; rows whose start or end is no integer (headers) go."""
+def _typed(lines: DataFrame) -> DataFrame:
     cells = F.split("value", "\t", -1)
     typed = lines.select(
-        *[F.get(cells, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)], "row_no"
-    )
-    return (
-        typed.withColumn("start", F.col("start").try_cast("long"))
-        .withColumn("end", F.col("end").try_cast("long"))
-        .filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+        *[F.get(cells, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)], "row_no", "value"
     )
+    return typed.withColumn("start", F.col("start").try_cast("long")).withColumn("end", F.col("end").try_cast("long"))
+
+
+def parse_bed(lines: DataFrame) -> DataFrame:
+    """First six columns, typed, of the rows with integer places; ``bad_numbers`` has the others."""
+    return _typed(lines).drop("value").filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+
+
+def bad_numbers(lines: DataFrame) -> DataFrame:
+    """Lines whose start or end is no integer, but for a header in the first line of a file."""
+    bad = _typed(lines).filter(F.col("start").isNull() | F.col("end").isNull())
+    first = lines.groupBy(F.col("row_no.file").alias("_file")).agg(F.min("row_no").alias("_first"))
+    met = (F.col("row_no.file") == F.col("_file")) & (F.col("row_no") == F.col("_first"))
+    return bad.join(first, met, "left_anti").select("value", "row_no")
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
