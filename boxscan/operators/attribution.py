@@ -17,27 +17,31 @@ MASK = ord("N")
 
 
 def occlusion(scorer: Scorer, seq: Column, k: int = K.KMER) -> Column:
-    """Drop in P(class 1) when a k-mer is masked, for every k-mer of the window."""
+    """Drop in P(class 1) when a k-mer is masked, for every k-mer of the window.
 
-    def positive(codes):
-        logits = scorer.logits(codes)
-        return 1.0 / (1.0 + np.exp(logits[:, 0] - logits[:, 1]))
-
-    def drops(row: np.ndarray, length: int) -> np.ndarray:
-        n = max(length - k + 1, 0)
-        masked = np.repeat(row[None, :], n, axis=0)
-        at = np.arange(n)
-        for j in range(k):
-            masked[at, at + j] = MASK
-        full = positive(row[None, :])[0]
-        parts = [positive(masked[i:i + scorer.batch_size]) for i in range(0, n, scorer.batch_size)]
-        return full - np.concatenate(parts) if parts else np.empty(0)
+    The whole windows and all their masked copies make one stream of rows per
+    Arrow batch, and the model sees it in full batches.
+    """
+    def drops(codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        copies = np.maximum(lengths - k + 1, 0) + 1  # the first one is not masked
+        ends = np.cumsum(copies)
+        owner = np.repeat(np.arange(len(codes)), copies)
+        place = np.arange(len(owner)) - (ends - copies)[owner] - 1
+        p = np.empty(len(owner))
+        for at in range(0, len(owner), scorer.batch_size):
+            own, where = owner[at:at + scorer.batch_size], place[at:at + scorer.batch_size]
+            rows = codes[own]
+            masked = np.flatnonzero(where >= 0)
+            rows[masked[:, None], where[masked, None] + np.arange(k)] = MASK
+            logits = scorer.logits(rows)
+            p[at:at + len(own)] = 1.0 / (1.0 + np.exp(logits[:, 0] - logits[:, 1]))
+        whole = p[ends - copies]
+        return [whole[i] - p[ends[i] - copies[i] + 1:ends[i]] for i in range(len(codes))]
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for seqs in batches:
-            codes = encode(seqs, scorer.width)
-            yield pd.Series([drops(row, len(s)) for row, s in zip(codes, seqs)], dtype=object)
+            yield pd.Series(drops(encode(seqs, scorer.width), seqs.str.len().to_numpy()), dtype=object)
 
     return run.asNondeterministic()(seq)
 

@@ -55,6 +55,7 @@ class _Bucket:
         self.begin, self.stop = key[2] * size, (key[2] + 1) * size
         self.halo = halo
         self.reach = None        # largest end so far
+        self.before = None       # end of the row before
         self.cur = None          # open block of the chain that opened here
         self.ahead = []          # closed blocks that start beyond this bucket
         self.carried = []        # rows that go on with a chain opened earlier
@@ -86,6 +87,10 @@ class _Bucket:
     def row(self, start, end, score, n, role):
         if self.over:
             return
+        if self.before is not None and 2 * (self.before - start) > self.halo:
+            raise ValueError(
+                f"blocks at {start} of {self.key[0]} overlap by {self.before - start} nt: halo {self.halo} is too small")
+        self.before = end
         if role == CONTEXT:
             self.reach = end if self.reach is None else max(self.reach, end)
             return

@@ -4,9 +4,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxscan import session
-from boxscan.operators import checks, peaks, scoring, tiles, windows
+from boxscan.operators import attribution, checks, merge, peaks, scoring, tiles, windows
 from boxscan.plans.genome import Params, run_files, run_peaks
 from boxscan.sources.bed import bad_numbers, bed_lines, parse_bed
 
@@ -143,3 +144,32 @@ def test_a_local_folder_is_refused_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.own_folder(Elsewhere)
+
+
+def test_attribution_fills_its_batches(spark):
+    """The model is called once per full batch of an Arrow batch, whatever the candidates."""
+    calls = spark.sparkContext.accumulator(0)
+    plain = scoring.MotifScorer()
+
+    def logits(seqs):
+        calls.add(1)
+        return plain.logits(scoring.encode(seqs, 194))
+
+    model = scoring.CallableScorer(logits, batch_size=100)
+    rows = spark.createDataFrame([(gene(194 - 7 * i),) for i in range(5)], "window_seq string").coalesce(1)
+    got = rows.select("window_seq", attribution.occlusion(model, F.col("window_seq")).alias("d")).collect()
+    windows_ = sum(194 - 7 * i - 5 + 1 for i in range(5))
+    assert calls.value == -(-windows_ // 100)
+    for r in got:
+        n = len(r.window_seq)
+        masked = [r.window_seq] + [r.window_seq[:i] + "N" * 6 + r.window_seq[i + 6:] for i in range(n - 5)]
+        out = plain.logits(scoring.encode(masked, 194))
+        p = 1 / (1 + np.exp(out[:, 0] - out[:, 1]))
+        assert np.allclose(r.d, p[0] - p[1:])
+
+
+def test_a_halo_that_is_too_small_is_refused(spark):
+    blocks = spark.createDataFrame([("a", "+", 0, 300, 0.9, 1), ("a", "+", 100, 400, 0.9, 1)],
+                                   "contig string, strand string, start long, `end` long, score double, n_windows long")
+    with pytest.raises(Exception, match="is too small"):
+        merge.merge_reciprocal(blocks, halo=300).collect()
