@@ -1,6 +1,6 @@
 """Byte-level BPE: Spark higher-order functions fold the merges of distinct words.
 
-Documents are taken in blocks (some ten million characters of one partition).
+Documents are taken in blocks (eight million characters of one partition).
 A first Arrow pass splits the texts of a block and numbers its distinct words;
 the JVM then encodes each distinct word once: an ``aggregate`` over the array of
 its bytes merges the adjacent pair of lowest rank until none is left, looking
@@ -42,7 +42,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Words above so many bytes are not folded.
 FOLD_BYTES = 48
 #: Characters of text in a block.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
