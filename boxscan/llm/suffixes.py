@@ -45,7 +45,7 @@ from boxscan.session import stage
 
 GRAM = 64
 #: Windows whose anchors are found in one go.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Contexts of one gram that are compared pair by pair.
 FEW = 16
 #: Documents whose contexts bound the ranges, and bytes of contexts in a range.
