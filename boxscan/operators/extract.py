@@ -21,8 +21,10 @@ def sequences_at(
     """Adds the stranded sequence of each interval, at most ``halo + 1`` nt long.
 
     One tile holds the whole interval, so this is an equi-join on
-    (contig, tile): a tile row meets only its own intervals, and AQE splits a
-    tile on which many of them lie.  Intervals on unknown contigs drop out.
+    (contig, tile): a tile row meets only its own intervals.  Where both sides
+    are shuffled, AQE splits a tile on which many of them lie; a bucketed lake is
+    not shuffled, so there the intervals of a tile stay in one task.  Intervals
+    on unknown contigs drop out (``peaks.rejected_peaks`` names them).
 
     The tiles are the large side.  The intervals are written and measured
     first: a small set is broadcast, so that no tile moves; a large one is

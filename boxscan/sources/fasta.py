@@ -142,10 +142,11 @@ def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -
     pieces = lines.mapInPandas(_pieces, _PIECES)
     resplit = F.raise_error(F.lit("the split size changed since the FASTA files were summed up"))
     before = F.when(F.col("known"), F.col("carry_len")).otherwise(resplit.cast("long"))
+    stray = F.raise_error(F.concat(F.lit("bases before the first header of "), "file")).cast("string")
     return (
         pieces.join(carried, ["file", "block"], "left")
         .select(
-            F.coalesce("name", "carry_name").alias("contig"),
+            F.coalesce("name", "carry_name", F.when(F.length("bases") > 0, stray)).alias("contig"),
             (F.col("offset") + F.when(F.col("name").isNull(), before).otherwise(0)).alias("pos"),
             "bases",
         )

@@ -38,6 +38,11 @@ def test_repeated_names_and_gaps_are_refused(spark):
         tiles.tile_lines(gap, sizes).collect()
 
 
+def test_bases_without_a_header_are_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="before the first header"):
+        run_files(spark, write(tmp_path / "stray", "a.fa", f"ACGT\n>one\n{gene(300)}\n"))
+
+
 def test_only_a_first_line_may_be_a_header(spark, tmp_path):
     folder = write(tmp_path / "bed", "a.bed", "chrom\tstart\tend\tname\tscore\tstrand\na\t1\t9\tx\t.\t+\na\t1e3\t1,000\ty\t.\t+\n")
     lines = bed_lines(spark, folder)
