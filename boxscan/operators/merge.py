@@ -87,7 +87,7 @@ class _Bucket:
     def row(self, start, end, score, n, role):
         if self.over:
             return
-        if self.before is not None and 2 * (self.before - start) > self.halo:
+        if self.before is not None and self.before - start > self.halo:
             raise ValueError(
                 f"blocks at {start} of {self.key[0]} overlap by {self.before - start} nt: halo {self.halo} is too small")
         self.before = end
@@ -229,7 +229,8 @@ def merge_reciprocal(
     """Merged ``(contig, strand, start, end, score, n_windows)``.
 
     ``halo`` must be at least twice the largest overlap of two neighbouring
-    blocks (islands of windows share less than a window).
+    blocks (islands of windows share less than a window); an overlap beyond the
+    halo itself raises.
     """
     key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*KEYS).schema)
     own = F.floor(F.col("start") / bucket)

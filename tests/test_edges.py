@@ -174,7 +174,7 @@ def test_attribution_fills_its_batches(spark):
 
 
 def test_a_halo_that_is_too_small_is_refused(spark):
-    blocks = spark.createDataFrame([("a", "+", 0, 300, 0.9, 1), ("a", "+", 100, 400, 0.9, 1)],
+    blocks = spark.createDataFrame([("a", "+", 0, 700, 0.9, 1), ("a", "+", 100, 800, 0.9, 1)],
                                    "contig string, strand string, start long, `end` long, score double, n_windows long")
     with pytest.raises(Exception, match="is too small"):
         merge.merge_reciprocal(blocks, halo=300).collect()
