@@ -1,6 +1,6 @@
 """Byte-level BPE: Spark higher-order functions fold the merges of distinct words.
 
-Documents are taken in blocks (eight million characters of one partition).
+Documents are taken in blocks (four million characters of one partition).
 A first Arrow pass splits the texts of a block and numbers its distinct words;
 the JVM then encodes each distinct word once: an ``aggregate`` over the array of
 its bytes merges the adjacent pair of lowest rank until none is left, looking
@@ -42,7 +42,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Words above so many bytes are not folded.
 FOLD_BYTES = 48
 #: Characters of text in a block.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -233,7 +233,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
                 begin = i + 1
                 block = flush()
                 fresh()
+                pa.default_memory_pool().release_unused()
                 yield block
+                del block
         if begin < batch.num_rows:
             kept.append(rest.slice(begin))
     if kept:
@@ -282,6 +284,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 arrays.append(pa.Array.from_buffers(
                     pa.binary(), last - first, [None, pa.py_buffer((local * 4).astype(np.int32).tobytes()), data]))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, "ids", "ids_le"])
+            del cell, ids, flat, by_chunk, take, out, rows
+        pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
