@@ -14,7 +14,8 @@ Groups of copies of any size are handled without listing pairs:
    crowded node (the original among its variants).  Every node is compared with
    the pivots of its buckets: a star, linear in the nodes.
 3. Only where a pivot's neighbourhood still holds several components, its nodes
-   outside the pivot's component are compared with all of it, block by block.
+   outside the pivot's component (even a single one) are compared with all of
+   it, block by block.
    Two candidates are then in one component or were compared, so no link
    between components is lost.
 
@@ -299,8 +300,8 @@ def near_duplicates(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
         around.groupBy("pivot").agg(
             F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
             F.ceil(F.count(F.when(F.col("apart"), 1)) / BLOCK).cast("int").alias("sides"),
-            F.count(F.when(F.col("apart"), 1)).alias("n_apart"),
-        ).where("n_apart > 1"), "open")
+            F.count(F.when(F.col("apart"), 1)).alias("n_apart"), F.count("*").alias("n_nodes"),
+        ).where("n_apart > 0 AND n_nodes > 2"), "open")  # a single node apart meets the others too
     rest = around.join(open_pivots, "pivot")
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     left = rest.where("apart").select(

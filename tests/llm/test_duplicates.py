@@ -43,6 +43,22 @@ def test_near_duplicates_chain(spark):
     check_components(spark, rows, near_dup.Likeness(words=5, percent=80))
 
 
+def test_near_duplicates_single_node_apart(spark):
+    """X is linked to Y, Y to the original O, X not to O, and nothing else around O is apart."""
+    rows = []
+    for g in range(6):
+        own = [f"g{g}w{i}" for i in range(300)]
+
+        def but(words, places, new):
+            return [f"g{g}{new}{i}" if i in places else w for i, w in enumerate(words)]
+
+        y = but(own, {0, 1}, "y")
+        group = [own, y, but(y, set(range(100, 124)), "x")]
+        group += [but(own, {10 + 2 * k, 11 + 2 * k}, f"v{k}n") for k in range(30)]
+        rows += [(100 * g + k, " ".join(words)) for k, words in enumerate(group)]
+    check_components(spark, rows, near_dup.Likeness(words=1, percent=85))
+
+
 def test_near_duplicates_odd_rows(spark):
     how = near_dup.Likeness(words=3, percent=85)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dup.near_duplicates(odd(spark), how).collect())
