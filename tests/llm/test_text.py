@@ -138,6 +138,33 @@ def test_pii(spark):
     assert pii.pseudonymize(docs.limit(0)).count() == 0 and pii.pseudonymize(odd(spark)).count() == len(odd_rows())
 
 
+def test_pii_whole_names_and_numbers(spark):
+    """Names of several words, initials, bare words of a name, national and grouped phones, numbers by their digits."""
+    texts = [
+        "Mr John Paul Smith met Ms Mary Smith-Jones. Later Smith's car hit Jones, and Paul ran.",
+        "Mrs O'Brien, Mr McDonald, Mr J. Smith, Prof. Dr. Anna Lee and Herr Ludwig van Beethoven. The end.",
+        "212-555-0147 or 212.555.0147 or (212) 555-0147, +33 6 12 34 56 78 and +33612345678, 06 12 34 56 78",
+        "123-45-6789 is 123 45 6789", "Mr J. and Ms Ella Brown The third, +49 (0231) 555-3436 12", "Smith stays without a title, 1 000 000 too",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymize(docs).collect()}
+    for i, gone in ((0, "John Paul Smith Mary Jones"), (1, "Brien McDonald J. Smith Anna Lee Ludwig Beethoven"),
+                    (2, "555 0147 12 34 6123"), (3, "45 6789"), (4, "J. Ella Brown 0231")):
+        for word in gone.split():
+            assert word not in new[i], (word, new[i])
+    names = re.fullmatch(r"Mr (\w+) (\w+) (\w+) met Ms (\w+) (\w+)-(\w+)\. Later (\w+)'s car hit (\w+), and (\w+) ran\.", new[0])
+    assert names and names[3] == names[5] == names[7] and names[6] == names[8] and names[2] == names[9]
+    assert re.fullmatch(
+        r"Mrs \w+, Mr \w+, Mr [A-Z]\. (\w+), Prof\. Dr\. \w+ \w+ and Herr \w+ van \w+\. The end\.", new[1])[1] == names[3]
+    phones = re.fullmatch(
+        r"(\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4}) or (\(\d{3}\) \d{3}-\d{4}), "
+        r"(\+33 \d(?: \d\d){4}) and (\+33\d{9}), (\d\d(?: \d\d){4})", new[2])
+    digits = [re.sub("[^0-9]", "", p) for p in phones.groups()]
+    assert digits[0] == digits[1] == digits[2] and digits[3] == digits[4]
+    assert new[3].split(" is ")[0].replace("-", " ") == new[3].split(" is ")[1]
+    assert new[5] == texts[5]
+
+
 def test_pii_surrogates_are_distinct(spark):
     values = spark.range(4000).select(
         F.lit("phone").alias("kind"), F.format_string("+1 (01%d) 000-000%d", F.col("id") % 7, F.col("id") % 9).alias("value")
