@@ -9,8 +9,9 @@ twice go on.
 
 Tasks cut the context of their anchors (all bytes of the strings it stands for),
 sort them as suffixes (bytes from the anchor on, a sign that no text holds, then
-the bytes before it, backwards), join equal ones, and exchange the sorted runs
-front-coded: common prefix with the entry before, and the rest.  Ranges are
+the bytes before it, backwards), join equal ones (their spans are settled at once,
+one place and the count of each go on: a group of copies sends a range at most
+one place of a context per run), and exchange the sorted runs front-coded: common prefix with the entry before, and the rest.  Ranges are
 bounded by whole contexts of a bounded sample, so that a gram of any frequency
 is spread as long as its surroundings differ.  A range merges its runs with a
 loser tree that compares two entries only from the prefix on that both are known
@@ -174,11 +175,20 @@ def front_coded(keys: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int, bounds: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Sorted, front-coded runs of a task's contexts, cut at the bounds of the ranges."""
+    """Sorted, front-coded runs of a task's contexts, cut at the bounds of the ranges.
+
+    A context that a run holds twice or more is settled here: the spans of its
+    places leave as a range of the run's own (below zero), and one place goes on,
+    with the count.
+    """
     from bisect import bisect_right
 
+    from pyspark import TaskContext
+
     held: dict[bytes, list[tuple]] = {}
-    size = 0
+    size = flushed = 0
+    own_task = TaskContext.get()
+    task = own_task.partitionId() if own_task else 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         keys = sorted(held)
@@ -186,11 +196,23 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, bounds: list[bytes]) -
         for bound in bounds:
             cuts.append(bisect_right(keys, bound, cuts[-1]))
         cuts.append(len(keys))
+        copies = []
+        for key in keys:
+            if len(held[key]) > 1:  # all strings of these places repeat: only one place goes to the range
+                right = key.index(END)
+                far, near = len(key) - right - 1, length - right
+                copies += [(row, place - far, place - near) for _, _, row, place, _, _ in held[key]]
+        if copies:
+            none = pa.array([b""], pa.binary())
+            yield pa.RecordBatch.from_pydict({
+                "range": pa.array([-1 - (task * 8191 + flushed) % (1 << 30)], pa.int32()), "shared": none, "sizes": none,
+                "tails": none, "many": none, "places": pa.array([np.array(copies, "<i8").tobytes()], pa.binary()),
+            })
         for r in range(len(cuts) - 1):
             own = keys[cuts[r]:cuts[r + 1]]
             if own:
                 shared, tails = front_coded(own)
-                places = [x for key in own for x in held[key]]
+                places = [held[key][0] for key in own]
                 yield pa.RecordBatch.from_pydict({
                     "range": pa.array([r], pa.int32()),
                     "shared": pa.array([shared.astype("<u2").tobytes()], pa.binary()),
@@ -210,6 +232,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, bounds: list[bytes]) -
         if size > RUN_BYTES:
             yield from flush()
             held, size = {}, 0
+            flushed += 1
     if held:
         yield from flush()
 
@@ -223,8 +246,7 @@ class Run:
         self.ends = np.cumsum(sizes).tolist()
         self.tails = row.tails
         many = np.frombuffer(row.many, "<u4").astype(np.int64)
-        self.place_ends = np.cumsum(many).tolist()
-        self.places = np.frombuffer(row.places, "<i8").reshape(-1, 6)
+        self.places = np.column_stack([np.frombuffer(row.places, "<i8").reshape(-1, 6), many])
         self.at, self.key, self.lcp = -1, b"", 0
         self.advance()
 
@@ -238,7 +260,8 @@ class Run:
         self.key = self.key[:self.lcp] + self.tails[self.ends[i - 1] if i else 0:self.ends[i]]
 
     def what(self) -> np.ndarray:
-        return self.places[self.place_ends[self.at - 1] if self.at else 0:self.place_ends[self.at]]
+        """One of the places of the head's context in this run, and how many there are."""
+        return self.places[self.at:self.at + 1]
 
 
 def merged(runs: list[Run]) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -304,17 +327,18 @@ def _settled(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         out.append((places[:, 2], places[:, 3] - high, places[:, 3] - low, np.zeros(k, np.int64), np.zeros(k, np.int64),
                     np.zeros(k, np.int64)))
 
-    def settle(group: list[tuple[int, bytes, np.ndarray]]) -> None:
-        seen = sum(len(p) for _, _, p in group)
-        whole = seen == group[0][2][0, 1]
+    def settle(gathered: list[tuple[int, bytes, list[np.ndarray]]]) -> None:
+        group = [(shared, key, np.concatenate(parts)) for shared, key, parts in gathered]
+        copies = [int(p[:, 6].sum()) for _, _, p in group]
+        whole = sum(copies) == group[0][2][0, 1]
         keys = [key for _, key, _ in group]
         rights = [key.index(END) for key in keys]
         lows = [length - r for r in rights]  # distance from the anchor to the last string's start
         highs = [len(key) - r - 1 for key, r in zip(keys, rights, strict=True)]
         lefts = [key[r + 1:] for key, r in zip(keys, rights, strict=True)]
         for i, (_, _, places) in enumerate(group):
-            if len(places) > 1:
-                spans(places, lows[i], highs[i])
+            if copies[i] > 1:
+                spans(places[places[:, 6] == 1], lows[i], highs[i])  # the runs settled the others
         if len(group) == 1 and whole:
             return
         reach = [0] * len(group)
@@ -325,7 +349,7 @@ def _settled(rows: pd.DataFrame, length: int) -> pd.DataFrame:
             left = common(lefts[i], lefts[j])
             for k in (i, j):
                 low, high = max(length - right, lows[k]), min(left, highs[k])
-                if low <= high and len(group[k][2]) == 1:
+                if low <= high and copies[k] == 1:
                     spans(group[k][2], low, high)
 
         few = whole and len(group) <= FEW
@@ -344,18 +368,22 @@ def _settled(rows: pd.DataFrame, length: int) -> pd.DataFrame:
             k = len(hashes)
             start = places[0, 3] - np.arange(low, highs[i] + 1)
             out.append((np.full(k, places[0, 2]), start, start, np.full(k, places[0, 0]), hashes,
-                        np.full(k, min(len(places), 2))))
-
-    group: list[tuple[int, bytes, np.ndarray]] = []
-    for shared, key, places in merged([Run(row) for row in rows.itertuples()]):
+                        np.full(k, min(copies[i], 2))))
+
+    for data in rows.places[rows.range < 0]:
+        ready = np.frombuffer(data, "<i8").reshape(-1, 3)
+        none = np.zeros(len(ready), np.int64)
+        out.append((ready[:, 0], ready[:, 1], ready[:, 2], none, none, none))
+    group: list[tuple[int, bytes, list[np.ndarray]]] = []
+    for shared, key, places in merged([Run(row) for row in rows[rows.range >= 0].itertuples()]):
         if group and (shared >= GRAM or key[:GRAM] == group[0][1][:GRAM]):
             if shared == len(key) == len(group[-1][1]):  # the same context from another run
-                group[-1] = (group[-1][0], key, np.concatenate([group[-1][2], places]))
+                group[-1][2].append(places)
                 continue
         elif group:
             settle(group)
             group = []
-        group.append((shared, key, places))
+        group.append((shared, key, [places]))
     if group:
         settle(group)
     columns = ["row", "low", "high", "h", "mark", "n"]

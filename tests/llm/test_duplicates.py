@@ -119,6 +119,20 @@ def test_repeats_query(spark):
         assert r.n_bytes - r.n_removed == len(kept)
 
 
+def test_repeats_of_one_run_send_one_place():
+    """Copies in a run leave as ready spans; the ranges get one place of each context."""
+    import zstandard
+
+    texts = [prose(77, 200).encode()] * 50 + [prose(78, 200).encode()]
+    data = [zstandard.ZstdCompressor().compress(t) for t in texts]
+    found = [[{"h": 5, "g": 51, "place": 300, "first": 100, "last": 250}]] * len(texts)
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "data": data, "found": found})
+    out = pa.Table.from_batches(suffixes._runs(iter([batch]), 400, [])).to_pandas()
+    assert sum(len(p) for p in out.places[out.range >= 0]) == 2 * 6 * 8
+    ready = np.frombuffer(b"".join(out.places[out.range < 0]), "<i8").reshape(-1, 3)
+    assert ready.tolist() == [[i, 100, 250] for i in range(50)]
+
+
 def test_repeats_odd_rows_and_empty_table(spark):
     out = suffixes.remove_repeats(odd(spark), 400).collect()
     assert len(out) == len(odd_rows())
