@@ -53,13 +53,17 @@ def _tiles(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordB
             })
 
 
-def tiles(vectors: DataFrame, scale: int) -> DataFrame:
-    """Tiles of (id, vector) rows; rows that take no part are left out."""
-    fit = vectors.where(
+def valid(vectors: DataFrame) -> DataFrame:
+    """The (id, vector) rows that take part."""
+    return vectors.where(
         "id IS NOT NULL AND vector IS NOT NULL AND "
         "NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(cast(x AS double)) = double('infinity'))"
     )
-    return fit.mapInArrow(lambda b: _tiles(b, scale), "ids binary, cells binary, dim int")
+
+
+def tiles(vectors: DataFrame, scale: int) -> DataFrame:
+    """Tiles of (id, vector) rows; rows that take no part are left out."""
+    return valid(vectors).mapInArrow(lambda b: _tiles(b, scale), "ids binary, cells binary, dim int")
 
 
 def _matrix(ids: bytes, cells: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +117,7 @@ def _selected(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of ``vectors`` for each of ``queries`` (id, vector)."""
-    asked = queries.where("id IS NOT NULL AND vector IS NOT NULL").groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = valid(queries).groupBy("id").agg(F.min("vector").alias("vector"))
     q = stage(tiles(asked, scale), "query_tiles")
     c = stage(tiles(vectors.select("id", "vector"), scale), "tiles")
     columns = max(1, c.count())

@@ -214,6 +214,15 @@ def test_top_k_odd_vectors(spark, monkeypatch):
     assert top_k.search(v.limit(0), v.limit(0), 6, 1).count() == 0
 
 
+def test_top_k_repeated_query_with_an_invalid_vector(spark):
+    """The least vector of a repeated query is taken among the valid ones."""
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "id long, vector array<double>")
+    asked = spark.createDataFrame(
+        [(20, [None, 5.0]), (20, [3.0, 1.0]), (20, [float("-inf"), 0.0]), (20, [4.0, 0.0]), (20, None)], v.schema)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in top_k.search(v, asked, 6, 1).collect()]
+    assert sorted(got) == [(20, 1, 2, 7), (20, 2, 1, 5)]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, out = spark.read.parquet(f"{FOLDER}/documents.parquet"), []
