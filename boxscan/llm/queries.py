@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boxscan.llm import bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, suffixes, top_k
+from boxscan.llm import align, bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, suffixes, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -120,6 +120,16 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """How do the tokens of two tokenizers lie over one another in each document?"""
+    pair = align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    out = align.align(table(spark, folder, "documents"), pair)
+    return out.withColumn(
+        "groups_sha256", F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    ).drop("groups")
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
