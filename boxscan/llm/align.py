@@ -32,11 +32,11 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +48,8 @@ BLOCK_CHARS = 2 << 20
 #: Steps of a piece.
 PIECE = 1 << 16
 #: Texts in which a token may not begin at each blank or line feed.
-ODD = f"[{SPACE}][{SPACE}]|[{SPACE}--[ \\n]]|^[{SPACE}]|[{SPACE}]$"
+_OTHER = SPACE.replace("\\t-\\r ", "\\t\\x0b-\\r")
+ODD = re.compile(f"[{SPACE}](?:[{SPACE}]|\\Z)|\\A[{SPACE}]|[{_OTHER}]")
 #: Characters on whose classes all versions of Unicode agree.
 PLAIN = re.compile("[\\n -~\\u00a1-\\u024f]*")
 
@@ -76,6 +77,7 @@ class Bytewise:
         for name, i in names.items():
             known = all(c in letters for c in name)
             self.pieces[i] = bytes(letters[c] for c in name) if known else name.encode()
+        self.widths = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
         self.fast = self._as_ranks(parts) if self.cuts else None
 
     @staticmethod
@@ -99,12 +101,10 @@ class Bytewise:
             return None
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        fast, slow = self.fast, self.tokenizer
-        return [
-            fast.encode_ordinary(x) if fast and PLAIN.fullmatch(x) else slow.encode(x, add_special_tokens=False).ids
-            for x in texts
-        ]
+    def encode(self, text: str) -> list[int]:
+        if self.fast and PLAIN.fullmatch(text):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -119,6 +119,7 @@ class Pieces:
             bytes([int(name[1:-1], 16)]) if self.model.is_byte(i) else name.replace("▁", " ").encode()
             for i, name in enumerate(names)
         ]
+        self.widths = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
         crossing = any("\n" in name or "▁" in name.lstrip("▁") for name in names)
         #: No token crosses a blank or a line feed, and white space is kept.
         self.cuts = not crossing and self._text(" a\n b") == b"  a\n b" and len(self.model.encode("a\nb")) == 3
@@ -126,11 +127,11 @@ class Pieces:
     def _text(self, text: str) -> bytes:
         return b"".join(self.pieces[i] for i in self.model.encode(text))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of units; one that begins with a line feed is encoded behind a letter, whose token goes."""
-        led = ["a" + x if x[:1] == "\n" else x[1:] for x in texts]
-        rows = self.model.encode(led, num_threads=1)
-        return [row[1:] if x[:1] == "\n" else row for x, row in zip(texts, rows, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        """Ids of blank + x, or of units one after another, which may begin with a line feed."""
+        if text[:1] == " ":
+            return self.model.encode(text[1:])
+        return self.model.encode("a" + text)[1:]
 
 
 @dataclass(frozen=True)
@@ -203,16 +204,20 @@ def merge_ends(a: np.ndarray, b: np.ndarray, size: int = PIECE) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-@lru_cache(1)
 def _decimals(size: int) -> np.ndarray:
-    """Row 3 * id + k: the id in decimal digits and then ',', '|' or ';', padded with zeros."""
+    """Row 3 * id + k: the id in decimal digits and then ',', '|' or ';', padded with zeros; ``size`` ids at least."""
+    return _rows_of_digits(1 << size.bit_length())
+
+
+@lru_cache(2)
+def _rows_of_digits(size: int) -> np.ndarray:
     rows = [f"{i}{mark}".encode() for i in range(size) for mark in ",|;"]
     width = max(map(len, rows))
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
 
 
 def group_texts(
-    a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, size: int
+    a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray
 ) -> tuple[bytes, np.ndarray]:
     """All groups as text ``a1,a2|b1;...`` and the place behind each group.
 
@@ -225,7 +230,7 @@ def group_texts(
     ids[a_ends + b_ends - b_of - 1] += 1
     ids[a_ends + b_ends - 1] += 2
     out, upto = [], [np.zeros(1, np.int64)]
-    table = _decimals(size)
+    table = _decimals(int(ids.max(initial=0)) // 3 + 1)
     for at in range(0, len(ids), 1 << 20):
         cells = table[ids[at:at + (1 << 20)]]
         used = cells != 0
@@ -235,14 +240,60 @@ def group_texts(
     return b"".join(out), places[a_ends + b_ends]
 
 
-BLOCK = ("block long, ids binary, nulls binary, seen binary, doc_ends binary, sizes binary, links binary, "
-         "texts binary, text_ends binary, pairs array<long>, counts array<long>")
 #: A row is a block, so row groups of a few rows; they bound what a reader holds.
 SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 #: Bits of a B id in the number of a pair.
 B_BITS = 24
 
 
+def encode_units(
+    coder: Bytewise | Pieces, units: list[str], alone: set[int], sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all units, how many each has, whether its bytes are its tokens' bytes).
+
+    Units that begin where tokens begin are encoded in one text of many; the
+    places of its tokens tell them apart.  If these do not fit, one by one.
+    """
+    numbers, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = 1 if len(alone) * 4 > len(units) else 1000
+    for at in range(0, len(units), step):
+        part = units[at:at + step]
+        if len(part) > 1 and alone.isdisjoint(range(at, at + len(part))):
+            ids = np.array(coder.encode("".join(part)), np.int64)
+            ends, wanted = np.cumsum(coder.widths[ids]), np.cumsum(sizes[at:at + len(part)])
+            upto = np.searchsorted(ends, wanted) + 1
+            if len(ends) and ends[-1] == wanted[-1] and (ends[upto - 1] == wanted).all():
+                numbers.append(np.diff(upto, prepend=0))
+                flat.append(ids)
+                continue
+        rows = [coder.encode(unit) for unit in part]
+        numbers.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+        flat.append(np.fromiter(chain.from_iterable(rows), np.int64, numbers[-1].sum()))
+    n, ids = np.concatenate(numbers), np.concatenate(flat)
+    return ids, n, _same_bytes(coder, units, ids, n, sizes)
+
+
+def _same_bytes(coder: Bytewise | Pieces, units: list[str], ids: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.concatenate([[0], np.cumsum(coder.widths[ids])])
+    upto = np.cumsum(n)
+    begin, end = ends[upto - n], ends[upto]
+    joined = b"".join(map(coder.pieces.__getitem__, ids.tolist()))
+    if joined == "".join(units).encode():
+        return end - begin == sizes
+    return np.fromiter((joined[s:e] == u.encode() for s, e, u in zip(begin, end, units, strict=True)), bool, len(units))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative numbers in the narrowest cells that hold them; the first byte is the width."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 class _Block:
     """The documents gathered so far and their distinct units."""
 
@@ -250,10 +301,13 @@ class _Block:
         self.ids: list[int | None] = []
         self.rows: list[np.ndarray] = []
         self.number: dict[str, int] = {}
+        self.alone: set[int] = set()
         self.chars = 0
 
-    def add(self, doc_id: int | None, parts: list[str]) -> None:
+    def add(self, doc_id: int | None, parts: list[str], whole: bool = False) -> None:
         number = self.number
+        if whole and parts[0] not in number:
+            self.alone.add(len(number))
         for part in parts:
             if part not in number:
                 number[part] = len(number)
@@ -263,52 +317,45 @@ class _Block:
     def record(self, block: int, pair: Pair) -> pa.RecordBatch:
         a, b = pair.load()
         units = list(self.number)
-        coded_a, coded_b = a.encode(units), b.encode(units)
-        whole = [
-            b"".join([a.pieces[i] for i in x]) == b"".join([b.pieces[i] for i in y]) == unit.encode()
-            for unit, x, y in zip(units, coded_a, coded_b, strict=True)
-        ]
-        good = np.array(whole, bool)
-        n_a = np.fromiter((len(x) if ok else 0 for x, ok in zip(coded_a, whole, strict=True)), np.int64, len(units))
-        n_b = np.fromiter((len(x) if ok else 0 for x, ok in zip(coded_b, whole, strict=True)), np.int64, len(units))
-        a_ids = np.fromiter((i for x, ok in zip(coded_a, whole, strict=True) if ok for i in x), np.int64, n_a.sum())
-        b_ids = np.fromiter((i for x, ok in zip(coded_b, whole, strict=True) if ok for i in x), np.int64, n_b.sum())
-        width_a = np.fromiter(map(len, a.pieces), np.int64, len(a.pieces))
-        width_b = np.fromiter(map(len, b.pieces), np.int64, len(b.pieces))
-        links_a, links_b, common = merge_ends(np.cumsum(width_a[a_ids]), np.cumsum(width_b[b_ids]))
+        sizes = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+        (a_ids, n_a, good_a), (b_ids, n_b, good_b) = (encode_units(x, units, self.alone, sizes) for x in (a, b))
+        good = good_a & good_b
+        if not good.all():
+            a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        links_a, links_b, common = merge_ends(np.cumsum(a.widths[a_ids]), np.cumsum(b.widths[b_ids]))
         a_ends, b_ends = links_a[common] + 1, links_b[common] + 1
-        texts, text_ends = group_texts(a_ids, b_ids, a_ends, b_ends, max(len(a.pieces), len(b.pieces)))
         # per unit: its links and groups; units without tokens have none
         upto_a = np.cumsum(n_a)
-        link_ends = np.searchsorted(links_a, upto_a, "left")
-        group_ends = np.searchsorted(a_ends, upto_a, "right")
+        n_links = np.diff(np.searchsorted(links_a, upto_a, "left"), prepend=0)
+        n_groups = np.diff(np.searchsorted(a_ends, upto_a, "right"), prepend=0)
         pairs, links = np.unique(a_ids[links_a] << B_BITS | b_ids[links_b], return_inverse=True)
         # documents with a unit that does not decode have no tokens
-        rows = [r if good[r].all() else r[:0] for r in self.rows]
+        rows = self.rows if good.all() else [r if good[r].all() else r[:0] for r in self.rows]
         seen = np.concatenate(rows) if rows else np.empty(0, np.uint32)
-        times = np.bincount(seen, minlength=len(units))
-        per_link = np.repeat(times, np.diff(link_ends, prepend=0))
+        per_link = np.repeat(np.bincount(seen, minlength=len(units)), n_links)
         counts = np.bincount(links, per_link, len(pairs)).astype(np.int64)
-        sizes = np.stack([n_a, n_b, np.diff(group_ends, prepend=0), np.diff(link_ends, prepend=0)])
-        places = np.concatenate([[0], text_ends])
-        held = counts > 0
-        slot = np.cumsum(held) - 1  # pairs of left out documents are dropped
+        held = counts > 0  # pairs of left out documents are dropped
+        slot = np.maximum(np.cumsum(held) - 1, 0)
         one = {
             "block": block, "ids": np.array([i or 0 for i in self.ids], "<i8").tobytes(),
-            "nulls": bytes(i is None for i in self.ids), "seen": seen.astype("<u4").tobytes(),
-            "doc_ends": np.cumsum([len(r) for r in rows]).astype("<i8").tobytes(),
-            "sizes": sizes.astype("<u4").tobytes(), "links": slot[links].astype("<i4").tobytes(),
-            "texts": texts, "text_ends": places[group_ends].astype("<i8").tobytes(),
+            "nulls": bytes(i is None for i in self.ids), "seen": packed(seen),
+            "n_units": packed(np.fromiter(map(len, rows), np.int64, len(rows))),
+            "n_a": packed(n_a), "n_b": packed(n_b), "n_groups": packed(n_groups), "n_links": packed(n_links),
+            "links": packed(slot[links]), "a_ids": packed(a_ids), "b_ids": packed(b_ids),
+            "group_a": packed(np.diff(a_ends, prepend=0)), "group_b": packed(np.diff(b_ends, prepend=0)),
             "pairs": pairs[held], "counts": counts[held],
         }
         return pa.RecordBatch.from_pylist([one], _BLOCK_TYPE)
 
 
+_BYTES = ("ids", "nulls", "seen", "n_units", "n_a", "n_b", "n_groups", "n_links", "links",
+          "a_ids", "b_ids", "group_a", "group_b")
 _BLOCK_TYPE = pa.schema([
-    ("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("seen", pa.binary()), ("doc_ends", pa.binary()),
-    ("sizes", pa.binary()), ("links", pa.binary()), ("texts", pa.binary()), ("text_ends", pa.binary()),
+    ("block", pa.int64()), *((name, pa.binary()) for name in _BYTES),
     ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
 ])
+BLOCK = ", ".join(["block long", *(f"{name} binary" for name in _BYTES), "pairs array<long>, counts array<long>"])
 
 
 def _blocks(pair: Pair, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -317,7 +364,6 @@ def _blocks(pair: Pair, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
         a, b = pair.load()
         cuts = a.cuts and b.cuts
-        odd = regex.compile(ODD, regex.V1)
         number = TaskContext.get().partitionId() << 32
         block = _Block()
         for batch in batches:
@@ -325,13 +371,12 @@ def _blocks(pair: Pair, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
                 if not text:
-                    parts = []
-                elif not cuts or odd.search(text):
-                    parts = [" " + text]
+                    block.add(ids[k].as_py(), [])
+                elif not cuts or ODD.search(text):
+                    block.add(ids[k].as_py(), [" " + text], whole=True)
                 else:
                     words = text.replace("\n", " \n").split(" ")
-                    parts = [w if w[:1] == "\n" else " " + w for w in words]
-                block.add(ids[k].as_py(), parts)
+                    block.add(ids[k].as_py(), [w if w[:1] == "\n" else " " + w for w in words])
                 block.chars += len(text or "") + 1
                 if block.chars >= limit:
                     yield block.record(number, pair)
@@ -377,24 +422,24 @@ def _scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     best = np.zeros(len(right), np.int64)
     slot = right["slot"].to_numpy()
     n[slot], best[slot] = right["n"].to_numpy(), right["best"].to_numpy()
-    links = np.frombuffer(one["links"], "<i4").astype(np.int64)
-    sizes = np.frombuffer(one["sizes"], "<u4").astype(np.int64).reshape(4, -1)
-    ends = np.cumsum(sizes[3])
-    starts = ends - sizes[3]
-    place = np.clip(links, 0, max(len(n) - 1, 0))
+    sizes = [unpacked(one[name]) for name in ("n_a", "n_b", "n_groups", "n_links")]
+    links, n_links = unpacked(one["links"]), sizes[3]
+    link_ends = np.cumsum(n_links)
 
     def per_unit(of_pair: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(of_pair[place] if len(of_pair) else np.zeros(len(place), np.int64))])
-        return total[ends] - total[starts]
+        total = np.concatenate([[0], np.cumsum(of_pair[links] if len(of_pair) else np.zeros_like(links))])
+        return total[link_ends] - total[link_ends - n_links]
 
     measures = [*sizes, per_unit(best), per_unit(n)]
-    seen = np.frombuffer(one["seen"], "<u4").astype(np.int64)
-    doc_ends = np.frombuffer(one["doc_ends"], "<i8")
+    seen = unpacked(one["seen"])
+    doc_ends = np.cumsum(unpacked(one["n_units"]))
     doc_starts = _starts(doc_ends)
-    text_ends = np.frombuffer(one["text_ends"], "<i8")
-    unit_texts = [
-        bytes(one["texts"][s:e]) for s, e in zip(_starts(text_ends), text_ends, strict=True)
-    ]
+    texts, group_ends = group_texts(
+        unpacked(one["a_ids"]), unpacked(one["b_ids"]),
+        np.cumsum(unpacked(one["group_a"])), np.cumsum(unpacked(one["group_b"])),
+    )
+    text_ends = np.concatenate([[0], group_ends])[np.cumsum(sizes[2])]
+    unit_texts = [texts[s:e] for s, e in zip(_starts(text_ends), text_ends, strict=True)]
     ids, nulls = np.frombuffer(one["ids"], "<i8"), np.frombuffer(one["nulls"], np.uint8)
     out = {"doc_id": pd.arrays.IntegerArray(ids.copy(), nulls.astype(bool))}
     for name, of_unit in zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), measures, strict=True):
@@ -413,7 +458,7 @@ def align(docs: DataFrame, pair: Pair, doc_id: str = "doc_id", text: str = "text
     counts = stage(pair_counts(blocks), "align-pairs")
     own = blocks.select(F.col("block").alias("owner"), F.posexplode("pairs").alias("slot", "pair"))
     known = own.join(with_best(counts), "pair").select("owner", "slot", "n", "best")
-    return blocks.select("block", "ids", "nulls", "seen", "doc_ends", "sizes", "links", "texts", "text_ends").groupBy("block").cogroup(
+    return blocks.select("block", *_BYTES).groupBy("block").cogroup(
         known.groupBy("owner")
     ).applyInPandas(
         _scored,
