@@ -37,6 +37,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -284,14 +285,19 @@ def _same_bytes(coder: Bytewise | Pieces, units: list[str], ids: np.ndarray, n:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative numbers in the narrowest cells that hold them; the first byte is the width."""
+    """Non-negative numbers as compressed planes of bytes; the first byte tells how many planes."""
     top = int(values.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    width = next(w for w in range(1, 9) if top < 1 << 8 * w)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    width = data[0]
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(width, -1)
+    cells = np.zeros((planes.shape[1], 8), np.uint8)
+    cells[:, :width] = planes.T
+    return cells.view("<i8").ravel().astype(np.int64)
 
 
 class _Block:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boxscan.llm import align, bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, suffixes, top_k
+from boxscan.llm import align, bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, spellings, suffixes, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -130,6 +130,12 @@ def op12_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("groups")
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Which words are misspellings, and of what?"""
+    return spellings.group(table(spark, folder, "documents"))
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
