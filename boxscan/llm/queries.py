@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boxscan.llm import align, bpe, chat, importance, mixing, near_dup, pii, quality_rules, rans, spellings, suffixes, top_k
+from boxscan.llm import align, bpe, chat, html, importance, mixing, near_dup, pii, quality_rules, rans, spellings, suffixes, top_k
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -136,6 +136,12 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spellings.group(table(spark, folder, "documents"))
 
 
+@query
+def op11_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page, by the path its host agrees on."""
+    return html.extract_pages(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
