@@ -330,33 +330,29 @@ class _Block:
             a_ids, b_ids = a_ids[np.repeat(good, n_a)], b_ids[np.repeat(good, n_b)]
             n_a, n_b = n_a * good, n_b * good
         links_a, links_b, common = merge_ends(np.cumsum(a.widths[a_ids]), np.cumsum(b.widths[b_ids]))
-        a_ends, b_ends = links_a[common] + 1, links_b[common] + 1
         # per unit: its links and groups; units without tokens have none
-        upto_a = np.cumsum(n_a)
-        n_links = np.diff(np.searchsorted(links_a, upto_a, "left"), prepend=0)
-        n_groups = np.diff(np.searchsorted(a_ends, upto_a, "right"), prepend=0)
+        link_ends = np.searchsorted(links_a, np.cumsum(n_a), "left")
+        n_links = np.diff(link_ends, prepend=0)
+        n_groups = np.diff(np.concatenate([[0], np.cumsum(common)])[link_ends], prepend=0)
         pairs, links = np.unique(a_ids[links_a] << B_BITS | b_ids[links_b], return_inverse=True)
         # documents with a unit that does not decode have no tokens
         rows = self.rows if good.all() else [r if good[r].all() else r[:0] for r in self.rows]
         seen = np.concatenate(rows) if rows else np.empty(0, np.uint32)
         per_link = np.repeat(np.bincount(seen, minlength=len(units)), n_links)
         counts = np.bincount(links, per_link, len(pairs)).astype(np.int64)
-        held = counts > 0  # pairs of left out documents are dropped
-        slot = np.maximum(np.cumsum(held) - 1, 0)
+        last_a = np.append(links_a[1:] != links_a[:-1], True)[:len(links_a)]
+        last_b = np.append(links_b[1:] != links_b[:-1], True)[:len(links_b)]
         one = {
             "block": block, "ids": np.array([i or 0 for i in self.ids], "<i8").tobytes(),
             "nulls": bytes(i is None for i in self.ids), "seen": packed(seen),
             "n_units": packed(np.fromiter(map(len, rows), np.int64, len(rows))),
             "n_a": packed(n_a), "n_b": packed(n_b), "n_groups": packed(n_groups), "n_links": packed(n_links),
-            "links": packed(slot[links]), "a_ids": packed(a_ids), "b_ids": packed(b_ids),
-            "group_a": packed(np.diff(a_ends, prepend=0)), "group_b": packed(np.diff(b_ends, prepend=0)),
-            "pairs": pairs[held], "counts": counts[held],
+            "links": packed(links), "lasts": packed(last_a + 2 * last_b), "pairs": pairs, "counts": counts,
         }
         return pa.RecordBatch.from_pylist([one], _BLOCK_TYPE)
 
 
-_BYTES = ("ids", "nulls", "seen", "n_units", "n_a", "n_b", "n_groups", "n_links", "links",
-          "a_ids", "b_ids", "group_a", "group_b")
+_BYTES = ("ids", "nulls", "seen", "n_units", "n_a", "n_b", "n_groups", "n_links", "links", "lasts")
 _BLOCK_TYPE = pa.schema([
     ("block", pa.int64()), *((name, pa.binary()) for name in _BYTES),
     ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
@@ -402,7 +398,7 @@ def align_blocks(docs: DataFrame, pair: Pair, doc_id: str = "doc_id", text: str
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """pair (A id << B_BITS | B id) and n, its links over the corpus."""
     pairs = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("x"))
-    return pairs.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.counts").alias("n"))
+    return pairs.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.counts").alias("n")).where("n > 0")
 
 
 def with_best(counts: DataFrame) -> DataFrame:
@@ -424,8 +420,7 @@ def _scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty:
         return pd.DataFrame()
     one = left.iloc[0]
-    n = np.zeros(len(right), np.int64)
-    best = np.zeros(len(right), np.int64)
+    n, best = (np.zeros(len(one["pairs"]), np.int64) for _ in range(2))
     slot = right["slot"].to_numpy()
     n[slot], best[slot] = right["n"].to_numpy(), right["best"].to_numpy()
     sizes = [unpacked(one[name]) for name in ("n_a", "n_b", "n_groups", "n_links")]
@@ -440,9 +435,12 @@ def _scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     seen = unpacked(one["seen"])
     doc_ends = np.cumsum(unpacked(one["n_units"]))
     doc_starts = _starts(doc_ends)
+    # the tokens in order: a link is the last one of an A token, a B token, or both, which ends a group
+    lasts, pairs = unpacked(one["lasts"]), np.asarray(one["pairs"], np.int64)
+    last_a, last_b = (lasts & 1).astype(bool), (lasts & 2).astype(bool)
     texts, group_ends = group_texts(
-        unpacked(one["a_ids"]), unpacked(one["b_ids"]),
-        np.cumsum(unpacked(one["group_a"])), np.cumsum(unpacked(one["group_b"])),
+        pairs[links[last_a]] >> B_BITS, pairs[links[last_b]] & ((1 << B_BITS) - 1),
+        np.cumsum(last_a)[last_a & last_b], np.cumsum(last_b)[last_a & last_b],
     )
     text_ends = np.concatenate([[0], group_ends])[np.cumsum(sizes[2])]
     unit_texts = [texts[s:e] for s, e in zip(_starts(text_ends), text_ends, strict=True)]
@@ -464,7 +462,7 @@ def align(docs: DataFrame, pair: Pair, doc_id: str = "doc_id", text: str = "text
     counts = stage(pair_counts(blocks), "align-pairs")
     own = blocks.select(F.col("block").alias("owner"), F.posexplode("pairs").alias("slot", "pair"))
     known = own.join(with_best(counts), "pair").select("owner", "slot", "n", "best")
-    return blocks.select("block", *_BYTES).groupBy("block").cogroup(
+    return blocks.select("block", *_BYTES, "pairs").groupBy("block").cogroup(
         known.groupBy("owner")
     ).applyInPandas(
         _scored,
