@@ -31,6 +31,7 @@ from boxscan.sinks.formats import write
 from boxscan.sinks.tables import final_table
 from boxscan.sources.bed import bed_lines, parse_bed
 from boxscan.sources.fasta import contig_sizes, fasta_headers, read_fasta
+from boxscan.sources.fasta_ranges import range_headers, read_fasta_ranges
 
 
 @dataclass
@@ -53,12 +54,13 @@ class Params:
     min_box_dist: int = K.MIN_BOX_DIST
     flanking_nt: int = K.FLANK
     batch_size: int | None = None             # None: what the model itself asks for
+    range_bytes: int | None = None            # read FASTA by byte ranges of this size; None: by lines
     on_bad_peaks: str = "raise"               # or "drop": leave them out, see rejected_peaks
     first_model: Scorer = field(default_factory=MotifScorer)
     second_model: Scorer = field(default_factory=StemScorer)
 
     def __post_init__(self):
-        for name in ("step_size", "tile_size", "consecutive_windows", "batch_size"):
+        for name in ("step_size", "tile_size", "consecutive_windows", "batch_size", "range_bytes"):
             value = getattr(self, name)
             if value is not None and value <= 0:
                 raise ValueError(f"{name} must be > 0")
@@ -189,9 +191,13 @@ def run_files(
     run reads them several times.
     """
     params = params or Params()
-    lines = read_fasta(spark, fasta)
+    if params.range_bytes is None:
+        lines, headers = read_fasta(spark, fasta), fasta_headers(spark, fasta)
+    else:
+        lines = read_fasta_ranges(spark, fasta, params.range_bytes)
+        headers = range_headers(spark, fasta, params.range_bytes)
     sizes = stage(contig_sizes(lines), "sizes")
-    checks.raise_on_error(checks.check_fasta(fasta_headers(spark, fasta), sizes))
+    checks.raise_on_error(checks.check_fasta(headers, sizes))
     if bed is not None:
         raw = bed_lines(spark, bed)
         checks.raise_on_error(checks.combine([checks.check_bed_lines(raw), checks.check_bed_numbers(raw)]))

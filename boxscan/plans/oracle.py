@@ -580,6 +580,7 @@ ORACLE: dict[str, str] = {
     "duplicate_names": query([CONTIGS],
         "SELECT md5(seq) AS contig, count(*) AS n FROM contigs GROUP BY md5(seq) HAVING count(*) > 1"),
     "fasta_scan": query([CONTIGS, _TILES], "SELECT contig, tile, len AS length, md5(seq) AS digest FROM tiles"),
+    "fasta_ranges": query([CONTIGS, _TILES], "SELECT contig, tile, len AS length, md5(seq) AS digest FROM tiles"),
     "fasta_checks": query(["""named AS MATERIALIZED (
       SELECT doc_id, CAST(CASE WHEN doc_id % 89 = 4 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) AS contig,
              length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n FROM documents

@@ -18,10 +18,12 @@ from boxscan.sinks import formats
 from boxscan.sources import tables
 from boxscan.sources.bed import read_bed
 from boxscan.sources.fasta import contig_sizes, read_fasta
+from boxscan.sources.fasta_ranges import read_fasta_ranges
 
 SCAN = 0.9     # threshold of the interval queries
 GENES = 0.99   # threshold of the per-candidate queries
 SMALL_TILE = 500
+RANGE = 1 << 16    # bytes; many entries lie across two ranges
 KMER_TILE = 1 << 8   # short strings: reading a k-mer costs its offset
 
 
@@ -74,6 +76,16 @@ def q_fasta_scan(spark, folder):
     return cut.select("contig", "tile", "length", F.md5("seq").alias("digest"))
 
 
+def q_fasta_ranges(spark, folder):
+    """Documents as FASTA without line breaks, read by ranges far smaller than a line."""
+    path = new_folder(spark, "unwrapped")
+    contigs = tables.document_contigs(spark, folder).filter("length > 0")
+    contigs.select(F.concat(F.lit(">"), "contig", F.lit(" one line\n"), "seq")).write.text(path)
+    lines = read_fasta_ranges(spark, path, RANGE, globs="")
+    cut = tiles.tile_lines(lines, contig_sizes(lines), SMALL_TILE)
+    return cut.select("contig", "tile", "length", F.md5("seq").alias("digest"))
+
+
 def q_fasta_checks(spark, folder):
     """Headers and sizes of the documents, some made bad."""
     doc = F.col("doc_id")

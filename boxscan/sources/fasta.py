@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxscan.session import broadcast_if_small, stage
@@ -108,12 +108,14 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=cols)
 
 
-def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -> DataFrame:
-    """``lines(contig, pos, bases)``: pieces of every entry with their 0-based offset."""
-    lines = fasta_lines(spark, path, glob)
+def carried_entries(summary: DataFrame) -> DataFrame:
+    """(file, block, carry_name, carry_len): the entry open at the start of each split, and its bases so far.
+
+    ``summary`` has a row per split: has_header, last_name, head_len (bases
+    before the first header) and tail_len (bases after the last one).
+    """
     by_file = Window.partitionBy("file").orderBy("block")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    summary = lines.mapInPandas(_summaries, _SUMMARY)
     # number of headers met before the split decides which lengths add up
     carried = (
         summary.withColumn("entry", F.sum(F.col("has_header").cast("int")).over(
@@ -128,7 +130,7 @@ def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -
     opened = carried.filter("has_header").select(
         "file", F.col("entry").alias("entry_in"), F.col("tail_len").alias("opened_len")
     )
-    carried = (
+    return (
         carried.withColumn("bases_in", F.coalesce(F.sum("head_len").over(within), F.lit(0)))
         .join(opened, ["file", "entry_in"], "left")
         .select(
@@ -136,24 +138,33 @@ def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -
             (F.col("bases_in") + F.coalesce("opened_len", F.lit(0))).alias("carry_len"),
         )
     )
-    # one row per split, written once: the text is not summed up again for
-    # every use of the lines
-    carried = broadcast_if_small(stage(carried, "splits").withColumn("known", F.lit(True)))
-    pieces = lines.mapInPandas(_pieces, _PIECES)
-    resplit = F.raise_error(F.lit("the split size changed since the FASTA files were summed up"))
+
+
+def joined_pieces(pieces: DataFrame, carried: DataFrame, changed: str, behind: Column | int = 0) -> DataFrame:
+    """Pieces with ``contig`` and ``pos``; ``behind`` is added to offsets within their split."""
+    resplit = F.raise_error(F.lit(changed))
     before = F.when(F.col("known"), F.col("carry_len")).otherwise(resplit.cast("long"))
     stray = F.raise_error(F.concat(F.lit("bases before the first header of "), "file")).cast("string")
     return (
         pieces.join(carried, ["file", "block"], "left")
-        .select(
-            F.coalesce("name", "carry_name", F.when(F.length("bases") > 0, stray)).alias("contig"),
-            (F.col("offset") + F.when(F.col("name").isNull(), before).otherwise(0)).alias("pos"),
-            "bases",
-        )
+        .withColumn("contig", F.coalesce("name", "carry_name", F.when(F.length("bases") > 0, stray)))
+        .withColumn("pos", F.col("offset") + behind + F.when(F.col("name").isNull(), before).otherwise(0))
         .filter(F.col("contig").isNotNull())
     )
 
 
+def read_fasta(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -> DataFrame:
+    """``lines(contig, pos, bases)``: pieces of every entry with their 0-based offset."""
+    lines = fasta_lines(spark, path, glob)
+    # one row per split, written once: the text is not summed up again for
+    # every use of the lines
+    carried = stage(carried_entries(lines.mapInPandas(_summaries, _SUMMARY)), "splits")
+    carried = broadcast_if_small(carried.withColumn("known", F.lit(True)))
+    joined = joined_pieces(
+        lines.mapInPandas(_pieces, _PIECES), carried, "the split size changed since the FASTA files were summed up")
+    return joined.select("contig", "pos", "bases")
+
+
 def fasta_headers(spark: SparkSession, path: str, glob: str | None = FASTA_FILES) -> DataFrame:
     """``headers(file, header, contig)``; ``contig`` is empty for a bare or spaced ``>``."""
     return (
