@@ -33,21 +33,30 @@ def encode(seqs, width: int) -> np.ndarray:
     return np.frombuffer(joined.encode("ascii"), dtype=np.uint8).reshape(-1, width)
 
 
+def _differs(codes: np.ndarray, code: str) -> np.ndarray:
+    """Where a base is none of those that a letter of a consensus stands for."""
+    if code == "R":
+        return (codes != ord("A")) & (codes != ord("G"))
+    if code == "Y":
+        return (codes != ord("C")) & (codes != ord("T"))
+    return codes != ord(code)
+
+
 def _mismatches(codes: np.ndarray, consensus: str) -> np.ndarray:
     """Hamming distance to ``consensus`` at every offset of the last axis."""
     n = codes.shape[-1] - len(consensus) + 1
     total = np.zeros(codes.shape[:-1] + (max(n, 0),), dtype=np.uint8)
     for k, code in enumerate(consensus):
-        part = codes[..., k:k + max(n, 0)]
-        if code == "R":
-            total += (part != ord("A")) & (part != ord("G"))
-        elif code == "Y":
-            total += (part != ord("C")) & (part != ord("T"))
-        else:
-            total += part != ord(code)
+        total += _differs(codes[..., k:k + max(n, 0)], code)
     return total
 
 
+def _differences(rows: np.ndarray, consensus: str) -> np.ndarray:
+    """(rows, base of the consensus, offset): 1 where that base of the box at that offset differs."""
+    n = rows.shape[1] - len(consensus) + 1
+    return np.stack([_differs(rows[:, k:k + n], code) for k, code in enumerate(consensus)], axis=1).astype(np.uint8)
+
+
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum over ``values[i:i+width]`` by doubling; log2(width) passes."""
     out, done = values, 1
@@ -67,6 +76,13 @@ class Scorer:
     def logits(self, windows: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def masked_logits(self, windows: np.ndarray, k: int) -> np.ndarray | None:
+        """Logits (n, width - k + 1, 2) of each window with each run of ``k`` bases masked.
+
+        None where the model has no shorter way than scoring every masked copy.
+        """
+        return None
+
     def scan(self, codes: np.ndarray, starts: np.ndarray, strand: str) -> np.ndarray:
         """Logits of the windows at ``starts`` of a long byte array."""
         if not len(starts):
@@ -101,6 +117,39 @@ class MotifScorer(Scorer):
         d_span = windows[:, self.D_AT:self.D_AT + self.D_N + len(K.D_BOX) - 1]
         return _mismatches(c_span, K.C_BOX).min(axis=1), _mismatches(d_span, K.D_BOX).min(axis=1)
 
+    def masked_logits(self, windows, k):
+        c, d = self._masked(windows, K.C_BOX, self.C_AT, self.C_N, k), self._masked(windows, K.D_BOX, self.D_AT, self.D_N, k)
+        return self._stack(c.ravel(), d.ravel()).reshape(*c.shape, 2)
+
+    @staticmethod
+    def _masked(windows: np.ndarray, box: str, at: int, n: int, k: int) -> np.ndarray:
+        """Least distance to ``box`` at the offsets ``at`` to ``at + n - 1``, for every run of ``k`` masked bases.
+
+        Boxes that end before the mask, or start behind it, keep their distance:
+        their least ones are a prefix and a suffix minimum.  Only the boxes that
+        touch the mask, fewer than ``k`` plus their length, are counted again, and
+        they too from sums of mismatches: a masked base never matches.
+        """
+        size, places = len(box), windows.shape[1] - k + 1
+        span = windows[:, at:at + n + size - 1]
+        differs = _differences(span, box)  # (rows, base of the box, offset)
+        whole = differs.sum(axis=1, dtype=np.uint8)
+        top = np.full((len(windows), 1), size, np.uint8)
+        before = np.concatenate([top, np.minimum.accumulate(whole, axis=1)], axis=1)
+        behind = np.concatenate([np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1], top], axis=1)
+        # boxes at offset o cover o .. o + size - 1; the mask at m covers m .. m + k - 1
+        mask = np.arange(places) - at
+        out = np.minimum(before[:, np.clip(mask - size + 1, 0, n)], behind[:, np.clip(mask + k, 0, n)])
+        matches = 1 - differs
+        for shift in range(-size + 1, k):  # the box that begins so far behind the start of the mask
+            offset = mask + shift
+            hit = np.flatnonzero((offset >= 0) & (offset < n))
+            first, last = max(0, -shift), min(size, k - shift)  # its bases under the mask
+            hidden = matches[:, first:last].sum(axis=1, dtype=np.uint8)
+            touched = whole + hidden
+            out[:, hit] = np.minimum(out[:, hit], touched[:, offset[hit]])
+        return out
+
     @staticmethod
     def _stack(hc: np.ndarray, hd: np.ndarray) -> np.ndarray:
         positive = 3.0 * (7 - hc.astype(float)) + 2.0 * (4 - hd.astype(float)) - 21.0
@@ -138,6 +187,9 @@ class StemScorer(MotifScorer):
         positive = 4.0 - 2.0 * (hc.astype(float) + hd.astype(float)) + (paired - 8.0)
         return np.column_stack([np.zeros_like(positive), positive])
 
+    def masked_logits(self, windows, k):
+        return None
+
     def scan(self, codes, starts, strand):
         return Scorer.scan(self, codes, starts, strand)
 
