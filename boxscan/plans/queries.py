@@ -31,6 +31,11 @@ def lake(spark: SparkSession, folder: str) -> DataFrame:
     return tiles.tile_sequences(tables.document_contigs(spark, folder))
 
 
+def staged_lake(spark, folder):
+    """The lake as a written table, as ``run_files`` has it: a run reads it several times."""
+    return stage(lake(spark, folder), "lake")
+
+
 def sizes(spark, folder):
     return tables.document_contigs(spark, folder).select("contig", "length")
 
@@ -39,12 +44,17 @@ def hits(spark, folder, threshold, step=K.STEP):
     return scoring.scan(lake(spark, folder), step=step, threshold=threshold)
 
 
+def staged_hits(spark, folder, threshold=SCAN, step=K.STEP):
+    """Positive windows as a written table: what follows reads them more than once."""
+    return stage(hits(spark, folder, threshold, step), "windows")
+
+
 def params(**more) -> genome.Params:
     return genome.Params(prob_first_model=GENES, **more)
 
 
 def candidates(spark, folder, threshold=GENES):
-    return genome.find_candidates(lake(spark, folder), params(), threshold)
+    return genome.find_candidates(staged_lake(spark, folder), params(), threshold)
 
 
 def attributed(spark, folder):
@@ -229,26 +239,22 @@ def q_positive_windows(spark, folder):
 
 
 def q_islands(spark, folder):
-    return islands.islands(hits(spark, folder, GENES, step=1))
+    return islands.islands(staged_hits(spark, folder, GENES, step=1))
 
 
 def q_block_aggregate(spark, folder):
-    return islands.blocks_of(hits(spark, folder, GENES, step=1))
+    return islands.blocks_of(staged_hits(spark, folder, GENES, step=1))
 
 
 def q_merge_reciprocal(spark, folder):
-    return merge.merge_reciprocal(islands.blocks_of(hits(spark, folder, SCAN)))
+    return merge.merge_reciprocal(islands.blocks_of(staged_hits(spark, folder)))
 
 
 def q_long_blocks(spark, folder):
-    merged = merge.merge_reciprocal(islands.blocks_of(hits(spark, folder, SCAN)))
+    merged = merge.merge_reciprocal(islands.blocks_of(staged_hits(spark, folder)))
     return merge.keep_long(merged, min_count=3)
 
 
-def staged_hits(spark, folder, threshold=SCAN):
-    return stage(hits(spark, folder, threshold), "windows")
-
-
 def _centres(spark, folder):
     found = staged_hits(spark, folder)
     return centres.centre_windows(genome.merged_blocks(found, genome.Params())), found
@@ -504,11 +510,11 @@ def q_rule_cascade(spark, folder):
 
 
 def q_final_genes(spark, folder):
-    return genome.run_scan(lake(spark, folder), params())
+    return genome.run_scan(staged_lake(spark, folder), params())
 
 
 def q_final_first_model(spark, folder):
-    return genome.run_scan(lake(spark, folder), params(first_model_only=True))
+    return genome.run_scan(staged_lake(spark, folder), params(first_model_only=True))
 
 
 def q_final_peaks(spark, folder):

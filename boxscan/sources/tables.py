@@ -21,12 +21,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_contigs(spark: SparkSession, folder: str) -> DataFrame:
     """``contigs(contig, seq, length)``: the letters of each text spelled as bases."""
-    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    letters = F.regexp_replace("text", "[^A-Za-z]+", "")
     return (
         documents(spark, folder)
         .select(
             F.col("doc_id").cast("string").alias("contig"),
-            F.translate(letters, LETTERS, BASES).alias("seq"),
+            F.translate(letters, LETTERS + LETTERS.upper(), BASES + BASES).alias("seq"),
         )
         .withColumn("length", F.length("seq").cast("long"))
     )

@@ -152,14 +152,14 @@ def test_merge_golden(spark):
     assert run60[0][:2] == (0, 379)
 
 
-@pytest.mark.parametrize("bucket", [50, 1000, 1 << 18])
-def test_islands_do_not_depend_on_the_bucket(spark, bucket):
+@pytest.mark.parametrize("ranges, hops", [(1, [1, 2]), (3, [1, 1, 1, 2, 7, 120]), (40, [1, 1, 1, 2, 7, 120]), (60, [1] * 400 + [2])])
+def test_islands_do_not_depend_on_the_ranges(spark, ranges, hops):
     rng = random.Random(9)
     rows, want = [], {}
     for strand in "+-":
         pos, head = 0, None
         for i in range(500):
-            hop = rng.choice([1, 1, 1, 2, 7, 120])
+            hop = rng.choice(hops)
             pos += hop
             if i == 0 or hop > 1:
                 head = pos
@@ -167,10 +167,18 @@ def test_islands_do_not_depend_on_the_bucket(spark, bucket):
             want[strand, pos] = head
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "contig string, strand string, start long, end long, prob double")
-    got = {(r.strand, r.start): r["head"] for r in islands.islands(df, bucket=bucket).collect()}
+    got = {(r.strand, r.start): r["head"] for r in islands.islands(df, ranges=ranges).collect()}
     assert got == want
 
 
+def test_islands_move_the_windows_once(spark):
+    df = spark.createDataFrame([("c", "+", 1, 195, 0.5)], "contig string, strand string, start long, end long, prob double")
+    plan = islands.in_ranges(df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange rangepartitioning") == 1
+    found = islands.islands(df)._jdf.queryExecution().executedPlan().toString()
+    assert found.count("Exchange hashpartitioning(_range") <= 1 and "SortMergeJoin" not in found
+
+
 def test_sequences_of_intervals(spark, contigs, sequences):
     rng = random.Random(2)
     spans = []
