@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxscan.functions.sequences import on_strand
-from boxscan.operators.tiles import HALO, TILE
+from boxscan.operators.tiles import HALO, TILE, region_of
 from boxscan.session import broadcast_if_small, stage
 
 
@@ -39,34 +39,60 @@ def sequences_at(
     checked = F.when(F.col("end") - F.col("start") <= halo + 1, inside).otherwise(
         F.raise_error(F.lit(f"interval longer than {halo + 1} nt; use long_sequences_at"))
     )
-    lake = tiles.select(
+    lake, on = _by_region(tiles.select(
         "contig", F.col("tile").alias("_tile"),
-        F.col("tile_start").alias("_tile_start"), F.col("seq").alias("_seq"),
-    )
+        F.col("tile_start").alias("_tile_start"), F.col("seq").alias("_seq"), *_region(tiles),
+    ))
+    asked = intervals.withColumn("_tile", F.floor(F.col("start") / size))
     return (
-        broadcast_if_small(intervals)
-        .withColumn("_tile", F.floor(F.col("start") / size))
-        .join(lake, ["contig", "_tile"])
+        broadcast_if_small(_with_region(asked, on))
+        .join(lake, on)
         .withColumn(name, on_strand(checked, F.col("strand")) if stranded else checked)
         .select(*intervals.columns, name)
     )
 
 
+def _region(tiles: DataFrame) -> list[str]:
+    return ["region"] if "region" in tiles.columns else []
+
+
+def _by_region(lake: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The lake and its join keys; one laid out by regions (``tiles.save_regions``) is joined by region, too."""
+    if "region" not in lake.columns:
+        return lake, ["contig", "_tile"]
+    return lake.withColumnRenamed("region", "_region"), ["contig", "_tile", "_region"]
+
+
+def _with_region(asked: DataFrame, on: list[str]) -> DataFrame:
+    """Intervals with the region of their tile.
+
+    Spark prunes folders at run time only for a side that has a filter; every
+    interval passes this one.
+    """
+    if "_region" not in on:
+        return asked
+    named = asked.withColumn("_region", region_of(F.col("contig"), F.col("_tile")))
+    return named.filter(F.col("_tile") >= F.lit(-(1 << 62)))
+
+
 def long_sequences_at(
     intervals: DataFrame, tiles: DataFrame, key: list[str], size: int = TILE, name: str = "sequence"
 ) -> DataFrame:
     """Like ``sequences_at`` for intervals of any length; ``key`` names a row."""
-    lake = tiles.select("contig", F.col("tile").alias("_tile"), "tile_start", "tile_end", "seq")
+    lake, on = _by_region(
+        tiles.select("contig", F.col("tile").alias("_tile"), "tile_start", "tile_end", "seq", *_region(tiles)))
     lo = F.greatest(F.col("start"), F.col("tile_start"))
     hi = F.least(F.col("end"), F.col("tile_end"))
+    if "_region" in on:
+        intervals = broadcast_if_small(stage(intervals, "intervals"))
+    asked = intervals.select(
+        *dict.fromkeys([*key, "contig", "start", "end", "strand"]),
+        F.explode(
+            F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))
+        ).alias("_tile"),
+    )
     parts = (
-        intervals.select(
-            *dict.fromkeys([*key, "contig", "start", "end", "strand"]),
-            F.explode(
-                F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))
-            ).alias("_tile"),
-        )
-        .join(lake, ["contig", "_tile"])
+        _with_region(asked, on).join(lake, on)
         .filter(lo < hi)
         .select(
             *key, "strand", lo.alias("at"),

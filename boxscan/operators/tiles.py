@@ -7,7 +7,7 @@ depend on the tile size, and one long contig spreads over many rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
@@ -121,3 +121,24 @@ def save_lake(tiles: DataFrame, name: str, buckets: int) -> DataFrame:
         .sortBy("contig", "tile").mode("overwrite").saveAsTable(name)
     )
     return tiles.sparkSession.table(name)
+
+
+#: Tiles in a row that share a region, and the number of regions of a lake.
+SPAN, REGIONS = 64, 256
+
+
+def region_of(contig: Column, tile: Column) -> Column:
+    """The folder of a tile in a lake laid out by regions: neighbours together, contigs spread."""
+    return F.pmod(F.xxhash64(contig, F.floor(tile / SPAN).cast("long")), F.lit(REGIONS)).cast("int")
+
+
+def save_regions(tiles: DataFrame, path: str) -> DataFrame:
+    """Tiles as parquet in a folder per ``region``.
+
+    A lookup of few intervals reads the folders that these lie in: the regions
+    of a broadcast side prune the scan while it runs.  A region holds runs of
+    neighbouring tiles of many contigs, so none is hot.
+    """
+    named = tiles.withColumn("region", region_of(F.col("contig"), F.col("tile")))
+    named.repartition("region").sortWithinPartitions("region", "contig", "tile").write.partitionBy("region").parquet(path)
+    return tiles.sparkSession.read.schema(named.schema).parquet(path)

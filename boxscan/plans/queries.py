@@ -354,10 +354,11 @@ def q_bed_slop(spark, folder):
 
 
 def q_interval_sequence(spark, folder):
-    """Stranded sequence of every peak, whatever its length, from small tiles."""
+    """Stranded sequence of every peak, whatever its length, from small tiles in folders by region."""
     peaks_ = tables.document_peaks(spark, folder).filter("start < end")
     cut = tiles.tile_sequences(tables.document_contigs(spark, folder), SMALL_TILE)
-    return long_sequences_at(peaks_, cut, ["row_no"], SMALL_TILE)
+    laid = tiles.save_regions(cut, new_folder(spark, "regions"))
+    return long_sequences_at(peaks_, laid, ["row_no"], SMALL_TILE)
 
 
 def _prepared_windows(spark, folder):

@@ -223,3 +223,22 @@ def test_saved_lake_is_not_shuffled(spark, contigs, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE lake_test")
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_lookups_read_the_regions_they_need(spark, contigs, tmp_path, long):
+    cut = tiles.tile_sequences(contigs, 128)
+    lake = tiles.save_regions(cut, str(tmp_path / "lake"))
+    spans = spark.createDataFrame(
+        [(1, "s1000", 5, 100, "+"), (2, "s6592", 6000, 6100, "-")], "i int, contig string, start long, end long, strand string")
+
+    def look(source):
+        return extract.long_sequences_at(spans, source, ["i"], 128) if long else extract.sequences_at(spans, source, 128)
+
+    found = look(lake)
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, look(cut).collect())) and len(rows) == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    regions = {r.region for r in lake.select("region").distinct().collect()}
+    assert len(regions) > 2
