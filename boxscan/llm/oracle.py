@@ -48,11 +48,11 @@ WITH base AS (
   SELECT b.doc_id, lang, source, len(w) AS n_words,
     CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines
   FROM base b JOIN lines USING (doc_id) LEFT JOIN repeats r USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    n_symbols * 1000000 // greatest(word_chars, 1) AS v1, n_dup_lines * 1000000 // greatest(n_words, 1) AS v2,
+    n_symbols * 1000000 // greatest(word_chars, 1) AS v1, n_dup_lines * 1000000 // greatest(n_lines, 1) AS v2,
     n_repeat_words * 1000000 // greatest(n_words, 1) AS v3, word_chars * 1000 // greatest(n_words, 1) AS v4
   FROM measures
 ), vals AS (
@@ -68,20 +68,22 @@ WITH base AS (
 ), ranked AS (
   SELECT level, lang, source, m, bucket,
     sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bucket) AS upto,
-    sum(n) OVER (PARTITION BY level, lang, source, m) AS total
+    sum(n) OVER (PARTITION BY level, lang, source, m) AS total,
+    sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) OVER (PARTITION BY level, lang, source, m ORDER BY bucket) AS upto_pos,
+    sum(CASE WHEN bucket > 0 THEN n ELSE 0 END) OVER (PARTITION BY level, lang, source, m) AS total_pos
   FROM levels
 ), edges AS (
-  SELECT level, lang, source, m, max(total) AS total, q1 - greatest(spread, 3 * (q3 - q1)) AS low,
-    q3 + greatest(spread, 3 * (q3 - q1)) AS high
-  FROM (SELECT level, lang, source, m, max(total) AS total,
+  SELECT level, lang, source, m, level = 3 OR (total >= 100 AND total_pos >= 20) AS enough,
+    q1 - greatest(coalesce(spread, 0), 3 * (q3 - q1)) AS low, q3 + greatest(coalesce(spread, 0), 3 * (q3 - q1)) AS high
+  FROM (SELECT level, lang, source, m, max(total) AS total, max(total_pos) AS total_pos,
           min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3,
-          CASE m WHEN 1 THEN 20000 WHEN 2 THEN 50000 WHEN 3 THEN 250000 ELSE 2000 END AS spread
+          min(bucket) FILTER (bucket > 0 AND 100 * upto_pos >= 95 * total_pos)
+            - min(bucket) FILTER (bucket > 0 AND 2 * upto_pos >= total_pos) AS spread
         FROM ranked GROUP BY level, lang, source, m)
-  GROUP BY ALL
 ), chosen AS (
   SELECT a.lang, a.source, a.m,
-    CASE WHEN a.total >= 100 THEN a.low WHEN b.total >= 100 THEN b.low ELSE c.low END AS low,
-    CASE WHEN a.total >= 100 THEN a.high WHEN b.total >= 100 THEN b.high ELSE c.high END AS high
+    CASE WHEN a.enough THEN a.low WHEN b.enough THEN b.low ELSE c.low END AS low,
+    CASE WHEN a.enough THEN a.high WHEN b.enough THEN b.high ELSE c.high END AS high
   FROM edges a JOIN edges b ON a.level = 1 AND b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.m = b.m
   JOIN edges c ON c.level = 3 AND c.m = a.m
 ), broken AS (
@@ -92,7 +94,8 @@ WITH base AS (
     OR (t.m = 4 AND (v4 > high OR v4 < low)))
 )
 SELECT doc_id, lang, source, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words,
+  CAST(n_lines AS BIGINT) AS n_lines, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept
 FROM judged
 """

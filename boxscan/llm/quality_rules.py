@@ -6,9 +6,13 @@ seven leading bits, so a bucket's lower bound is within 1/64 of every value in
 it.  Such sketches merge by adding counts, which is how the sketch of a language
 and that of the whole corpus come from those of the sources; a hot source is one
 set of counters per task.  The fence of a group is its third quartile plus three
-interquartile ranges (or a least spread, where most values are equal); groups
-with few rows use the sketch of their language, or else of all rows.  A join by
-(lang, source) then filters.  Only DataFrame functions are used.
+interquartile ranges, or plus the distance from the median to a high quantile of
+its values above zero, if that is more: where most values are zero, the quartiles
+say nothing, and those documents that have any tell what is ordinary.  Both
+distances come from the sketch; no fence or distance is a constant.  A measure
+for which a group has few rows, or few values above zero, uses the sketch of the
+language, or else of all rows.  A join by (lang, source) then filters.  Only
+DataFrame functions are used.
 
 Defined results: null or empty text has no words and fails the base rules; null
 lang or source is a group of its own; repeated rows are measured and kept or
@@ -34,24 +38,26 @@ PPM = 1_000_000
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters.  ``spread`` is the least distance of a fence from its quartile, per measure."""
+    """Parameters: base rules, and how fences are drawn from a sketch.
+
+    A group needs ``min_group`` rows, and ``min_positive`` values above zero of a
+    measure, to have a fence of its own for it.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     fences: int = 3
+    high_percent: int = 95
     min_group: int = 100
-    symbol_spread: int = 20_000
-    line_spread: int = 50_000
-    repeat_spread: int = 250_000
-    length_spread: int = 2_000
+    min_positive: int = 20
 
 
-#: measure: (value in integers, name of its spread, whether low values are outliers as well)
+#: measure: (value in integers, whether low values are outliers as well)
 MEASURES = {
-    "symbol_share": ("n_symbols * 1000000 div greatest(word_chars, 1)", "symbol_spread", False),
-    "dup_line_share": ("n_dup_lines * 1000000 div greatest(n_words, 1)", "line_spread", False),
-    "repeat_share": ("n_repeat_words * 1000000 div greatest(n_words, 1)", "repeat_spread", False),
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", "length_spread", True),
+    "symbol_share": ("n_symbols * 1000000 div greatest(word_chars, 1)", False),
+    "dup_line_share": ("n_dup_lines * 1000000 div greatest(n_lines, 1)", False),
+    "repeat_share": ("n_repeat_words * 1000000 div greatest(n_words, 1)", False),
+    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", True),
 }
 
 
@@ -89,7 +95,7 @@ def repeated_words(w: Column) -> Column:
 
 
 def measured(text: Column) -> Column:
-    """struct of the five base measures of a text (all long)."""
+    """struct of the base measures of a text (all long)."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
@@ -100,12 +106,13 @@ def measured(text: Column) -> Column:
             F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
+            F.size(lines).cast("long").alias("n_lines"),
         )
 
     return let(words(text), of)
 
 
-BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
 def measure(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -132,7 +139,7 @@ def sketches(table: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): histograms of the rows that pass the base rules."""
     values = F.explode(F.array(*[
         F.struct(F.lit(name).alias("measure"), F.expr(value).alias("v"))
-        for name, (value, _, _) in MEASURES.items()
+        for name, (value, _) in MEASURES.items()
     ])).alias("x")
     return (
         table.where("NOT base_failed").select("lang", "source", values)
@@ -146,55 +153,55 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
-    """One row per group: rows ``n_group`` and a low and a high fence per measure."""
+    """One row per group; per measure a low and a high fence, null where the group's sample is too small."""
     group = [*keys, "measure"]
-    run = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    every = W.partitionBy(*group)
+    run = every.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     ranks = sketch.select(
-        *group, "bucket", F.sum("n").over(run).alias("upto"),
-        F.sum("n").over(W.partitionBy(*group)).alias("total"),
+        *group, "bucket", F.sum("n").over(run).alias("upto"), F.sum("n").over(every).alias("total"),
+        F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(every).alias("zeros"),
     )
-    quarter = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-    quartiles = ranks.groupBy(*group).agg(
-        quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total")
+    positive = F.col("total") - F.col("zeros")
+
+    def quantile(percent: int) -> Column:
+        return F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket")))
+
+    def of_positive(percent: int) -> Column:
+        reached = (F.col("upto") - F.col("zeros")) * 100 >= positive * percent
+        return F.min(F.when((F.col("bucket") > 0) & reached, F.col("bucket")))
+
+    quantiles = ranks.groupBy(*group).agg(
+        quantile(25).alias("q1"), quantile(75).alias("q3"), F.max("total").alias("total"),
+        F.max(positive).alias("positive"), (of_positive(rules.high_percent) - of_positive(50)).alias("spread"),
     )
-    spread = F.coalesce(*[
-        F.when(F.col("measure") == name, F.lit(getattr(rules, field)))
-        for name, (_, field, _) in MEASURES.items()
-    ]).cast("long")
-    reach = F.greatest(spread, (F.col("q3") - F.col("q1")) * rules.fences)
-    bounds = quartiles.select(
-        *group, "total", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")
+    reach = F.greatest(F.coalesce("spread", F.lit(0)), (F.col("q3") - F.col("q1")) * rules.fences)
+    enough = F.lit(not keys) | (F.col("total") >= rules.min_group) & (F.col("positive") >= rules.min_positive)
+    bounds = quantiles.select(
+        *group, F.when(enough, F.col("q1") - reach).alias("low"), F.when(enough, F.col("q3") + reach).alias("high")
     )
     each = [
         F.max(F.when(F.col("measure") == name, F.col(side))).alias(f"{name}_{side}")
         for name in MEASURES for side in ("low", "high")
     ]
-    return bounds.groupBy(*keys).agg(F.max("total").alias("n_group"), *each)
+    return bounds.groupBy(*keys).agg(*each)
 
 
 def thresholds(sketch: DataFrame, rules: Rules) -> DataFrame:
-    """Fences per (lang, source), from the finest sketch with ``min_group`` rows.
+    """Fences per (lang, source) and measure, from the finest sketch with a sample that suffices.
 
-    The fences of all rows are one row, read by the driver.
+    The fences of all rows are one row, read by the driver; it has no least sample.
     """
     edges = [f"{name}_{side}" for name in MEASURES for side in ("low", "high")]
     own = fences(sketch, ["lang", "source"], rules)
     by_lang = fences(merged(sketch, ["lang"]), ["lang"], rules).select(
-        F.col("lang").alias("wide_lang"), F.col("n_group").alias("wide_n"),
-        *[F.col(e).alias(f"wide_{e}") for e in edges],
+        F.col("lang").alias("wide_lang"), *[F.col(e).alias(f"wide_{e}") for e in edges],
     )
-    whole = fences(merged(sketch.withColumn("every", F.lit(1)), ["every"]), ["every"], rules).first()
-    enough = F.col("n_group") >= rules.min_group
-    wide_enough = F.col("wide_n") >= rules.min_group
+    whole = fences(merged(sketch, []), [], rules).first()
     return (
         own.join(by_lang, F.col("lang").eqNullSafe(F.col("wide_lang")))
         .select(
             F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
-            *[
-                F.when(enough, F.col(e)).when(wide_enough, F.col(f"wide_{e}"))
-                .otherwise(F.lit(whole[e] if whole else None).cast("long")).alias(e)
-                for e in edges
-            ],
+            *[F.coalesce(e, f"wide_{e}", F.lit(whole[e]).cast("long")).alias(e) for e in edges],
         )
     )
 
@@ -210,7 +217,7 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     table = stage(measure(docs, rules), "measures")
     limits = stage(thresholds(stage(sketches(table), "bins"), rules), "fences")
     broken = F.lit(False)
-    for name, (value, _, low) in MEASURES.items():
+    for name, (value, low) in MEASURES.items():
         broken = broken | (F.expr(value) > F.col(f"{name}_high"))
         if low:
             broken = broken | (F.expr(value) < F.col(f"{name}_low"))
@@ -242,7 +249,7 @@ def keep(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     joined = rows.alias("d").join(
         limits, F.col("d.lang").eqNullSafe(F.col("t_lang")) & F.col("d.source").eqNullSafe(F.col("t_source")), "left")
     broken = F.lit(False)
-    for name, (value, _, low) in MEASURES.items():
+    for name, (value, low) in MEASURES.items():
         for word in BASE:
             value = value.replace(word, f"measured.{word}")
         broken = broken | (F.expr(value) > F.col(f"{name}_high"))

@@ -22,6 +22,7 @@ makes a block of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -89,7 +90,9 @@ class ChunkIds:
         letters, others = [], []
         for k, chunk in enumerate(chunks):
             core = chunk.rstrip(TAIL)
-            if not core or not core[-1].isalnum():
+            # as the tokenizer sees it: some letters become a letter and a mark, which signs may join
+            end = core[-1:].lower()
+            if len(end) != 1 or not end.isalnum():
                 core, rest = chunk, ""
             else:
                 rest = chunk[len(core):]
@@ -244,9 +247,13 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[
 
 def decode_block(
     words: np.ndarray, lanes: int, places: np.ndarray, states: np.ndarray,
-    freq: np.ndarray, start: np.ndarray, symbol: np.ndarray, begin: int, end: int,
+    freq: np.ndarray, start: np.ndarray, symbol: np.ndarray, begin: int, end: int, whole: bool = False,
 ) -> np.ndarray:
-    """Ids ``begin`` to ``end`` of a block, from the checkpoint before ``begin``."""
+    """Ids ``begin`` to ``end`` of a block, from the checkpoint before ``begin``.
+
+    ``whole``: ``end`` is the end of the block, whose stream must then be used up
+    and leave the state that it was begun with.
+    """
     if begin >= end:
         return np.empty(0, np.uint32)
     check = begin // lanes // CHECK_STEPS
@@ -263,8 +270,12 @@ def decode_block(
         small = np.flatnonzero(state < LOW)
         if len(small):
             more = words[at:at + len(small)]
+            if len(more) < len(small):
+                raise ValueError("the stream does not end where its block does")
             state[small] = (state[small] << np.uint64(32)) | more
             at += len(small)
+    if whole and (at != len(words) or (state != LOW).any()):
+        raise ValueError("the stream does not end in the state that it was begun with")
     return laid.reshape(-1)[begin - step * lanes:end - step * lanes]
 
 
@@ -277,6 +288,16 @@ def tables(symbols: np.ndarray, freqs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return freq, start, np.repeat(np.arange(size, dtype=np.uint32), freq.astype(np.int64))
 
 
+#: Columns of a block that its checksum covers besides the stream, its checkpoints and their states.
+CHECKED = ["part", "block", "first", "doc_ids", "doc_sizes", "n_ids"]
+
+
+def checksum(cells: dict, lanes: int, words: np.ndarray, places: np.ndarray, states: np.ndarray) -> int:
+    """CRC of everything that a block is decoded from."""
+    head = json.dumps([*(cells[name] for name in CHECKED), lanes, [int(p) for p in places]])
+    return zlib.crc32(states.astype("<u8").tobytes(), zlib.crc32(words.astype("<u4").tobytes(), zlib.crc32(head.encode())))
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     freq, start, _ = tables(*shared.value)
     for batch in batches:
@@ -286,7 +307,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             [
                 *keep, pa.array([c[0] for c in cells], pa.int32()),
                 pa.array([c[1].tobytes() for c in cells], pa.binary()),
-                pa.array([zlib.crc32(c[1].tobytes()) for c in cells], pa.int64()),
+                pa.array([
+                    checksum({name: batch.column(name)[k].as_py() for name in CHECKED}, *c)
+                    for k, c in enumerate(cells)
+                ], pa.int64()),
                 pa.array([c[2].tolist() for c in cells], pa.list_(pa.int64())),
                 pa.array([c[3].tobytes() for c in cells], pa.binary()),
             ],
@@ -330,14 +354,14 @@ def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     for batch in batches:
         get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         for k in range(batch.num_rows):
-            raw = get["words"][k].as_py()
-            if zlib.crc32(raw) != get["crc"][k].as_py():
-                raise ValueError(f"block {get['part'][k]}/{get['block'][k]} is damaged")
-            lanes, n = get["lanes"][k].as_py(), get["n_ids"][k].as_py()
+            cell = {name: get[name][k].as_py() for name in (*CHECKED, "lanes", "words", "crc", "check_places", "check_states")}
+            lanes, n = cell["lanes"], cell["n_ids"]
+            words, places = np.frombuffer(cell["words"], "<u4"), np.array(cell["check_places"], np.int64)
+            states = np.frombuffer(cell["check_states"], "<u8")
+            if checksum(cell, lanes, words, places, states) != cell["crc"]:
+                raise ValueError(f"block {cell['part']}/{cell['block']} is damaged")
             ids = decode_block(
-                np.frombuffer(raw, "<u4"), lanes, np.array(get["check_places"][k].as_py(), np.int64),
-                np.frombuffer(get["check_states"][k].as_py(), "<u8").reshape(-1, lanes), freq, start, symbol, 0, n,
-            ).astype("<u4")
+                words, lanes, places, states.reshape(-1, lanes), freq, start, symbol, 0, n, whole=True).astype("<u4")
             sizes = np.array(get["doc_sizes"][k].as_py(), np.int64)
             ends = np.cumsum(sizes)
             for at in range(0, len(sizes), 2048):

@@ -53,7 +53,7 @@ def by_hand(text):
     count = Counter(grams)
     covered = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(lines))
 
 
 def test_quality_measures(spark):
@@ -65,6 +65,19 @@ def test_quality_measures(spark):
         assert tuple(r[1:]) == want[r.node], r.node
 
 
+def test_quality_fences_follow_the_values(spark):
+    """Two groups with symbols of other sizes get other fences, and a constant in none of them."""
+    def text(k, symbols):
+        return prose(500 + k, 80) + " " + "#" * symbols
+
+    rows = [(k, text(k, (k % 7) * size), "en", source, 1, "", k, 0)
+            for source, size in (("few", 1), ("many", 9)) for k in range(140)]
+    sketch = quality_rules.sketches(quality_rules.measure(
+        spark.createDataFrame(rows, odd(spark).schema), quality_rules.Rules()))
+    found = {r.t_source: r for r in quality_rules.thresholds(sketch, quality_rules.Rules()).collect()}
+    assert found["many"].symbol_share_high > 5 * found["few"].symbol_share_high > 0
+
+
 def test_quality_outliers_of_a_group_go(spark):
     rows = [(i, prose(i, 200), "en", "s0", 1, "", i, 0) for i in range(150)]
     rows += [(1000 + i, " ".join(x + "###" for x in prose(i, 200).split()), "en", "s0", 1, "", i, 0) for i in range(15)]

@@ -103,11 +103,45 @@ def test_rans_block_and_its_inside(n):
         assert (rans.decode_block(words, lanes, places, states, *tables, begin, end) == ids[begin:end]).all()
 
 
-def test_damaged_block_is_refused(spark):
+DAMAGE = {
+    "crc": "crc + 1", "first": "first + 1", "doc_sizes": "reverse(doc_sizes)", "doc_ids": "transform(doc_ids, x -> x + 1)",
+    "check_places": "transform(check_places, x -> x + 1)", "check_states": "cast(repeat(' ', length(check_states)) as binary)",
+    "words": "unhex(reverse(hex(words)))",
+}
+
+
+def test_damaged_blocks_are_refused(spark):
     path = new_folder(spark, "damaged")
     rans.write_tokens(odd(spark), path, WORD_BPE, 2)
-    blocks = spark.read.parquet(f"{path}/blocks").withColumn("crc", F.col("crc") + 1)
-    blocks.write.parquet(f"{path}-bad/blocks")
-    spark.read.parquet(f"{path}/table").write.parquet(f"{path}-bad/table")
-    with pytest.raises(Exception, match="is damaged"):
+    for name, value in DAMAGE.items():
+        blocks = spark.read.parquet(f"{path}/blocks").withColumn(name, F.expr(value))
+        blocks.write.parquet(f"{path}-{name}/blocks")
+        spark.read.parquet(f"{path}/table").write.parquet(f"{path}-{name}/table")
+        with pytest.raises(Exception, match="is damaged"):
+            rans.read_tokens(spark, f"{path}-{name}").collect()
+
+
+def test_another_table_is_refused(spark):
+    """The shared table has no checksum of its own; the last states tell."""
+    path = new_folder(spark, "othertable")
+    rans.write_tokens(odd(spark), path, WORD_BPE, 2)
+    spark.read.parquet(f"{path}/blocks").write.parquet(f"{path}-bad/blocks")
+    table = spark.read.parquet(f"{path}/table").orderBy("symbol").collect()
+    turned = [(a.symbol, b.freq) for a, b in zip(table, [*table[1:], table[0]], strict=True)]
+    spark.createDataFrame(turned, "symbol bigint, freq bigint").write.parquet(f"{path}-bad/table")
+    with pytest.raises(Exception, match="does not end|out of bounds"):
         rans.read_tokens(spark, f"{path}-bad").collect()
+
+
+def test_rans_ids_of_random_texts():
+    """Letters that change in lower case, marks that join signs, and every kind of white space."""
+    plain = Tokenizer.from_file(WORD_BPE)
+    rng = np.random.default_rng(8)
+    letters = list("aZéİIıßŞşΣςªº١2日́̇.,;:!?#$%&*|()\"' \n\t\u00a0\u2028'-_<>")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(20_000)]
+    texts += ["İ.", "HERŞEYİ,", "İKİ!", "i̇.", "aİ)\"", "İ"]
+    coder = rans._chunk_ids(WORD_BPE)
+    ids, ends = coder.encode(texts, 2)
+    got = np.split(ids, ends[:-1])
+    for text, own, want in zip(texts, got, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.tolist() == [*want.ids, 2], text
