@@ -2,12 +2,14 @@
 
 Documents are taken in blocks (four million characters of one partition).
 A first Arrow pass splits the texts of a block and numbers its distinct words;
-the JVM then encodes each distinct word once: an ``aggregate`` over the array of
-its bytes merges the adjacent pair of lowest rank until none is left, looking
-ranks up in a literal map of the vocabulary (laid out as arrays, as a lookup in
-a Spark map walks through its keys).  A second Arrow pass puts the ids of the words in the order of the texts.  Nothing is
-shuffled and no dictionary of the corpus exists: a block's words are bounded by
-its text, and a lost block is simply made again.
+the JVM then encodes each word that is new to the partition: an ``aggregate``
+over the array of its bytes merges the adjacent pair of lowest rank until none is
+left, looking ranks up in a literal map of the vocabulary (laid out as arrays, as
+a lookup in a Spark map walks through its keys).  A second Arrow pass, which sees
+the blocks of the partition in the same order, keeps the ids of its words and
+puts them in the order of the texts.  Both passes forget all words together once
+there are ``REMEMBERED`` of them.  Nothing is shuffled and no dictionary of the
+corpus exists: a lost task makes its partition again.
 
 A word of more than ``FOLD_BYTES`` bytes would need as many copies of its pieces
 as it has bytes; those few are merged by the tiktoken library, and words that
@@ -27,6 +29,7 @@ import base64
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 FOLD_BYTES = 48
 #: Characters of text in a block.
 BLOCK_CHARS = 4 << 20
+#: Words after which a partition begins anew to number them.
+REMEMBERED = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -164,7 +169,9 @@ def _first_pieces(words: list[str], ranks: dict[bytes, int]) -> pa.Array:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern: str, text: str) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows: the rows but their texts, their words by number, and the distinct words.
+    """Blocks of rows: the rows but their texts, their words by number, and the words new to the partition.
+
+    ``base`` is the number of the first new word; 0 where numbering begins.
 
     Where single blanks and line feeds are the only white space, a word begins
     at each of them, so a text can be cut there and each distinct chunk needs
@@ -173,6 +180,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
     find, odd = _splitter(pattern)
 
     def flush() -> pa.RecordBatch:
+        new = list(islice(words, base, None))
         rows = pa.Table.from_batches(kept).combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as out:
@@ -183,7 +191,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
             "ends": pa.array([np.asarray(ends, "<u8").tobytes()], pa.binary()),
             "chunks": pa.array([np.asarray(flat, "<u4").tobytes()], pa.binary()),
             "chunk_ends": pa.array([np.asarray(chunk_ends, "<u8").tobytes()], pa.binary()),
-            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), _first_pieces(list(words), ranks)),
+            "base": pa.array([base], pa.int64()),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), _first_pieces(new, ranks)),
         })
 
     def number(chunk: str, lead: str) -> int:
@@ -200,12 +209,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], pattern:
             return at
 
     def fresh() -> None:
-        nonlocal kept, seen, ends, flat, chunk_ends, words, chunks, firsts, size, total
-        kept, seen, ends, flat, chunk_ends, words, chunks, firsts = [], [], [], [], [], {}, Chunks(), {}
+        nonlocal kept, seen, ends, flat, chunk_ends, chunks, firsts, size, total, base
+        kept, seen, ends, flat, chunk_ends, chunks, firsts = [], [], [], [], [], Chunks(), {}
         size = total = 0
+        if len(words) >= REMEMBERED:
+            words.clear()
+        base = len(words)
 
-    kept = seen = ends = flat = chunk_ends = words = chunks = firsts = None
-    size = total = 0
+    kept = seen = ends = flat = chunk_ends = chunks = firsts = None
+    words: dict[str, int] = {}
+    size = total = base = 0
     fresh()
     for batch in batches:
         at = batch.schema.names.index(text)
@@ -251,12 +264,16 @@ def ragged(starts: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.n
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a block with the ids of their texts."""
+    known, known_sizes = np.empty(0, np.int32), np.empty(0, np.int64)
     for batch in batches:
         for k in range(batch.num_rows):
             cell = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
             ids = cell["word_ids"].values
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             size = np.asarray(ids.value_lengths()).astype(np.int64)
+            if cell["base"].as_py():
+                flat, size = np.concatenate([known, flat]), np.concatenate([known_sizes, size])
+            known, known_sizes = flat, size
             word_ends = np.cumsum(size)
             words = np.frombuffer(cell["chunks"].as_py(), "<u4")
             chunk_ends = np.frombuffer(cell["chunk_ends"].as_py(), "<u8").astype(np.int64)
@@ -295,7 +312,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     rest = [f for f in docs.schema if f.name != text]
     blocks = docs.mapInArrow(
         lambda batches: _blocks(batches, ranks, pattern, text),
-        "rows binary, seen binary, ends binary, chunks binary, chunk_ends binary, words array<array<int>>",
+        "rows binary, seen binary, ends binary, chunks binary, chunk_ends binary, base bigint, words array<array<int>>",
     )
     word_ids = let(rank_literals(ranks), lambda table: F.transform("words", lambda w: fold_merges(w, table)))
     schema = T.StructType([

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 from boxscan.llm import bpe, rans
 from boxscan.llm.queries import LLM_QUERIES
 from boxscan.session import new_folder
-from helpers import FOLDER, empty, odd, odd_rows
+from helpers import FOLDER, empty, odd, odd_rows, prose
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +36,26 @@ def test_bpe_odd_texts(spark, plain):
         assert raw == np.array(want, "<u4").tobytes()
 
 
+def test_bpe_words_of_earlier_blocks(plain, monkeypatch):
+    """Small blocks and a short memory: words come back, are forgotten and are learnt again."""
+    rows = [(k, " ".join(prose(k % 5, 30).split()[k % 3:]) + f" own{k}") for k in range(120)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows], "text": [t for _, t in rows]})
+    pieces = {i: piece for piece, i in RANKS.items()}
+    for chars, remembered in ((200, 1 << 20), (200, 60), (1 << 20, 1)):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        blocks = [b for b in bpe._blocks(iter([docs]), RANKS, public_tokenizers.PATTERN, "text")]
+        bases = [b.column("base")[0].as_py() for b in blocks]
+        assert (len(blocks) > 20) == (chars == 200) and (sum(x == 0 for x in bases) > 1) == (remembered == 60)
+        done = [pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array([[plain._encode_single_piece(b"".join(pieces[i] for i in w))
+                                    for w in b.column("words")[0].as_py()]], pa.list_(pa.list_(pa.int32())))],
+            names=[*b.schema.names, "word_ids"]) for b in blocks]
+        got = {d: ids for out in bpe._assembled(iter(done)) for d, ids in zip(
+            out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), strict=True)}
+        assert got == {d: plain.encode_ordinary(t) for d, t in rows}
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
