@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from boxscan.llm import align, bpe, chat, html, importance, mixing, near_dup, pii, quality_rules, rans, spellings, suffixes, top_k
+from boxscan.llm import (
+    align, bpe, chat, html, importance, mixing, near_dup, pii, pipeline, quality_rules, rans, spellings, suffixes, top_k,
+)
 from boxscan.llm.oracle import LLM_ORACLE
 from boxscan.session import new_folder
 
@@ -117,6 +118,8 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # what is left, as text; a character that a removal cuts through is shown as U+FFFD
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
@@ -142,6 +145,6 @@ def op11_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_pages(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-LLM_QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+LLM_QUERIES["pipeline"] = pipeline.run
+if pipeline.ORACLE_SQL:
+    LLM_ORACLE["pipeline"] = pipeline.ORACLE_SQL

@@ -1,5 +1,6 @@
 """Near duplicates and repeated strings against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -117,6 +118,7 @@ def test_repeats_query(spark):
         kept, spans = want[r.doc_id]
         assert (r.n_spans, r.n_removed) == (len(spans), sum(b - a for a, b in spans))
         assert r.n_bytes - r.n_removed == len(kept)
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest() and r.text == kept.decode("utf-8", "replace")
 
 
 def test_repeats_of_one_run_send_one_place():
@@ -134,8 +136,10 @@ def test_repeats_of_one_run_send_one_place():
 
 
 def test_repeats_odd_rows_and_empty_table(spark):
-    out = suffixes.remove_repeats(odd(spark), 400).collect()
-    assert len(out) == len(odd_rows())
+    found = suffixes.remove_repeats(odd(spark), 400).collect()
+    got = [(r.doc_id, bytes(r.kept), [tuple(x) for x in r.spans]) for r in found]
+    want = [(r[0], *w) for r, w in zip(odd_rows(), without_repeats([r[1] for r in odd_rows()], 400), strict=True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     assert suffixes.remove_repeats(empty(spark), 400).count() == 0
 
 
