@@ -14,7 +14,7 @@ from boxscan.functions.sequences import kmer_to_nt
 from boxscan.operators.scoring import MotifScorer, Scorer, encode, score_windows
 
 MASK = ord("N")
-#: Windows whose masked copies are held at once.
+#: Windows whose masked scores are held at once.
 ROWS = 512
 
 
@@ -28,32 +28,29 @@ def occlusion(scorer: Scorer, seq: Column, k: int = K.KMER) -> Column:
     def positive(logits: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(logits[..., 0] - logits[..., 1]))
 
-    def by_copies(codes: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    def by_copies(codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        copies = np.maximum(lengths - k + 1, 0) + 1  # the first one is not masked
         ends = np.cumsum(copies)
         owner = np.repeat(np.arange(len(codes)), copies)
-        place = np.arange(len(owner)) - (ends - copies)[owner]
+        place = np.arange(len(owner)) - (ends - copies)[owner] - 1
         p = np.empty(len(owner))
         for at in range(0, len(owner), scorer.batch_size):
             own, where = owner[at:at + scorer.batch_size], place[at:at + scorer.batch_size]
             rows = codes[own]
-            rows[np.arange(len(own))[:, None], where[:, None] + np.arange(k)] = MASK
+            masked = np.flatnonzero(where >= 0)
+            rows[masked[:, None], where[masked, None] + np.arange(k)] = MASK
             p[at:at + len(own)] = positive(scorer.logits(rows))
-        return p
-
-    def whole(codes: np.ndarray) -> np.ndarray:
-        parts = [codes[at:at + scorer.batch_size] for at in range(0, len(codes), scorer.batch_size)]
-        return np.concatenate([positive(scorer.logits(part)) for part in parts])
+        whole = p[ends - copies]
+        return [whole[i] - p[ends[i] - copies[i] + 1:ends[i]] for i in range(len(codes))]
 
     def drops(codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        if scorer.masked_logits(codes[:1], k) is None:
+            return by_copies(codes, lengths)
         out = []
         for at in range(0, len(codes), ROWS):
             rows, size = codes[at:at + ROWS], np.maximum(lengths[at:at + ROWS] - k + 1, 0)
-            p, masked = whole(rows), scorer.masked_logits(rows, k)
-            if masked is None:
-                parts = np.split(by_copies(rows, size), np.cumsum(size)[:-1])
-            else:
-                parts = [x[:n] for x, n in zip(positive(masked), size, strict=True)]
-            out += [a - b for a, b in zip(p, parts, strict=True)]
+            whole, masked = positive(scorer.logits(rows)), positive(scorer.masked_logits(rows, k))
+            out += [a - b[:n] for a, b, n in zip(whole, masked, size, strict=True)]
         return out
 
     @F.pandas_udf("array<double>")

@@ -173,6 +173,17 @@ def test_attribution_fills_its_batches(spark):
         assert np.allclose(r.d, p[0] - p[1:])
 
 
+@pytest.mark.parametrize("k", [1, 3, 6, 30])
+def test_masked_scores_are_those_of_masked_copies(k):
+    model, rng = scoring.MotifScorer(), np.random.default_rng(k)
+    windows_ = rng.choice(np.frombuffer(b"ACGTN", np.uint8), (40, 194), p=[.3, .2, .2, .29, .01])
+    found = model.masked_logits(windows_, k)
+    for at in range(194 - k + 1):
+        copies = windows_.copy()
+        copies[:, at:at + k] = ord("N")
+        assert (model.logits(copies) == found[:, at]).all()
+
+
 def test_a_halo_that_is_too_small_is_refused(spark):
     blocks = spark.createDataFrame([("a", "+", 0, 700, 0.9, 1), ("a", "+", 100, 800, 0.9, 1)],
                                    "contig string, strand string, start long, `end` long, score double, n_windows long")
