@@ -72,6 +72,7 @@ class Scorer:
 
     width = K.WINDOW
     batch_size = 128
+    version = ""    # tells two states of one model apart in a resumable run
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -107,10 +108,20 @@ class CallableScorer(Scorer):
 
 
 class MotifScorer(Scorer):
-    """Best C box at offsets 20..75 and best D box at 112..170 of the window."""
+    """Best C box at offsets 20..75 and best D box at 112..170 of the window.
 
-    C_AT, C_N = 20, 56
-    D_AT, D_N = 112, 59
+    Another width makes both ranges longer or shorter by half the difference; they
+    keep their distance to the ends of the window.
+    """
+
+    def __init__(self, width: int = K.WINDOW):
+        more = width - K.WINDOW
+        self.width = width
+        self.C_AT, self.C_N = 20, 56 + more // 2
+        self.D_N = 59 + more // 2
+        self.D_AT = 171 + more - self.D_N
+        if self.C_N < 1:
+            raise ValueError(f"a window of {width} nt has no room for the boxes")
 
     def distances(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c_span = windows[:, self.C_AT:self.C_AT + self.C_N + len(K.C_BOX) - 1]
@@ -250,6 +261,9 @@ def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool)
             if len(tiles):
                 codes = np.frombuffer("".join(tiles["seq"]).encode("ascii"), dtype=np.uint8)
                 size = tiles["seq"].str.len().to_numpy()
+                wanted = np.minimum(tiles["tile_end"] + width - 1, tiles["length"]) - tiles["tile_start"]
+                if (size < wanted.to_numpy()).any():
+                    raise ValueError(f"tiles need a halo of {width - 1} nt for windows of {width} nt")
                 at = np.cumsum(size) - size - tiles["tile_start"].to_numpy()
                 for strand in strands:
                     tile, start = _tile_starts(tiles, width, step, strand)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from boxscan import constants as K
 
 W = K.WINDOW
+NARROW = 150    # width of the queries with other windows
 
 
 def ham(kmer: str, box: str) -> str:
@@ -80,7 +81,18 @@ def smoothed(value: str, window: str, pos: str, n: str, digits: int = 9) -> str:
     return f"CASE {' '.join(cases)} ELSE {fit(-5, 0)} END"
 
 
-def windows(step: int, threshold: float | None, name: str) -> str:
+def offsets(w: int = W) -> tuple[tuple[int, int], tuple[int, int]]:
+    """First and last offset of a C and of a D box in a window of ``w`` bases."""
+    half = (w - 194) // 2
+    return (20, 75 + half), (w - 24 - (58 + half), w - 24)
+
+
+def window_logit(window: str, w: int = W) -> str:
+    (c, c_end), (d, d_end) = offsets(w)
+    return logit(best_in(window, K.C_BOX, c, c_end + 1), best_in(window, K.D_BOX, d, d_end + 1))
+
+
+def windows(step: int, threshold: float | None, name: str, W: int = W) -> str:
     """Scored windows of both strands; positives above the threshold, or all."""
     keep = "" if threshold is None else f"WHERE lg > 0 AND prob > {threshold}"
     short = f"""
@@ -98,7 +110,7 @@ def windows(step: int, threshold: float | None, name: str) -> str:
           SELECT contig, '-', i, i + {W}, {logit('c2', 'd2')}
           FROM frames WHERE i <= len - {W} AND ((len - {W} - i) % {step} = 0 OR i = 0)
           UNION ALL
-          SELECT contig, strand, start, "end", {logit(best_in('w', K.C_BOX, 20, 76), best_in('w', K.D_BOX, 112, 171))}
+          SELECT contig, strand, start, "end", {window_logit('w', W)}
           FROM ({short})
         )
       ) {keep}
@@ -173,35 +185,46 @@ PEAKS = """peaks AS MATERIALIZED (
           SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS len FROM documents)))
     )"""
 
-POS = f"""pos AS MATERIALIZED (
+def pos(W: int = W) -> str:
+    return f"""pos AS MATERIALIZED (
       SELECT contig, len, i, {ham('k7', K.C_BOX)} AS hc, {ham('k7', K.D_BOX)} AS hd,
              {ham('k7', 'TCATCAY')} AS rc, {ham('k7', 'TCAG')} AS rd
       FROM (SELECT contig, len, i, substr(seq, i + 1, 7) AS k7
             FROM (SELECT contig, seq, len, unnest(range(0, len)) AS i FROM contigs WHERE len > {W}))
     )"""
 
-FRAMES = """frames AS MATERIALIZED (
-      SELECT contig, len, i,
-        min(hc) OVER (PARTITION BY contig ORDER BY i ROWS BETWEEN 20 FOLLOWING AND 75 FOLLOWING) AS c1,
-        min(hd) OVER (PARTITION BY contig ORDER BY i ROWS BETWEEN 112 FOLLOWING AND 170 FOLLOWING) AS d1,
-        min(rc) OVER (PARTITION BY contig ORDER BY i ROWS BETWEEN 112 FOLLOWING AND 167 FOLLOWING) AS c2,
-        min(rd) OVER (PARTITION BY contig ORDER BY i ROWS BETWEEN 20 FOLLOWING AND 78 FOLLOWING) AS d2
+def frames(w: int = W) -> str:
+    (c, c_end), (d, d_end) = offsets(w)
+
+    def least(column: str, first: int, last: int, name: str) -> str:
+        return (f"min({column}) OVER (PARTITION BY contig ORDER BY i ROWS BETWEEN {first} FOLLOWING "
+                f"AND {last} FOLLOWING) AS {name}")
+
+    # a box at offset o of a minus window ends o bases before the end of the plus window
+    spans = ", ".join([
+        least("hc", c, c_end, "c1"), least("hd", d, d_end, "d1"),
+        least("rc", w - 7 - c_end, w - 7 - c, "c2"), least("rd", w - 4 - d_end, w - 4 - d, "d2"),
+    ])
+    return f"""frames AS MATERIALIZED (
+      SELECT contig, len, i, {spans}
       FROM pos
     )"""
 
+
+POS, FRAMES = pos(), frames()
 SCAN_CTES = [CONTIGS, POS, FRAMES]
 
 
-def positive(threshold: float, step: int = K.STEP) -> list[str]:
-    return [*SCAN_CTES, windows(step, threshold, "hits")]
+def positive(threshold: float, step: int = K.STEP, width: int = W) -> list[str]:
+    return [CONTIGS, pos(width), frames(width), windows(step, threshold, "hits", width)]
 
 
-def merged(threshold: float) -> list[str]:
-    return [*positive(threshold), islands("hits", "isl"), blocks("isl", "blk"), fold("blk", "merged")]
+def merged(threshold: float, width: int = W) -> list[str]:
+    return [*positive(threshold, width=width), islands("hits", "isl"), blocks("isl", "blk"), fold("blk", "merged")]
 
 
-def centred(threshold: float) -> list[str]:
-    return [*merged(threshold), f"""centre AS MATERIALIZED (
+def centred(threshold: float, W: int = W) -> list[str]:
+    return [*merged(threshold, W), f"""centre AS MATERIALIZED (
       SELECT contig, start + CAST(floor(("end" - start - {W}) / 2) AS BIGINT) AS start,
              "end" - CAST(ceil(("end" - start - {W}) / 2) AS BIGINT) AS "end", strand, score,
              {block_id()} AS block_id, start AS block_start, "end" AS block_end
@@ -213,11 +236,11 @@ def centred(threshold: float) -> list[str]:
     )"""]
 
 
-def confirmed(threshold: float) -> list[str]:
+def confirmed(threshold: float, width: int = W) -> list[str]:
     seq = "substr(t.seq, c.start + 1, c.\"end\" - c.start)"
-    return [*centred(threshold), f"""kept AS MATERIALIZED (
+    return [*centred(threshold, width), f"""kept AS MATERIALIZED (
       SELECT contig, start, "end", strand, score, block_id, block_start, block_end, window_seq FROM (
-        SELECT *, {logit(best_in('window_seq', K.C_BOX, 20, 76), best_in('window_seq', K.D_BOX, 112, 171))} AS lg
+        SELECT *, {window_logit('window_seq', width)} AS lg
         FROM (SELECT c.*, {stranded(seq, 'c.strand')} AS window_seq
               FROM centre_seen c JOIN contigs t ON t.contig = c.contig))
       WHERE present OR (lg > 0 AND round({sigmoid('lg')}, 6) > {threshold})
@@ -300,7 +323,7 @@ ATTRIBUTED = [f"""full_score AS MATERIALIZED (
         SELECT gene_id, window_seq, {logit(best_in(_PAD, K.C_BOX, 20, 76), best_in(_PAD, K.D_BOX, 112, 171))} AS lg FROM cand)
     ), drops AS MATERIALIZED (
       SELECT gene_id, n, m, p - {sigmoid('lgm')} AS v FROM (
-        SELECT gene_id, n, m, p, {logit(best_in('w', K.C_BOX, 20, 76), best_in('w', K.D_BOX, 112, 171))} AS lgm FROM (
+        SELECT gene_id, n, m, p, {window_logit('w', W)} AS lgm FROM (
           SELECT gene_id, n, p, m, {_MASKED} AS w
           FROM (SELECT *, unnest(range(0, greatest(n - 5, 0))) AS m FROM full_score)))
     ), signal AS MATERIALIZED (
@@ -554,6 +577,24 @@ _FASTA_HEAD = (
     f" || ' D=' || {_box('D')} || ' box_score=' || box_score"
 )
 
+_BED = (
+    "SELECT chr, start, \"end\", gene_id, '.' AS empty_score, strand, "
+    + " || '; ' || ".join(_text(["probability_CD", "box_score", *_BOX_NAMES, *_STRUCTURE, "predicted_label", "predicted_sequence"]))
+    + " AS attributes FROM final"
+)
+_BIOTYPES = """labelled AS MATERIALIZED (
+      SELECT *, CASE WHEN predicted_label = 'expressed_CD_snoRNA' THEN 'CD_snoRNA' ELSE predicted_label END AS biotype FROM final)"""
+_GTF = " UNION ALL ".join([
+    _gtf("gene", [*_GENE_ATTR, *_text(["probability_CD", "box_score", *_BOX_NAMES, *_STRUCTURE], " ", '"')]),
+    _gtf("transcript", [*_GENE_ATTR, *_TRANSCRIPT_ATTR]),
+    _gtf("exon", [*_GENE_ATTR, *_TRANSCRIPT_ATTR, *_EXON_ATTR]),
+])
+_RECORDS = (
+    f"SELECT chr, start, strand, \"end\", gene_id, {_FASTA_HEAD} || ' terminal_stem_score=' || terminal_stem_score "
+    "|| ' normalized_sno_stability=' || normalized_sno_stability || ' predicted_label=' || predicted_label "
+    "|| chr(10) || predicted_sequence AS record FROM final"
+)
+
 _EVENTS = """ev AS MATERIALIZED (
       SELECT user_id AS id, event_id AS seq_no, value,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
@@ -776,20 +817,9 @@ ORACLE: dict[str, str] = {
         f'SELECT gene_id, contig AS chr, start, "end", strand, probability_CD, box_score, {BOXES}, predicted_sequence '
         "FROM genes WHERE NOT contains(predicted_sequence, 'N')", GENE_INTS),
     "final_peaks": query([*peak_candidates(0.99), *GENES_CTES, REFINED, FEATURES, RULES, FINAL], "SELECT * FROM final", GENE_INTS),
-    "bed_rows": query(LABELLED,
-        "SELECT chr, start, \"end\", gene_id, '.' AS empty_score, strand, "
-        + " || '; ' || ".join(_text(["probability_CD", "box_score", *_BOX_NAMES, *_STRUCTURE, "predicted_label", "predicted_sequence"]))
-        + " AS attributes FROM final"),
-    "gtf_rows": query([*LABELLED, """labelled AS MATERIALIZED (
-      SELECT *, CASE WHEN predicted_label = 'expressed_CD_snoRNA' THEN 'CD_snoRNA' ELSE predicted_label END AS biotype FROM final)"""],
-        " UNION ALL ".join([
-            _gtf("gene", [*_GENE_ATTR, *_text(["probability_CD", "box_score", *_BOX_NAMES, *_STRUCTURE], " ", '"')]),
-            _gtf("transcript", [*_GENE_ATTR, *_TRANSCRIPT_ATTR]),
-            _gtf("exon", [*_GENE_ATTR, *_TRANSCRIPT_ATTR, *_EXON_ATTR]),
-        ])),
-    "fasta_records": query(LABELLED,
-        f"SELECT gene_id, {_FASTA_HEAD} || ' terminal_stem_score=' || terminal_stem_score || ' normalized_sno_stability=' "
-        "|| normalized_sno_stability || ' predicted_label=' || predicted_label || chr(10) || predicted_sequence AS record FROM final"),
+    "bed_rows": query(LABELLED, _BED),
+    "gtf_rows": query([*LABELLED, _BIOTYPES], _GTF),
+    "fasta_records": query(LABELLED, f"SELECT gene_id, record FROM ({_RECORDS})"),
     "tsv_roundtrip": query([*CANDIDATES, *GENES_CTES],
         f'SELECT gene_id, contig AS chr, start, "end", strand, probability_CD, box_score, {BOXES}, predicted_sequence '
         "FROM genes WHERE NOT contains(predicted_sequence, 'N')", GENE_INTS),
@@ -800,6 +830,37 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'anti', contig, len, NULL FROM contigs WHERE contig NOT IN (SELECT contig FROM known)"),
 }
 
+_MASKED_CONTIGS = [CONTIGS.replace("contigs AS", "whole AS", 1), """contigs AS MATERIALIZED (
+      SELECT contig, regexp_replace(seq, '[ACGT]', 'N', 'g') AS seq, len FROM whole)"""]
+_ORDERED = 'ORDER BY chr, start, strand, "end", gene_id'
+
+
+def _cells(*names: str) -> str:
+    return " || chr(9) || ".join(names)
+
+
+ORACLE |= {
+    "narrow_windows": query(positive(0.9, width=NARROW), 'SELECT contig, strand, start, "end", prob FROM hits'),
+    "narrow_centres": query(confirmed(0.9, NARROW), "SELECT * FROM kept"),
+    "empty_result": query([*_MASKED_CONTIGS, *LABELLED[1:]], "SELECT * FROM final", GENE_INTS),
+    "energies_table": query([*CANDIDATES, *GENES_CTES, FEATURES],
+        "SELECT predicted_sequence AS sequence, lf || '&' || rf AS stem, any_value(ge) AS gene_energy, "
+        "any_value(se) AS stem_energy, any_value(mark) AS pairing, "
+        "CASE WHEN bool_or(strand = '+') THEN 1 ELSE 2 END AS round "
+        "FROM featured WHERE predicted_sequence IS NOT NULL GROUP BY ALL"),
+    "bed_file": query([*LABELLED, f"bed AS MATERIALIZED ({_BED})"],
+        f"SELECT row_number() OVER ({_ORDERED}) AS line_no, "
+        + _cells("chr", "start", '"end"', "gene_id", "empty_score", "strand", "attributes") + " AS value FROM bed"),
+    "gtf_file": query([*LABELLED, _BIOTYPES, f"gtf AS MATERIALIZED ({_GTF})"],
+        "SELECT row_number() OVER (ORDER BY chr, start, gene_id, "
+        "CASE feature WHEN 'gene' THEN 0 WHEN 'transcript' THEN 1 ELSE 2 END) AS line_no, "
+        + _cells("chr", "source", "feature", "start", '"end"', "score", "strand", "frame", "attributes") + " AS value FROM gtf"),
+    "fasta_file": query([*LABELLED, f"""records AS MATERIALIZED (
+      SELECT record, row_number() OVER ({_ORDERED}) AS nth FROM ({_RECORDS}))"""],
+        "SELECT 2 * nth - 1 AS line_no, split_part(record, chr(10), 1) AS value FROM records "
+        "UNION ALL SELECT 2 * nth, split_part(record, chr(10), 2) FROM records"),
+}
+
 # other plans for the same rows
 ORACLE["short_contigs_small_tile"] = ORACLE["short_contigs"]
 ORACLE["scan_user_scorer"] = ORACLE["positive_windows"]

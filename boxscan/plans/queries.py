@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from boxscan import constants as K
 from boxscan.functions import sequences as S
 from boxscan.functions.signals import framed, peaks, savgol
-from boxscan.operators import attribution, centres, checks, features, islands, limits, merge
+from boxscan.operators import attribution, centres, checks, energies, features, islands, limits, merge
 from boxscan.operators import motifs, rules, scoring, signals, tiles, windows
 from boxscan.operators import peaks as bed
 from boxscan.operators.extract import long_sequences_at, sequences_at, slop
 from boxscan.plans import genome
 from boxscan.session import new_folder, stage, task_count
-from boxscan.sinks import formats
+from boxscan.sinks import formats, ordered
 from boxscan.sources import tables
 from boxscan.sources.bed import read_bed
 from boxscan.sources.fasta import contig_sizes, read_fasta
@@ -24,6 +24,7 @@ SCAN = 0.9     # threshold of the interval queries
 GENES = 0.99   # threshold of the per-candidate queries
 SMALL_TILE = 500
 RANGE = 1 << 16    # bytes; many entries lie across two ranges
+NARROW = 150       # window width of the queries with other windows
 KMER_TILE = 1 << 8   # short strings: reading a k-mer costs its offset
 
 
@@ -238,6 +239,22 @@ def q_positive_windows(spark, folder):
     return hits(spark, folder, SCAN)
 
 
+def q_narrow_windows(spark, folder):
+    """Windows of another width."""
+    narrow = params(width=NARROW)
+    cut = tiles.tile_sequences(tables.document_contigs(spark, folder), SMALL_TILE, narrow.halo)
+    return scoring.scan(cut, narrow.first_model, threshold=SCAN)
+
+
+def q_narrow_centres(spark, folder):
+    narrow = params(width=NARROW)
+    cut = stage(tiles.tile_sequences(tables.document_contigs(spark, folder), halo=narrow.halo), "lake")
+    found = genome.positive_windows(cut, narrow, SCAN)
+    middle = centres.centre_windows(genome.merged_blocks(found, narrow), NARROW)
+    return centres.confirm_centres(
+        middle, found, cut, SCAN, scorer=narrow.first_model, halo=narrow.halo)
+
+
 def q_islands(spark, folder):
     return islands.islands(staged_hits(spark, folder, GENES, step=1))
 
@@ -395,8 +412,7 @@ def q_kmer_to_nt(spark, folder):
 
 
 def numbered_events(spark, folder):
-    return signals.number_within(
-        tables.event_signals(spark, folder), "id", F.to_date("ts"), ["ts", "seq_no"])
+    return signals.number_ranged(tables.event_signals(spark, folder), "id", ["ts", "seq_no"])
 
 
 def q_savgol_events(spark, folder):
@@ -491,6 +507,15 @@ def q_structure_features(spark, folder):
         "gene_id", "normalized_sno_stability", "terminal_combined", "terminal_stem_score")
 
 
+def q_energies_table(spark, folder):
+    """The table of energies after the genes of one strand, then all genes."""
+    made = stage(genes(spark, folder), "genes")
+    path = new_folder(spark, "energies")
+    energies.extend(made.filter("strand = '+'"), path)
+    energies.extend(made, path)
+    return energies.load(spark, path)
+
+
 def q_stem_flanks(spark, folder):
     """Flanks before C and after D, taken from the window, of every gene."""
     left, right = features.box_flanks(F.col("window_seq"), F.col("c_limit"), F.col("d_limit"))
@@ -545,6 +570,34 @@ def q_tsv_roundtrip(spark, folder):
     return spark.read.schema(final.schema).option("sep", "\t").option("header", True).csv(path)
 
 
+def _exported(spark, folder, output_type):
+    """Every line of a written export, by its number in the whole."""
+    path = new_folder(spark, output_type)
+    ordered.export(q_final_genes(spark, folder), path, output_type)
+    return ordered.read_ordered(spark, path)
+
+
+def q_bed_file(spark, folder):
+    return _exported(spark, folder, "bed")
+
+
+def q_gtf_file(spark, folder):
+    return _exported(spark, folder, "gtf")
+
+
+def q_fasta_file(spark, folder):
+    return _exported(spark, folder, "fa")
+
+
+def q_empty_result(spark, folder):
+    """Contigs with every base masked: no gene, and a written table that has its columns."""
+    masked = tables.document_contigs(spark, folder).withColumn("seq", F.regexp_replace("seq", "[ACGT]", "N"))
+    final = genome.run_scan(stage(tiles.tile_sequences(masked), "lake"), params())
+    path = new_folder(spark, "empty")
+    formats.write(final, path, "tsv")
+    return spark.read.schema(final.schema).option("sep", "\t").option("header", True).csv(path)
+
+
 # --- relational ----------------------------------------------------------
 
 def q_label_joins(spark, folder):

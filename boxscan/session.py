@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,14 +83,99 @@ def own_folders(spark: SparkSession):
         remove_folders(spark, since)
 
 
+class Steps:
+    """The staged tables of one run, kept so that a later run need not make them again.
+
+    ``key`` names all that decides the tables: inputs, parameters, models.  It is
+    digested into the name of the run's folder and written there as ``_key.json``.
+    Step ``i`` is the folder ``i-name`` and, once the table is whole, the mark
+    ``i-name.done`` beside it, which holds the schema.  A table without a readable
+    mark, or with another schema, is made again from its start.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: dict):
+        text = json.dumps(key, sort_keys=True)
+        self.spark = spark
+        self.root = f"{folder.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+        self.count = 0
+        self.made: list[str] = []
+        self.reused: list[str] = []
+        self._put(f"{self.root}/_key.json", text)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _put(self, path: str, text: str) -> None:
+        """The file appears whole: it is written under another name first."""
+        system, at = self._at(path)
+        draft = self._at(path + ".draft")[1]
+        out = system.create(draft, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        system.delete(at, False)
+        if not system.rename(draft, at):
+            raise OSError(f"{path} could not be written")
+
+    def _marked(self, path: str) -> str | None:
+        system, at = self._at(path)
+        if not system.exists(at):
+            return None
+        return self.spark.read.text(path, wholetext=True).first().value
+
+    def table(self, df: DataFrame, name: str, options: dict[str, str]) -> DataFrame:
+        """The table of the next step: the finished one of an earlier run, or made now."""
+        path = f"{self.root}/{self.count:02d}-{name}"
+        self.count += 1
+        schema = df.schema.json()
+        if self._marked(path + ".done") == schema:
+            self.reused.append(name)
+        else:
+            df.write.options(**options).mode("overwrite").parquet(path)
+            self._put(path + ".done", schema)
+            self.made.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+_steps: ContextVar[Steps | None] = ContextVar("steps", default=None)
+
+
+@contextmanager
+def resumable(spark: SparkSession, folder: str, key: dict):
+    """Inside the block, ``stage`` keeps its tables in ``folder`` and takes up finished ones.
+
+    The steps of a run must come in the same order each time.  Two runs with one
+    key must not write at the same time.
+    """
+    steps = Steps(spark, folder, key)
+    token = _steps.set(steps)
+    try:
+        yield steps
+    finally:
+        _steps.reset(token)
+
+
+def files_key(spark: SparkSession, path: str, glob: str | None = None) -> list[str]:
+    """Number of files and the sum of the hashes of their names, sizes and times; no file is opened."""
+    files = spark.read.format("binaryFile").options(**({"pathGlobFilter": glob} if glob else {})).load(path)
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    found = files.agg(F.count("*").cast("string").alias("n"), F.sum(one).cast("string").alias("digest")).first()
+    return [found.n, found.digest or ""]
+
+
 def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     Cuts the lineage before a table is read several times (scored windows
     above all), survives lost executors, and gives the later reads column
-    pruning and filter pushdown.
+    pruning and filter pushdown.  Inside ``resumable`` a finished table is reused.
     """
     spark = df.sparkSession
+    steps = _steps.get()
+    if steps is not None:
+        return steps.table(df, name, options or {})
     path = new_folder(spark, name)
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

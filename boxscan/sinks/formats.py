@@ -111,12 +111,12 @@ def fasta_records(final: DataFrame) -> DataFrame:
             "normalized_sno_stability={normalized_sno_stability} predicted_label={predicted_label}"
         )
     return final.select(
-        "chr", "start", "strand", "gene_id", _fill(header + "\n{predicted_sequence}").alias("record")
+        "chr", "start", "strand", "end", "gene_id", _fill(header + "\n{predicted_sequence}").alias("record")
     )
 
 
 def write(final: DataFrame, path: str, output_type: str = "tsv", source: str = SOURCE) -> None:
-    """Writes the final table to the folder ``path``, sorted by (chr, start, strand).
+    """Writes the final table to the folder ``path``, sorted by (chr, start, strand, end, gene_id).
 
     The table is written as parquet first: sorting samples its input, which
     would run the whole plan twice.
@@ -124,7 +124,7 @@ def write(final: DataFrame, path: str, output_type: str = "tsv", source: str = S
     final = stage(final, "final")
     if final.limit(1).count() == 0:
         warnings.warn("no gene was predicted in the input")
-    place = ["chr", "start", "strand"]
+    place = ["chr", "start", "strand", "end", "gene_id"]
     if output_type == "tsv":
         final.orderBy(*place).write.option("sep", "\t").option("header", True).csv(path)
     elif output_type == "bed":
