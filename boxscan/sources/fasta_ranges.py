@@ -2,7 +2,9 @@
 
 The line reader of ``sources.fasta`` takes a line as a row, so an entry without
 line breaks is one row of one task.  Here a file is cut at multiples of
-``rangeBytes``, wherever that falls, and each range is a partition.
+``rangeBytes``, wherever that falls.  A range is read by itself, so it bounds the
+memory of a task; where there are many, a partition reads neighbouring ranges one
+after another, so that their number does not set the number of tasks.
 
 First-byte rule: a header belongs to the range that holds its ``>``; that range
 reads on to the end of the header's line.  What a range holds before its first
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs
@@ -35,6 +38,9 @@ from boxscan.sources.fasta import PIECE, carried_entries, joined_pieces
 
 NAME = "fasta_ranges"
 RANGE_BYTES = 32 << 20
+#: Each range is a partition up to this number of them; more ranges share partitions of about ``PART_BYTES``.
+PARTS = 256
+PART_BYTES = 32 << 20
 #: A header line longer than this is refused.
 HEADER_BYTES = 1 << 20
 GLOBS = "*.fa,*.fasta"
@@ -51,11 +57,42 @@ def _open_store(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.LocalFileSystem(), path
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, file: str, begin: int, end: int) -> None:
         self.file, self.begin, self.end = file, begin, end
 
 
+class Run(InputPartition):
+    """Bytes of one partition: ``(file, begin, end)``, each to be cut at multiples of the range size."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.spans = spans
+
+    def ranges(self, size: int) -> Iterator[Range]:
+        for file, begin, end in self.spans:
+            for at in range(begin, end, size):
+                yield Range(file, at, min(at + size, end))
+
+
+def _runs(files: list[tuple[str, int]], size: int) -> list[Run]:
+    """Neighbouring ranges of ``files(path, size)`` dealt to partitions; each a run of at least one range."""
+    count = sum(-(-length // size) for _, length in files)
+    total = sum(length for _, length in files)
+    parts = min(count, max(PARTS, -(-total // PART_BYTES)))
+    runs: list[list[tuple[str, int, int]]] = [[] for _ in range(parts)]
+    before = 0  # ranges of the files before
+    for path, length in files:
+        own = -(-length // size)
+        at = 0
+        while at < own:
+            part = (before + at) * parts // count
+            stop = min(own, -(-(part + 1) * count // parts) - before)  # the first range of the next partition
+            runs[part].append((path, at * size, min(stop * size, length)))
+            at = stop
+        before += own
+    return [Run(spans) for spans in runs]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
@@ -65,23 +102,22 @@ class _Reader(DataSourceReader):
         if self.size <= 0:
             raise ValueError("rangeBytes must be > 0")
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Run]:
         store, root = _open_store(self.path)
         info = store.get_file_info(root)
         found = [info] if info.is_file else store.get_file_info(pa.fs.FileSelector(root, recursive=True))
         hidden = (f for f in found if f.is_file and f.size and not f.base_name.startswith(("_", ".")))
         files = [f for f in hidden if not self.globs or any(fnmatch(f.base_name, g) for g in self.globs)]
-        return [
-            Range(f.path, at, min(at + self.size, f.size))
-            for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.size)
-        ]
+        return _runs(sorted((f.path, f.size) for f in files), self.size)
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Run | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no files, no ranges
             return
         store, _ = _open_store(self.path)
-        with store.open_input_file(part.file) as source:
-            yield from _KINDS[self.kind][1](part, *_range_of(source, part))
+        for file, ranges in groupby(part.ranges(self.size), key=lambda r: r.file):
+            with store.open_input_file(file) as source:
+                for one in ranges:
+                    yield from _KINDS[self.kind][1](one, *_range_of(source, one))
 
 
 def _range_of(source, part: Range) -> tuple[bytes, bool, bytes]:

@@ -76,3 +76,23 @@ def test_bases_without_a_header_and_long_headers_are_refused(spark, tmp_path, mo
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "x.fa").write_bytes(b"")
     assert read(spark, tmp_path, 10) == {}
+
+
+@pytest.mark.parametrize("size", [1, 2, 7])
+def test_many_ranges_share_partitions(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(R, "PARTS", 5)
+    files = [("a", 23), ("b", 1), ("c", 9)]
+    runs = R._runs(files, size)
+    assert len(runs) == 5 and all(run.spans for run in runs)
+    got = [(r.file, r.begin, r.end) for run in runs for r in run.ranges(size)]
+    assert got == [(f, at, min(at + size, n)) for f, n in files for at in range(0, n, size)]
+    monkeypatch.setattr(R, "PART_BYTES", 4)
+    assert len(R._runs(files, size)) == min(9, sum(-(-n // size) for _, n in files))
+
+
+def test_the_number_of_tasks_does_not_grow_with_the_ranges(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(TEXT * 40)
+    df = R.read_fasta_ranges(spark, str(tmp_path), 3)
+    assert df.rdd.getNumPartitions() == R.PARTS
+    ids = {(r.file, r.block): r.lead_len for r in R._load(spark, str(tmp_path), 3, "", "reports").collect()}
+    assert len(ids) == -(-len(TEXT * 40) // 3)
