@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,24 +242,50 @@ def _tile_starts(pdf: pd.DataFrame, width: int, step: int, strand: str):
     return np.concatenate([tile, extra]), np.concatenate([start, flush[extra]])
 
 
+#: Bases scored at once, if a tile is not longer.
+SLICE_BASES = 1 << 20
+#: Probabilities this close to a threshold are left to Spark's own comparison.
+MARGIN = 1e-6
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pd.DataFrame]]:
+    """(contigs, the rest) of runs of tiles of about ``SLICE_BASES``: the scores of all windows of a whole
+    Arrow batch take many times its bytes."""
+    for batch in batches:
+        size = pc.fill_null(pc.utf8_length(batch.column("seq")), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // SLICE_BASES
+        cuts = (np.flatnonzero(np.diff(part)) + 1).tolist()
+        for first, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            some = batch.slice(first, stop - first)
+            yield some.column("contig"), some.drop_columns(["contig"]).to_pandas()
+
+
 _HITS = "contig string, strand string, start long, `end` long, l0 double, l1 double"
 
 
-def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool):
+def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool, threshold: float | None):
     width = scorer.width
+    # Spark decides on the threshold itself; what is clearly below it does not leave the task
+    least = -np.inf
+    if threshold is not None and threshold > MARGIN:
+        p = min(threshold, 1.0) - MARGIN
+        least = np.log(p) - np.log1p(-p)
 
     def rows(contigs, tile, strand, start, end, logits):
         keep = np.ones(len(start), bool) if keep_all else logits[:, 1] > logits[:, 0]
-        return pd.DataFrame({
-            "contig": contigs[tile[keep]], "strand": strand,
-            "start": start[keep], "end": end[keep],
-            "l0": logits[keep, 0], "l1": logits[keep, 1],
-        })
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            short = pdf[(pdf["length"] <= width) & (pdf["tile_start"] == 0)]
-            tiles = pdf[pdf["length"] > width].reset_index(drop=True)
+        keep &= ~(logits[:, 1] - logits[:, 0] < least)
+        keep = np.flatnonzero(keep)
+        return pa.RecordBatch.from_arrays([
+            contigs.take(pa.array(tile[keep])), pa.array([strand]).take(pa.array(np.zeros(len(keep), np.int64))),
+            pa.array(start[keep].astype(np.int64)), pa.array(end[keep].astype(np.int64)),
+            pa.array(logits[keep, 0].astype(float)), pa.array(logits[keep, 1].astype(float)),
+        ], names=["contig", "strand", "start", "end", "l0", "l1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for contigs, pdf in _slices(batches):
+            is_short = ((pdf["length"] <= width) & (pdf["tile_start"] == 0)).to_numpy()
+            is_long = (pdf["length"] > width).to_numpy()
+            short, tiles = pdf[is_short], pdf[is_long].reset_index(drop=True)
             if len(tiles):
                 codes = np.frombuffer("".join(tiles["seq"]).encode("ascii"), dtype=np.uint8)
                 size = tiles["seq"].str.len().to_numpy()
@@ -265,10 +293,11 @@ def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool)
                 if (size < wanted.to_numpy()).any():
                     raise ValueError(f"tiles need a halo of {width - 1} nt for windows of {width} nt")
                 at = np.cumsum(size) - size - tiles["tile_start"].to_numpy()
+                named = contigs.filter(pa.array(is_long))
                 for strand in strands:
                     tile, start = _tile_starts(tiles, width, step, strand)
                     logits = scorer.scan(codes, start + at[tile], strand)
-                    yield rows(tiles["contig"].to_numpy(), tile, strand, start, start + width, logits)
+                    yield rows(named, tile, strand, start, start + width, logits)
             for strand in strands if len(short) else []:
                 codes = encode(short["seq"], width)
                 if strand == "-":
@@ -278,7 +307,7 @@ def _scan_batches(scorer: Scorer, step: int, strands: list[str], keep_all: bool)
                          for s in short["seq"]], width)
                 end = short["length"].to_numpy()
                 yield rows(
-                    short["contig"].to_numpy(), np.arange(len(short)), strand, np.zeros_like(end), end,
+                    contigs.filter(pa.array(is_short)), np.arange(len(short)), strand, np.zeros_like(end), end,
                     scorer.logits(codes))
 
     return run
@@ -299,8 +328,8 @@ def scan(
     the unrounded probability.
     """
     scorer = scorer or MotifScorer()
-    hits = tiles.select("contig", "length", "tile_start", "tile_end", "seq").mapInPandas(
-        _scan_batches(scorer, step, STRANDS[strand], keep_all), _HITS
+    hits = tiles.select("contig", "length", "tile_start", "tile_end", "seq").mapInArrow(
+        _scan_batches(scorer, step, STRANDS[strand], keep_all, threshold), _HITS
     )
     l0, l1 = F.col("l0"), F.col("l1")
     if threshold is not None:
