@@ -1,7 +1,8 @@
 """Fuzzy box search and pairing, inside a candidate row.
 
 A window is 194 nt, so every search below is over short arrays of the row
-itself: no explode, no join and no shuffle.  Box positions are 1-based and
+itself: no explode, no join and no shuffle.  The distances at every position come
+from whole Arrow batches.  Box positions are 1-based and
 inclusive within the window.
 """
 
@@ -9,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import bind, hamming, hamming_at
+from boxscan.functions.sequences import box_distances, hamming
 from boxscan.functions.signals import framed, peaks, savgol
 
 LEN_C, LEN_D = len(K.C_BOX), len(K.D_BOX)
@@ -43,19 +45,12 @@ def with_distances(df: DataFrame) -> DataFrame:
 
 
 def _distances(seq: Column, box: str, sign: int) -> Column:
-    def every(s):
-        n = F.length(s) - (len(box) - 1)
-        return F.when(
-            n >= 1,
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.struct(
-                    hamming_at(s, i, box).cast("int").alias("dist"), (i * sign).cast("int").alias("start")
-                ),
-            ),
-        ).otherwise(F.array().cast(f"array<{BOX}>"))
-
-    return bind(seq, every)
+    @F.arrow_udf(f"array<{BOX}>")
+    def run(seqs: pa.Array) -> pa.Array:
+        return box_distances(seqs, box, sign)
+
+    # "nondeterministic" keeps the optimizer from running it again for every use
+    return run.asNondeterministic()(seq)
 
 
 def _best(distances: Column, lo: Column, hi: Column, size: int, most: int, sign: int) -> Column:
