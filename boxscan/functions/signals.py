@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import bind
+from boxscan.functions.sequences import bind, flat_list, list_array, numbered
 
 HALF = K.SAVGOL_WIDTH // 2
 DIGITS = 9   # rounding after the last operation makes equal heights equal
@@ -36,28 +38,56 @@ def framed(values: Column) -> Column:
     return F.concat(edge, values, edge)
 
 
-def savgol(values: Column) -> Column:
-    """Smoothed array; the five points at either end come from the outermost fits."""
-
-    def smooth(v):
-        n = F.size(v)
+def smoothed_batch(values: pa.Array) -> pa.Array:
+    """Weighted sums of ``savgol`` for a batch, not yet rounded; null where a row is null or has fewer points."""
+    data, hole, size = flat_list(values)
+    n = np.where(size >= K.SAVGOL_WIDTH, size, 0)
+    whole = np.flatnonzero(n)
+    begin = (np.cumsum(size) - size)[whole]
+    n = n[whole]
+    source = np.repeat(begin, n) + numbered(n)  # rows that are long enough, one after another
+    data, hole = data[source], hole[source]
+    first = np.cumsum(n) - n
+
+    def smooth(cells: np.ndarray, weights, middle: np.ndarray) -> np.ndarray:
+        """Sums in the order of the points, the ends by the weights of their own points."""
+        out = np.zeros(len(cells))
+        out[HALF:len(cells) - HALF] = middle
+        span = np.arange(K.SAVGOL_WIDTH)
+        for at in range(1, HALF + 1):
+            for windows, place, point in (
+                (first, first + HALF - at, -at), (first + n - K.SAVGOL_WIDTH, first + n - 1 - HALF + at, at),
+            ):
+                out[place] = _sums(cells[windows[:, None] + span].T, weights(point))
+        return out
+
+    def slid(cells: np.ndarray) -> list[np.ndarray]:
+        return [cells[j:len(cells) - K.SAVGOL_WIDTH + 1 + j] for j in range(K.SAVGOL_WIDTH)]
+
+    if not len(whole):
+        return pa.nulls(len(values), pa.list_(pa.float64()))
+    found = smooth(data, savgol_weights, _sums(slid(data), savgol_weights()))
+    null = np.zeros(len(found), bool)
+    if hole.any():
+        ones, gaps = [1.0] * K.SAVGOL_WIDTH, hole.astype(float)
+        null = smooth(gaps, lambda at: ones, _sums(slid(gaps), ones)) > 0
+    return list_array(
+        np.where(size >= K.SAVGOL_WIDTH, size, 0), pa.array(found, mask=null), size < K.SAVGOL_WIDTH)
+
+
+def _sums(terms, weights: list[float]) -> np.ndarray:
+    return reduce(lambda a, b: a + b, [t * w for t, w in zip(terms, weights)])
 
-        def window(first: Column) -> list[Column]:
-            return [F.get(v, first + j) for j in range(K.SAVGOL_WIDTH)]
 
-        def edge(first: Column, points: range) -> Column:
-            return F.array(*[weighted(window(first), savgol_weights(at)) for at in points])
+def savgol(values: Column) -> Column:
+    """Smoothed array; the five points at either end come from the outermost fits."""
 
-        middle = F.transform(
-            F.sequence(F.lit(0), n - K.SAVGOL_WIDTH), lambda i: weighted(window(i), savgol_weights())
-        )
-        whole = F.concat(
-            edge(F.lit(0), range(-HALF, 0)), middle,
-            edge(n - K.SAVGOL_WIDTH, range(1, HALF + 1)),
-        )
-        return F.when(n >= K.SAVGOL_WIDTH, whole)
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        return smoothed_batch(batch)
 
-    return bind(values, smooth)
+    # "nondeterministic" keeps the optimizer from running it again for every use
+    return F.transform(run.asNondeterministic()(values.cast("array<double>")), lambda v: F.round(v, DIGITS))
 
 
 def peaks(smoothed: Column) -> Column:

@@ -7,37 +7,58 @@ is a stand-in, not a folding solver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import bind
+from boxscan.functions.sequences import numbered
 
 # Pair energies; T stands for U.
 PAIR_ENERGY = {"GC": -3, "CG": -3, "AT": -2, "TA": -2, "GT": -1, "TG": -1}
 
 
-def pair_energy(a: Column, b: Column) -> Column:
-    both = F.concat(a, b)
-    expr = F.lit(0)
-    for energy in sorted(set(PAIR_ENERGY.values()), reverse=True):
-        expr = F.when(both.isin(*[p for p, e in PAIR_ENERGY.items() if e == energy]), energy).otherwise(expr)
-    return expr
+_ENERGIES = np.zeros((256, 256), np.int64)
+for _pair, _energy in PAIR_ENERGY.items():
+    _ENERGIES[ord(_pair[0]), ord(_pair[1])] = _energy
+
+
+def paired(left: pa.Array, right: pa.Array, inward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs per row, energy of each pair) of a batch: ``left`` from its start with ``right`` from its end, or the other way round.
+
+    There are as many pairs as the shorter text has letters, or the one that is
+    known; those of a missing text have no energy.
+    """
+    known = left.is_valid().to_numpy(zero_copy_only=False), right.is_valid().to_numpy(zero_copy_only=False)
+    codes, size, begin = [], [], []
+    for column in (left, right):
+        texts = pc.fill_null(column, "")
+        codes.append(np.frombuffer("".join(texts.to_pylist()).encode("ascii", "replace"), dtype=np.uint8))
+        size.append(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin.append(np.cumsum(size[-1]) - size[-1])
+    both = known[0] & known[1]
+    n = np.where(both, np.minimum(*size), np.maximum(*size))
+    rank, met = numbered(n), np.repeat(both, n)
+    forward, backward = (0, 1) if inward else (1, 0)
+    at = [None, None]
+    at[forward] = np.repeat(begin[forward], n) + rank
+    at[backward] = np.repeat(begin[backward] + size[backward] - 1, n) - rank
+    energy = np.zeros(len(rank), np.int64)
+    energy[met] = _ENERGIES[codes[0][at[0][met]], codes[1][at[1][met]]]
+    return n, energy
 
 
 def duplex_energy(left: Column, right: Column) -> Column:
     """Summed pair energy of ``left[i]`` with ``right[n-1-i]``."""
 
-    def total(x):
-        a, b = x["a"], x["b"]
-        n = F.least(F.length(a), F.length(b))
-        terms = F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: pair_energy(F.substr(a, i, F.lit(1)), F.substr(b, F.length(b) - i + 1, F.lit(1))),
-        )
-        return F.when(n >= 1, F.aggregate(terms, F.lit(0), lambda s, t: s + t)).otherwise(0).cast("double")
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        n, energy = paired(a, b, inward=True)
+        return pa.array(np.bincount(np.repeat(np.arange(len(n)), n), energy, len(n)))
 
-    return bind(F.struct(left.alias("a"), right.alias("b")), total)
+    return run(left, right)
 
 
 def hairpin_energy(seq: Column) -> Column:
@@ -49,18 +70,14 @@ def hairpin_energy(seq: Column) -> Column:
 def pairing_string(left: Column, right: Column) -> Column:
     """Dots and brackets of the left flank, read away from the C box."""
 
-    def marks(x):
-        a, b = x["a"], x["b"]
-        n = F.least(F.length(a), F.length(b))
-        each = F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda j: F.when(
-                pair_energy(F.substr(a, F.length(a) - j + 1, F.lit(1)), F.substr(b, j, F.lit(1))) < 0, "("
-            ).otherwise("."),
-        )
-        return F.when(n >= 1, F.array_join(each, "")).otherwise("")
+    @F.arrow_udf("string")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        n, energy = paired(a, b, inward=False)
+        marks = np.where(energy < 0, ord("("), ord(".")).astype(np.uint8)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(marks))
 
-    return bind(F.struct(left.alias("a"), right.alias("b")), marks)
+    return run(left, right)
 
 
 def stem_length_score(pairing: Column, width: int = K.FLANK) -> Column:
@@ -101,9 +118,9 @@ def with_features(genes: DataFrame, energies: DataFrame | None = None) -> DataFr
     flanked = flanks(genes)
     left, right, seq = F.col("left_flank"), F.col("right_flank"), F.col("predicted_sequence")
     if energies is None:
-        known = flanked.withColumn("_ge", hairpin_energy(seq)).withColumn(
-            "_se", duplex_energy(left, right)
-        ).withColumn("_pairing", pairing_string(left, right))
+        known = flanked.withColumns({
+            "_ge": hairpin_energy(seq), "_se": duplex_energy(left, right), "_pairing": pairing_string(left, right),
+        })
     else:
         table = energies.select(
             F.col("sequence").alias("predicted_sequence"), F.col("stem").alias("_stem"),
@@ -113,9 +130,11 @@ def with_features(genes: DataFrame, energies: DataFrame | None = None) -> DataFr
         known = (
             flanked.withColumn("_stem", F.concat_ws("&", "left_flank", "right_flank"))
             .join(table, ["predicted_sequence", "_stem"], "left")
-            .withColumn("_ge", F.coalesce("_g", hairpin_energy(seq)))
-            .withColumn("_se", F.coalesce("_s", duplex_energy(left, right)))
-            .withColumn("_pairing", F.coalesce("_p", pairing_string(left, right)))
+            .withColumns({
+                "_ge": F.coalesce("_g", hairpin_energy(seq)),
+                "_se": F.coalesce("_s", duplex_energy(left, right)),
+                "_pairing": F.coalesce("_p", pairing_string(left, right)),
+            })
             .drop("_g", "_s", "_p", "_stem")
         )
     combined = F.col("_se") * stem_length_score(F.col("_pairing"))

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from boxscan.session import spread_small
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAN"
+_SPELLED = bytes.maketrans((LETTERS + LETTERS.upper()).encode(), (BASES + BASES).encode())
+#: Every byte of UTF-8 text that is no letter a-z or A-Z.
+_OTHER = bytes(sorted(set(range(256)) - set((LETTERS + LETTERS.upper()).encode())))
+
+
+def _bases(text: str | None) -> bytes | None:
+    return None if text is None else text.encode().translate(_SPELLED, _OTHER)
+
+
+@F.arrow_udf(StringType())
+def spelled(texts: pa.Array) -> pa.Array:
+    """The letters of each text as bases; by regular expression and ``translate`` this takes 0.3 microseconds a byte."""
+    return pa.array([_bases(t) for t in texts.to_pylist()], pa.binary()).cast(pa.string())
+
+
+@F.arrow_udf(LongType())
+def letter_count(texts: pa.Array) -> pa.Array:
+    """The number of bases of each text."""
+    return pa.array([None if t is None else len(_bases(t)) for t in texts.to_pylist()], pa.int64())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,14 +42,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_contigs(spark: SparkSession, folder: str) -> DataFrame:
     """``contigs(contig, seq, length)``: the letters of each text spelled as bases."""
-    letters = F.regexp_replace("text", "[^A-Za-z]+", "")
-    return (
-        documents(spark, folder)
-        .select(
-            F.col("doc_id").cast("string").alias("contig"),
-            F.translate(letters, LETTERS + LETTERS.upper(), BASES + BASES).alias("seq"),
-        )
-        .withColumn("length", F.length("seq").cast("long"))
+    # "nondeterministic" keeps filters on the length from reading the text once more
+    return documents(spark, folder).select(
+        F.col("doc_id").cast("string").alias("contig"),
+        spelled.asNondeterministic()("text").alias("seq"),
+        letter_count.asNondeterministic()("text").alias("length"),
     )
 
 
@@ -41,7 +59,7 @@ def document_peaks(spark: SparkSession, folder: str) -> DataFrame:
     """
     doc = F.col("doc_id")
     k = F.col("k")
-    n = F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long")
+    n = letter_count.asNondeterministic()("text")
     start = k * 300 + F.pmod(doc * 37 + k * 11, F.lit(260))
     width = 50 + F.pmod(doc * 31 + k * 17, F.lit(351))
     twin = k - F.when(F.pmod(doc + k, F.lit(13)) == 12, F.least(k, F.lit(1))).otherwise(0)
