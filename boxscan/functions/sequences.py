@@ -72,6 +72,16 @@ def hamming(motif: Column, consensus: str) -> Column:
     return hamming_at(motif, F.lit(1), consensus)
 
 
+#: Rows of an Arrow batch that are worked on at once: index arrays take many times their bytes.
+ROWS = 1024
+
+
+def in_pieces(run: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``run`` over pieces of ``ROWS`` rows of a batch."""
+    starts = range(0, max(len(columns[0]), 1), ROWS)
+    return pa.concat_arrays([run(*[c.slice(i, ROWS) for c in columns]) for i in starts])
+
+
 def numbered(n: np.ndarray) -> np.ndarray:
     """0, 1, ... n[i] - 1 for every i, in one array."""
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -152,7 +162,7 @@ def kmer_to_nt(scores: Column, length: Column, k: int = K.KMER) -> Column:
 
     @F.arrow_udf("array<double>")
     def run(values: pa.Array, lengths: pa.Array) -> pa.Array:
-        return spread(values, lengths, k)
+        return in_pieces(lambda v, n: spread(v, n, k), values, lengths)
 
     # "nondeterministic" keeps the optimizer from running it again for every use
     return run.asNondeterministic()(scores.cast("array<double>"), length)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import bind, flat_list, list_array, numbered
+from boxscan.functions.sequences import bind, flat_list, in_pieces, list_array, numbered
 
 HALF = K.SAVGOL_WIDTH // 2
 DIGITS = 9   # rounding after the last operation makes equal heights equal
@@ -84,7 +84,7 @@ def savgol(values: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
-        return smoothed_batch(batch)
+        return in_pieces(smoothed_batch, batch)
 
     # "nondeterministic" keeps the optimizer from running it again for every use
     return F.transform(run.asNondeterministic()(values.cast("array<double>")), lambda v: F.round(v, DIGITS))

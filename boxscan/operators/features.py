@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import numbered
+from boxscan.functions.sequences import in_pieces, numbered
 
 # Pair energies; T stands for U.
 PAIR_ENERGY = {"GC": -3, "CG": -3, "AT": -2, "TA": -2, "GT": -1, "TG": -1}
@@ -55,6 +55,9 @@ def duplex_energy(left: Column, right: Column) -> Column:
 
     @F.arrow_udf("double")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_pieces(summed, a, b)
+
+    def summed(a: pa.Array, b: pa.Array) -> pa.Array:
         n, energy = paired(a, b, inward=True)
         return pa.array(np.bincount(np.repeat(np.arange(len(n)), n), energy, len(n)))
 
@@ -72,6 +75,9 @@ def pairing_string(left: Column, right: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_pieces(marked, a, b)
+
+    def marked(a: pa.Array, b: pa.Array) -> pa.Array:
         n, energy = paired(a, b, inward=False)
         marks = np.where(energy < 0, ord("("), ord(".")).astype(np.uint8)
         ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)

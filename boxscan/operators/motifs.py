@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxscan import constants as K
-from boxscan.functions.sequences import box_distances, hamming
+from boxscan.functions.sequences import box_distances, hamming, in_pieces
 from boxscan.functions.signals import framed, peaks, savgol
 
 LEN_C, LEN_D = len(K.C_BOX), len(K.D_BOX)
@@ -47,7 +47,7 @@ def with_distances(df: DataFrame) -> DataFrame:
 def _distances(seq: Column, box: str, sign: int) -> Column:
     @F.arrow_udf(f"array<{BOX}>")
     def run(seqs: pa.Array) -> pa.Array:
-        return box_distances(seqs, box, sign)
+        return in_pieces(lambda s: box_distances(s, box, sign), seqs)
 
     # "nondeterministic" keeps the optimizer from running it again for every use
     return run.asNondeterministic()(seq)

@@ -243,7 +243,7 @@ def _tile_starts(pdf: pd.DataFrame, width: int, step: int, strand: str):
 
 
 #: Bases scored at once, if a tile is not longer.
-SLICE_BASES = 1 << 20
+SLICE_BASES = 1 << 18
 #: Probabilities this close to a threshold are left to Spark's own comparison.
 MARGIN = 1e-6
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from boxscan.functions.sequences import in_pieces
 from boxscan.session import spread_small
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -23,13 +24,14 @@ def _bases(text: str | None) -> bytes | None:
 @F.arrow_udf(StringType())
 def spelled(texts: pa.Array) -> pa.Array:
     """The letters of each text as bases; by regular expression and ``translate`` this takes 0.3 microseconds a byte."""
-    return pa.array([_bases(t) for t in texts.to_pylist()], pa.binary()).cast(pa.string())
+    return in_pieces(lambda some: pa.array([_bases(t) for t in some.to_pylist()], pa.binary()).cast(pa.string()), texts)
 
 
 @F.arrow_udf(LongType())
 def letter_count(texts: pa.Array) -> pa.Array:
     """The number of bases of each text."""
-    return pa.array([None if t is None else len(_bases(t)) for t in texts.to_pylist()], pa.int64())
+    return in_pieces(
+        lambda some: pa.array([None if t is None else len(_bases(t)) for t in some.to_pylist()], pa.int64()), texts)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -145,3 +145,18 @@ def test_documents_are_spelled_as_by_regular_expression(spark, tmp_path):
         F.col("doc_id").cast("string"), F.translate(letters, both, tables.BASES * 2), F.length(letters).cast("long"))
     got = tables.document_contigs(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_pieces_of_a_batch_give_the_whole(monkeypatch):
+    seen = []
+
+    def run(a, b):
+        seen.append(len(a))
+        return S.spread(a, b, 6)
+
+    values = pa.array([[1.0] * (i % 9) for i in range(25)])
+    size = pa.array([i % 9 + 5 for i in range(25)])
+    whole = S.in_pieces(run, values, size).to_pylist()
+    monkeypatch.setattr(S, "ROWS", 4)
+    assert S.in_pieces(run, values, size).to_pylist() == whole and max(seen[1:]) == 4
+    assert S.in_pieces(run, values.slice(0, 0), size.slice(0, 0)).to_pylist() == []
