@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from boxscan.llm import bpe, rans
+from boxscan.llm.columns import let
 from boxscan.llm.queries import LLM_QUERIES
 from boxscan.session import new_folder
 from helpers import FOLDER, empty, odd, odd_rows, prose
@@ -69,6 +70,21 @@ def test_bpe_query(spark, plain):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_bpe_fold_of_odd_words(spark, plain):
+    """The fold itself, over the items of each word: up to as many bytes as are folded, runs of one letter, none."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinrst ß漢\n"), rng.integers(1, 17))) for _ in range(400)]
+    words = sorted({w for w in words if len(w.encode()) <= bpe.FOLD_BYTES}) + ["a" * n for n in range(1, bpe.FOLD_BYTES + 1)]
+    block = pa.RecordBatch.from_pydict({"words": pa.array(
+        [[[RANKS[bytes([b])] for b in w.encode()] for w in words], []], pa.list_(pa.list_(pa.int32())))})
+    items = [next(bpe._with_items(iter([block.slice(k, 1)]), RANKS)).column("words")[0].as_py() for k in range(2)]
+    folded = spark.createDataFrame([(x,) for x in items], "words array<array<bigint>>").select(let(
+        bpe.rank_literals(RANKS), lambda t: let(t.base, lambda base: let(t.cells, lambda cells: F.transform(
+            "words", lambda w: bpe.fold_merges(w, base, cells))))).alias("word_ids")).toArrow()
+    got = [x for b in bpe._without_items(iter(folded.to_batches())) for x in b.column("word_ids").to_pylist()]
+    assert sorted(got, key=len) == [[], [plain._encode_single_piece(w.encode()) for w in words]]
+
+
 def test_pair_table_holds_every_merge():
     base, cells = bpe.pair_table(RANKS)
     for piece, rank in list(RANKS.items())[256::97]:
