@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Context, Decimal
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from boxscan.functions.sequences import bind, flat_list, in_pieces, list_array,
 
 HALF = K.SAVGOL_WIDTH // 2
 DIGITS = 9   # rounding after the last operation makes equal heights equal
+_WIDE = Context(prec=60)
 
 
 def savgol_weights(at: int = 0) -> list[float]:
@@ -75,6 +79,30 @@ def smoothed_batch(values: pa.Array) -> pa.Array:
         np.where(size >= K.SAVGOL_WIDTH, size, 0), pa.array(found, mask=null), size < K.SAVGOL_WIDTH)
 
 
+def rounded(values: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """Spark's ``round``: half up on the decimal digits of each number, which only decide near a half."""
+    scale = 10.0 ** digits
+    with np.errstate(invalid="ignore", over="ignore"):
+        cells = values * scale
+        out = np.rint(cells) / scale + 0.0
+        plain = (np.abs(cells - np.floor(cells) - 0.5) > 1e-3) & (np.abs(cells) < 2.0 ** 40)
+    unit = Decimal(1).scaleb(-digits)
+    for i in np.flatnonzero(~plain):
+        value = float(values[i])
+        digital = math.isfinite(value) and abs(value) < 2.0 ** 53  # beyond, a number is whole
+        out[i] = float(Decimal(repr(value)).quantize(unit, ROUND_HALF_UP, _WIDE)) + 0.0 if digital else value
+    return out
+
+
+def _rounded_batch(values: pa.Array) -> pa.Array:
+    found = smoothed_batch(values)
+    cells = found.flatten()
+    null = cells.is_null().to_numpy(zero_copy_only=False)
+    data = rounded(pc.fill_null(cells, 0.0).to_numpy(zero_copy_only=False))
+    size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    return list_array(size, pa.array(data, mask=null), found.is_null().to_numpy(zero_copy_only=False))
+
+
 def _sums(terms, weights: list[float]) -> np.ndarray:
     return reduce(lambda a, b: a + b, [t * w for t, w in zip(terms, weights)])
 
@@ -84,10 +112,10 @@ def savgol(values: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
-        return in_pieces(smoothed_batch, batch)
+        return in_pieces(_rounded_batch, batch)
 
     # "nondeterministic" keeps the optimizer from running it again for every use
-    return F.transform(run.asNondeterministic()(values.cast("array<double>")), lambda v: F.round(v, DIGITS))
+    return run.asNondeterministic()(values.cast("array<double>"))
 
 
 def peaks(smoothed: Column) -> Column:

@@ -1,5 +1,6 @@
 """Steps that run on whole Arrow batches: the same values as loops over each row, in bounded memory."""
 
+import math
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boxscan import constants as K
 from boxscan.functions import sequences as S
-from boxscan.functions.signals import HALF, savgol_weights, smoothed_batch
+from boxscan.functions.signals import DIGITS, HALF, rounded, savgol, savgol_weights, smoothed_batch
 from boxscan.operators import features, scoring
 from boxscan.sources import tables
 
@@ -160,3 +161,25 @@ def test_pieces_of_a_batch_give_the_whole(monkeypatch):
     monkeypatch.setattr(S, "ROWS", 4)
     assert S.in_pieces(run, values, size).to_pylist() == whole and max(seen[1:]) == 4
     assert S.in_pieces(run, values.slice(0, 0), size.slice(0, 0)).to_pylist() == []
+
+
+def test_rounded_as_spark_rounds(spark):
+    """Halves by their decimal digits, signs of zero, large numbers and none at all."""
+    rng = np.random.default_rng(4)
+    values = [0.0, -0.0, 5e-10, -5e-10, 4.9e-10, 1.5e-9, 2.5e-9, -2.5e-9, 0.1 + 0.2, 1.0000000005, 1.0000000015,
+              123456.7890123455, 1e12 + 0.0001220703125, 2.0 ** 53 + 2, 1e300, -1e-300, math.nan, math.inf, -math.inf]
+    values += ((rng.integers(-10 ** 9, 10 ** 9, 200) * 10 + 5) / 1e10).tolist() + rng.normal(0, 1, 200).tolist()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    want = [r.v for r in df.select("i", F.round("v", DIGITS).alias("v")).orderBy("i").collect()]
+    assert [repr(v) for v in rounded(np.array(values)).tolist()] == [repr(v) for v in want]
+
+
+def test_savgol_rounds_in_its_batches(spark):
+    """The rounding is part of the Arrow batch: no lambda visits the points of a signal in the JVM."""
+    df = spark.createDataFrame([([0.1 * k for k in range(12)],), ([1.0, None] + [2.0] * 12,), ([1.0],), (None,)], "v array<double>")
+    out = df.select(savgol(F.col("v")).alias("s"))
+    assert "transform" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.s for r in out.collect()]
+    raw = smoothed_batch(pa.array([r.v for r in df.collect()], pa.list_(pa.float64()))).to_pylist()
+    want = [None if s is None else [None if x is None else rounded(np.array([x]))[0] for x in s] for s in raw]
+    assert got == want and got[2] is None and None in got[1]
