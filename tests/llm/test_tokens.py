@@ -57,6 +57,50 @@ def test_bpe_words_of_earlier_blocks(plain, monkeypatch):
         assert got == {d: plain.encode_ordinary(t) for d, t in rows}
 
 
+def test_bpe_words_in_rows(plain, monkeypatch):
+    """The JVM gets a block in rows of few words; only its last row has the texts."""
+    rows = [(k, f"{prose(k, 30)}\nown{k}") for k in range(40)] + [(40, "a  b "), (41, ""), (42, None)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in rows], "text": pa.array([t for _, t in rows])})
+    pieces = {i: piece for piece, i in RANKS.items()}
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 4000)
+    monkeypatch.setattr(bpe, "ROW_WORDS", 16)
+    blocks = list(bpe._blocks(iter([docs]), RANKS, public_tokenizers.PATTERN, "text"))
+    cut = list(bpe._in_rows(iter(blocks)))
+    sizes = [len(b.column("words")[0]) for b in cut]
+    assert max(sizes) == 16 and sum(sizes) == sum(len(b.column("words")[0]) for b in blocks)
+    assert sum(b.column("rows")[0].is_valid for b in cut) == len(blocks) < len(cut) / 10
+    done = [pa.RecordBatch.from_arrays(
+        [*b.columns, pa.array([[plain._encode_single_piece(b"".join(pieces[i] for i in w))
+                                for w in b.column("words")[0].as_py()]], pa.list_(pa.list_(pa.int32())))],
+        names=[*b.schema.names, "word_ids"]) for b in cut]
+    got = {d: ids for out in bpe._assembled(iter(done)) for d, ids in zip(
+        out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), strict=True)}
+    assert got == {d: plain.encode_ordinary(t or "") for d, t in rows}
+
+
+def test_bpe_decodes_in_the_same_pass(spark):
+    """The bytes of every text, in place of a column of that name."""
+    out = bpe.encode(odd(spark), RANKS, public_tokenizers.PATTERN, decoded="found")
+    got = {r.node: (bytes(r.found), bytes(r.back)) for r in out.withColumn("back", bpe.decode(F.col("ids"), RANKS)).collect()}
+    assert got == {row[-2]: ((row[1] or "").encode(),) * 2 for row in odd_rows()}
+
+
+def test_bpe_odd_white_space():
+    """Every character that the pattern takes for white space is seen, alone between words or not."""
+    other = [chr(c) for c in range(0x3100) if bpe.OTHER_SPACE.match(chr(c))]
+    assert len(other) == 23 and not set(other) & {" ", "\n", "\x1c", "\x1d", "\x1e", "\x1f"}
+    assert all(bpe._odd_space(f"a{c}b") for c in [*other, "  ", "\n\n", " \n", "\n "])
+    assert all(bpe._odd_space(x) for x in (" a", "a ", "\na", "a\n", " "))
+    assert not any(bpe._odd_space(x) for x in ("a", "a b", "a\nb c", "a\x1cb", "日 本"))
+
+
+def test_bpe_half_partitions(spark):
+    docs = spark.range(400, numPartitions=8 * spark.sparkContext.defaultParallelism)
+    half = bpe.half_partitions(docs)
+    assert half.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and half.distinct().count() == 400
+    assert bpe.half_partitions(spark.range(9, numPartitions=3)).rdd.getNumPartitions() == 3
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
