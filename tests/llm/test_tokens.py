@@ -101,6 +101,29 @@ def test_bpe_half_partitions(spark):
     assert bpe.half_partitions(spark.range(9, numPartitions=3)).rdd.getNumPartitions() == 3
 
 
+def test_bpe_small_arrow_batches(spark):
+    """A table of 12 MB in one partition comes in small batches, unless the session has its own limit."""
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab ', 2000)").alias("text"))
+
+    def sizes():
+        found = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        return [r.n for r in found.collect()]
+
+    before = spark.conf.get(bpe.BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(bpe.BATCH_LIMIT)
+        assert len(sizes()) == 1
+        bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+        assert len(sizes()) > 4 and max(sizes()) < 2 * bpe.BATCH_BYTES
+        spark.conf.set(bpe.BATCH_LIMIT, "1m")
+        bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+        assert max(sizes()) < bpe.BATCH_BYTES
+    finally:
+        spark.conf.unset(bpe.BATCH_LIMIT)
+        if before is not None:
+            spark.conf.set(bpe.BATCH_LIMIT, before)
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
