@@ -16,6 +16,9 @@ are further candidates only.  A neighbourhood is a set, so no pair comes twice.
 Forms point at a word of five times the count, so a chain has fewer than 27
 links, and pointer doubling ends after five rounds at most.
 
+Neighbourhoods and pointers are joined by key, never by broadcast: Spark sizes
+them by the files of the words they come from, which says little of their rows.
+
 Defined results: null or empty texts have no words; a null doc_id hashes as an
 empty one; every occurrence in repeated rows counts; ties go to the least word
 in code-point order; other columns are not read, so names cannot clash; an empty
@@ -158,7 +161,7 @@ def near_pairs(words: DataFrame, how: Spelling) -> DataFrame:
     known = words.select("word", "n").mapInArrow(_own(how.symbols), "code long, word string, n long")
     known = known.select("code", F.col("word").alias("near"), F.col("n").alias("near_n"))
     one_edit = F.levenshtein(F.col("word"), F.col("near"), 1) == 1
-    return around.join(known, (around.code == known.code) & one_edit).select("word", "near", "near_n")
+    return around.join(known.hint("merge"), (around.code == known.code) & one_edit).select("word", "near", "near_n")
 
 
 def with_forms(words: DataFrame, how: Spelling) -> DataFrame:
@@ -180,7 +183,7 @@ def roots(formed: DataFrame) -> DataFrame:
     at = formed.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
     while True:
         onward = at.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        step = at.join(onward, "root", "left")
+        step = at.join(onward.hint("merge"), "root", "left")
         at = stage(step.select("word", F.coalesce("beyond", "root").alias("root"), "beyond"), "spelling-roots")
         if at.where(F.col("beyond").isNotNull()).isEmpty():
             return at.select("word", "root")
@@ -191,6 +194,6 @@ def group(docs: DataFrame, how: Spelling = Spelling(), doc_id: str = "doc_id", t
     """word, form, root, n, n_near, form_n of every word of the vocabulary."""
     words = stage(vocabulary(docs, how, doc_id, text), "spelling-words")
     formed = stage(with_forms(words, how), "spelling-forms")
-    return formed.join(roots(formed), "word", "left").select(
+    return formed.join(roots(formed).hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

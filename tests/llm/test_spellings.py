@@ -10,6 +10,7 @@ from helpers import FOLDER, LOWER, empty, odd, odd_rows
 
 from boxscan.llm import spellings
 from boxscan.llm.queries import LLM_QUERIES
+from boxscan.session import stage
 
 
 def one_edit(a, b):
@@ -110,3 +111,15 @@ def test_neighbourhood_is_whole():
             near |= {(*w[:i], s, *w[i:]) for i in range(length + 1) for s in (1, 2, 3)}
             want = {int(spellings.own_code(np.array([x], np.uint64).reshape(1, len(x)))[0]) for x in near}
             assert set(codes.tolist()) == want
+
+
+def test_neighbourhoods_and_pointers_are_never_broadcast(spark):
+    words = [("kingdom", 5), ("kingdoms", 25), ("kingdomsa", 125)]
+    table = stage(spark.createDataFrame(words, "word string, n long"), "few-words")
+    pairs = spellings.near_pairs(table, spellings.Spelling())
+    docs = spark.createDataFrame([(k, " ".join([w] * n)) for k, (w, n) in enumerate(words)], "doc_id long, text string")
+    for df in (pairs, spellings.group(docs, spellings.Spelling(typo_every=0))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in pairs.collect()} == {
+        (a, b, n) for a, _ in words for b, n in words if abs(len(a) - len(b)) == 1}
