@@ -5,12 +5,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from boxscan.llm import chat, importance, mixing, pii, quality_rules, top_k
 from boxscan.llm.queries import LLM_QUERIES
+from boxscan.session import stage
 from helpers import FOLDER, components, empty, odd, odd_rows, prose
 
 TURNS = "conv_id long, turn long, role string, text string, segments string"
@@ -236,6 +238,39 @@ def test_top_k_repeated_query_with_an_invalid_vector(spark):
     assert sorted(got) == [(20, 1, 2, 7), (20, 2, 1, 5)]
 
 
+def test_top_k_goes_by_key(spark):
+    """The copies of query tiles are sized like the tiles, so they must not be broadcast."""
+    v = stage(spark.createDataFrame([(i, [i % 7.0, i % 5.0]) for i in range(200)], "id long, vector array<double>"), "few-vectors")
+    found = top_k.search(v, v.where("id % 20 = 0"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [column") == 1 and plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [tile") == 1
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+    want = [
+        (q, k + 1, i) for q in range(0, 200, 20)
+        for k, (_, i) in enumerate(sorted((-((q % 7) * (i % 7) + (q % 5) * (i % 5)), i) for i in range(200) if i != q)[:3])]
+    assert got == want
+
+
+def test_top_k_lists_of_many_tiles():
+    """Lists kept from tile to tile equal a plain search, also with ties, repeated ids and long numbers."""
+    rng = np.random.default_rng(5)
+    for top in (1, 2, 90, 5000, 1 << 22, 1 << 30):
+        for k in (1, 6):
+            asked, a = rng.choice(60, 15, replace=False), rng.integers(-top, top + 1, (15, 4)).astype(float)
+            lists, met = top_k.Lists(asked, k), []
+            for n in (70, 3, 40, 120):
+                names, b = np.sort(rng.integers(0, 60, n)), rng.integers(-top, top + 1, (n, 4)).astype(float)
+                ids, cells, dim = next(top_k._tiles(iter([pa.record_batch([pa.array(names), pa.array(b.tolist())], ["id", "v"])]), 1))
+                lists.meet(a, *top_k._matrix(ids[0].as_py(), cells[0].as_py(), dim[0].as_py()))
+                met += zip(names.tolist(), b.astype(np.int64).tolist(), strict=True)
+            want = []
+            for q, x in zip(asked.tolist(), a.astype(np.int64).tolist(), strict=True):
+                scored = sorted((-sum(c * d for c, d in zip(x, y, strict=True)), i) for i, y in met if i != q)
+                want += [(q, i, -s) for s, i in scored[:k]]
+            got = zip(asked[lists.line].tolist(), lists.name.tolist(), lists.score.tolist(), strict=True)
+            assert sorted(got) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, out = spark.read.parquet(f"{FOLDER}/documents.parquet"), []
