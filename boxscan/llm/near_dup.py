@@ -15,10 +15,17 @@ Groups of copies of any size are handled without listing pairs:
    the pivots of its buckets: a star, linear in the nodes.
 3. Only where a pivot's neighbourhood still holds several components, its nodes
    outside the pivot's component (even a single one) are compared with all of
-   it, block by block.
-   Two candidates are then in one component or were compared, so no link
+   it.  Two candidates are then in one component or were compared, so no link
    between components is lost.
-
+4. A neighbourhood of more than a few nodes (often documents that share little
+   but a common passage) is first cut by rare shingles: of two sets that are
+   alike enough each holds their rarest common shingle among its rarest
+   ``size - least overlap + 1``, so nodes meet in the groups of those alone.
+   Shingles of the same nodes count once.  Where such a shingle is still held by
+   many, as in a large group of copies, or one of its nodes would meet in many
+   groups, its nodes meet in the pivot's neighbourhood instead.
+
+Groups are compared block by block; many small ones share a call.
 All tables between the steps are written to the shared folder.
 
 Defined results: lower case is A-Z only; a text with fewer words than a shingle
@@ -34,21 +41,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxscan.llm.hashing import mix, slices, word_hashes
-from boxscan.session import stage
+from boxscan.session import stage, task_count
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA = 26
 BAND = 4
 EMPTY = np.uint32(0xFFFFFFFF)
-#: Nodes in a block of a comparison.
+#: Nodes in a block of a comparison, and rows of a call of it, about.
 BLOCK = 512
+CALL = 512
+#: Nodes of a neighbourhood that all meet, or that meet for a rare shingle's sake, at most.
+FEW = 32
+#: Groups by rare shingles that a node is in, at most.
+MEETINGS = 16
+#: Pairs whose registers are compared at once.
+PAIRS = 1 << 14
 #: The estimate may fall short of the bound by so many standard deviations.
 SLACK = 5.5
 
@@ -167,66 +181,126 @@ def _with_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             yield out.filter(pa.array(own))
 
 
-def _compared(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the nodes of two blocks that belong to different components."""
-    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    if not len(left) or not len(right):
-        return none
-    nodes, comps = right.node.to_numpy(), right.comp.to_numpy()
-    regs = np.stack([np.frombuffer(x, "<u4") for x in right.regs])
-    sets = [np.frombuffer(x, "<u8") for x in right.members]
-    sizes = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    bound = percent / 100
-    floor = bound - SLACK * (bound * (1 - bound) / REGISTERS) ** 0.5
-    joined: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while c in joined:
-            c = joined[c]
-        return c
-
-    found = []
-    for row in left.itertuples():
-        own, one = np.frombuffer(row.members, "<u8"), np.frombuffer(row.regs, "<u4")
-        fit = (comps != row.comp) & (nodes != row.node)
-        fit &= (np.minimum(sizes, len(own)) * 100 >= percent * np.maximum(sizes, len(own)))
-        either = ((regs != EMPTY) | (one != EMPTY)).sum(1)
-        # few registers tell little, so small sets go straight to the exact check
-        fit &= (either < REGISTERS // 2) | (estimate(regs, one, sizes, len(own)) >= floor)
-        if not fit.any():
-            continue
-        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-        length = hi - lo
-        upto = np.cumsum(length)
-        take = np.repeat(lo - (upto - length), length) + np.arange(upto[-1])
-        shared = np.bincount(owner[take], minlength=len(sets))
-        for k in np.flatnonzero(fit & (100 * shared >= percent * (sizes + len(own) - shared))):
-            a, b = root(row.comp), root(int(comps[k]))
-            if a != b:
-                joined[max(a, b)] = min(a, b)
-                found.append((row.node, int(nodes[k])))
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64) if found else none
-
-
-def _links(left: DataFrame, right: DataFrame, sets: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Links found in the cells (pivot, i, j), each holding a block of either side."""
+def _column(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binary cells, one after another, and how many each has."""
+    cells = table.column(name).to_pylist()
+    flat = np.frombuffer(b"".join(cells), kind)
+    return flat, np.fromiter(map(len, cells), np.int64, len(cells)) // flat.itemsize
+
+
+def _cell_numbers(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = [np.stack([np.asarray(t.column(c)).astype(np.int64) for c in ("pivot", "i", "j")], axis=1) for t in (left, right)]
+    number = np.unique(np.concatenate(keys), axis=0, return_inverse=True)[1].reshape(-1)
+    return number[:len(left)], number[len(left):]
+
+
+def _compared(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links between nodes of the two sides of each cell that belong to different components.
+
+    A link between components that other links of the call join is left out.
+    """
+    found: tuple[list[int], list[int]] = ([], [])
+    if len(left) and len(right):
+        cell, r_cell = _cell_numbers(left, right)
+        right = right.take(pa.array(np.argsort(r_cell, kind="stable")))
+        r_cell = np.sort(r_cell)
+        node, r_node = (np.asarray(t.column("node")) for t in (left, right))
+        _, comp = np.unique(np.concatenate([np.asarray(t.column("comp")) for t in (left, right)]), return_inverse=True)
+        comp, r_comp = comp[:len(left)], comp[len(left):]
+        label = np.arange(max(comp.max(), r_comp.max()) + 1)
+        (value, size), (r_value, r_size) = (_column(t, "members", "<u8") for t in (left, right))
+        regs, r_regs = (_column(t, "regs", "<u4")[0].reshape(-1, REGISTERS) for t in (left, right))
+        begin, r_begin = (np.cumsum(x) - x for x in (size, r_size))
+        bound = percent / 100
+        floor = bound - SLACK * (bound * (1 - bound) / REGISTERS) ** 0.5
+        lo = np.searchsorted(r_cell, cell, "left")
+        width = np.searchsorted(r_cell, cell, "right") - lo
+        upto = np.cumsum(width)
+        at = 0
+        while at < len(left):
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] - width[at] + PAIRS, "right")))
+            a = np.repeat(np.arange(at, stop), width[at:stop])
+            b = np.arange(len(a)) + np.repeat(lo[at:stop] - (upto[at:stop] - width[at:stop] - (upto[at] - width[at])), width[at:stop])
+            at = stop
+            fit = np.flatnonzero(
+                (label[comp[a]] != label[r_comp[b]]) & (node[a] != r_node[b])
+                & (np.minimum(size[a], r_size[b]) * 100 >= percent * np.maximum(size[a], r_size[b])))
+            a, b = a[fit], b[fit]
+            one, other = regs[a], r_regs[b]
+            # few registers tell little, so small sets go straight to the exact check
+            fit = ((one & other) != EMPTY).sum(1) < REGISTERS // 2
+            fit |= estimate(other, one, r_size, 0) >= floor
+            a, b = a[fit], b[fit]
+            for k in np.flatnonzero(np.diff(a, prepend=-1)):
+                own = a[k]
+                near = b[k:np.searchsorted(a, own, "right")]
+                near = near[label[r_comp[near]] != label[comp[own]]]
+                if not len(near):
+                    continue
+                mine = value[begin[own]:begin[own] + size[own]]
+                sizes = r_size[near]
+                ends = np.cumsum(sizes)
+                theirs = r_value[np.repeat(r_begin[near] - (ends - sizes), sizes) + np.arange(ends[-1])]
+                place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                shared = np.add.reduceat((mine[place] == theirs).astype(np.int64), ends - sizes)
+                for x in near[100 * shared >= percent * (sizes + len(mine) - shared)]:
+                    ends_at = label[comp[own]], label[r_comp[x]]
+                    if ends_at[0] != ends_at[1]:
+                        label[label == max(ends_at)] = min(ends_at)
+                        found[0].append(int(node[own]))
+                        found[1].append(int(r_node[x]))
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
+def _links(left: DataFrame, right: DataFrame, rows: int, sets: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+    """Links found in the cells (pivot, i, j), each holding a block of either side; some ``rows`` in all."""
+    calls = max(-(-rows // CALL), task_count(sets.sparkSession))
+
     def full(side: DataFrame) -> DataFrame:
         rows = side.join(sets, "node")
         label = F.col("node")
         if comps is not None:
             rows, label = rows.join(comps, "node", "left"), F.coalesce("label", "node")
-        rows = rows.select("pivot", "i", "j", "node", "regs", "members", label.alias("comp"))
+        call = F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(calls)).alias("call")
+        rows = rows.select("pivot", "i", "j", "node", "regs", "members", label.alias("comp"), call)
         return rows.toDF(*rows.columns)  # columns of its own, as both sides come from the same tables
 
-    cell = ["pivot", "i", "j"]
-    return full(left).groupBy(*cell).cogroup(full(right).groupBy(*cell)).applyInPandas(
+    return full(left).groupBy("call").cogroup(full(right).groupBy("call")).applyInArrow(
         lambda a, b: _compared(a, b, percent), "a bigint, b bigint")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        value, counts = _column(pa.Table.from_batches([batch]), "members", "<i8")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(value), pa.array(np.repeat(np.asarray(batch.column(0)), counts)), pa.array(np.repeat(counts, counts))],
+            names=["shingle", "node", "size"])
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, node: two of the sets (node, members) that are alike enough have one of these in common.
+
+    Shingles are ordered by the sets that hold them, the rarest first.  A set of n shingles shares
+    at least ``ceil(n * percent / 100)`` with another, so its first shingle that both hold is among
+    its first ``n - that + 1``; those that no other set holds need no row.
+    """
+    rows = sets.select("node", "members").mapInArrow(_shingles, "shingle bigint, node bigint, size bigint")
+    rows = rows.withColumn("n", F.count("*").over(W.partitionBy("shingle"))).where("n > 1")
+    rank = F.row_number().over(W.partitionBy("node").orderBy("n", "shingle"))
+    shared = F.count("*").over(W.partitionBy("node"))
+    least = F.expr(f"(size * {percent} + 99) div 100")
+    return rows.withColumn("rank", rank).withColumn("spare", shared - least + 1).where("rank <= spare").select("shingle", "node")
+
+
+def _open(around: DataFrame, nodes: int) -> DataFrame:
+    """The groups of (pivot, node, apart) that hold nodes apart and so many nodes at least, and their blocks."""
+    return around.groupBy("pivot").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.count(F.when(F.col("apart"), 1)) / BLOCK).cast("int").alias("sides"),
+        F.count(F.when(F.col("apart"), 1)).alias("n_apart"), F.count("*").alias("n_nodes"),
+    ).where((F.col("n_apart") > 0) & (F.col("n_nodes") >= nodes))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that is reachable, for every node with a link.
 
@@ -287,7 +361,7 @@ def near_duplicates(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
     star_right = pairs.join(crowd, "pivot").select("pivot", F.lit(0).alias("i"), block.alias("j"), "node")
     star_left = crowd.select(
         "pivot", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("pivot").alias("node"))
-    links = stage(_links(star_left, star_right, sets, None, how.percent), "links")
+    links = stage(_links(star_left, star_right, 2 * pairs.count(), sets, None, how.percent), "links")
     labels = components(links)
 
     # what a pivot's neighbourhood still holds apart from the pivot's component
@@ -296,19 +370,37 @@ def near_duplicates(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
     around = stage(
         found.join(of_pivot, "pivot", "left")
         .select("node", "pivot", (F.col("comp") != F.coalesce("pivot_label", "pivot")).alias("apart")), "around")
-    open_pivots = stage(
-        around.groupBy("pivot").agg(
-            F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
-            F.ceil(F.count(F.when(F.col("apart"), 1)) / BLOCK).cast("int").alias("sides"),
-            F.count(F.when(F.col("apart"), 1)).alias("n_apart"), F.count("*").alias("n_nodes"),
-        ).where("n_apart > 0 AND n_nodes > 2"), "open")  # a single node apart meets the others too
-    rest = around.join(open_pivots, "pivot")
+    open_pivots = stage(_open(around, 3), "open")  # a single node apart meets the others too
+    rest = around.join(open_pivots.where(F.col("n_nodes") <= FEW), "pivot")
+    crowds = open_pivots.where(F.col("n_nodes") > FEW)
+    if not crowds.isEmpty():
+        nearby = around.join(crowds.select("pivot"), "pivot").select("node").distinct()
+        rare = stage(rare_shingles(sets.join(nearby, "node"), how.percent), "rare")
+        once = rare.groupBy("shingle").agg(
+            F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"print{k}") for k in (1, 2))
+        ).where("n > 1").groupBy("n", *prints).agg(F.min("shingle").alias("shingle")).select("shingle")
+        found = rare.join(once, "shingle").join(labels, "node", "left").select(
+            "node", F.col("shingle").alias("pivot"), F.coalesce("label", "node").alias("comp"))
+        main = found.groupBy("pivot", "comp").agg(F.count("*").alias("n")).groupBy("pivot").agg(
+            F.max(F.struct("n", (-F.col("comp")).alias("least"))).alias("main")).select("pivot", (-F.col("main.least")).alias("main"))
+        holders = stage(found.join(main, "pivot").select("node", "pivot", (F.col("comp") != F.col("main")).alias("apart")), "holders")
+        held = stage(_open(holders, 2), "held")
+        few = holders.join(held.where(F.col("n_nodes") <= FEW), "pivot")
+        busy = few.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > MEETINGS).select("node")
+        many = held.where(F.col("n_nodes") > FEW).select("pivot")
+        dense = stage(few.join(busy, "node").select("pivot").union(many).distinct(), "dense")
+        rest = rest.unionByName(few.join(dense, "pivot", "left_anti"))
+        common = holders.join(dense, "pivot").select("node").distinct()
+        crowd = stage(around.join(crowds.select("pivot"), "pivot").join(common, "node").select("node", "pivot", "apart"), "crowd")
+        rest = rest.unionByName(crowd.join(stage(_open(crowd, 2), "open"), "pivot"))
+    rest = stage(rest, "rest")
+    rows = rest.agg(F.coalesce(F.sum(F.col("sides") + F.when(F.col("apart"), F.col("blocks")).otherwise(0)), F.lit(0)).alias("n")).first().n
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     left = rest.where("apart").select(
         "pivot", side.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node")
     right = rest.select(
         "pivot", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("i"), block.alias("j"), "node")
-    more = stage(_links(left, right, sets, labels, how.percent), "links")
+    more = stage(_links(left, right, rows, sets, labels, how.percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -60,6 +60,55 @@ def test_near_duplicates_single_node_apart(spark):
     check_components(spark, rows, near_dup.Likeness(words=1, percent=85))
 
 
+def passages(n):
+    """Short texts that share one passage, every tenth with a near copy."""
+    rows = []
+    for k in range(n):
+        text = f"the common words of them all {' '.join(f't{k}w{i}' for i in range(24))}"
+        rows += [(2 * k, text)] + [(2 * k + 1, f"{text} more")] * (k % 10 == 0)
+    return rows
+
+
+def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
+    """Texts that share little are not all compared with one another, however many share a bucket."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    sides, links = [], near_dup._links
+    monkeypatch.setattr(near_dup, "_links", lambda left, right, *more: sides.append((left, right)) or links(left, right, *more))
+    check_components(spark, passages(200), near_dup.Likeness(words=3, percent=85))
+    compared = [left.join(right.withColumnRenamed("node", "other"), ["pivot", "i", "j"]).count() for left, right in sides]
+    assert len(compared) == 2 and max(compared) < 4 * 220
+
+
+@pytest.mark.parametrize(("few", "meetings"), [(4, 16), (100, 1)])
+def test_near_duplicates_of_a_common_passage_and_copies(spark, monkeypatch, few, meetings):
+    """Groups of copies that share the passage: too many for a rare shingle's sake, or in too many groups."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "MEETINGS", meetings)
+    rng = random.Random(3)
+    rows = passages(60)
+    for g in range(4):
+        base = f"the common words of them all {' '.join(f'g{g}w{i}' for i in range(40))}".split()
+        rows += [(1000 + 100 * g + k, edited(base, rng.randrange(4), rng)) for k in range(25)]
+    check_components(spark, rows, near_dup.Likeness(words=3, percent=85))
+
+
+def test_rare_shingles_meet(spark):
+    """Two sets that are alike enough have a rare shingle in common."""
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 85, 100):
+        bases = [rng.integers(0, 300, 40) for _ in range(6)]
+        sets = [set(b[rng.random(40) < 0.95].tolist()) | set(rng.integers(0, 300, 2).tolist()) for b in bases for _ in range(10)]
+        rows = [(k, bytearray(np.array(sorted(x), "<u8").tobytes())) for k, x in enumerate(sets)]
+        found = near_dup.rare_shingles(spark.createDataFrame(rows, "node long, members binary").repartition(3), percent).collect()
+        rare = [{r.shingle for r in found if r.node == k} for k in range(len(sets))]
+        for a in range(len(sets)):
+            assert rare[a] <= sets[a]
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    assert rare[a] & rare[b]
+
+
 def test_near_duplicates_odd_rows(spark):
     how = near_dup.Likeness(words=3, percent=85)
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dup.near_duplicates(odd(spark), how).collect())
