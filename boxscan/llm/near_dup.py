@@ -257,7 +257,7 @@ def _links(left: DataFrame, right: DataFrame, rows: int, sets: DataFrame, comps:
     calls = max(-(-rows // CALL), task_count(sets.sparkSession))
 
     def full(side: DataFrame) -> DataFrame:
-        rows = side.join(sets, "node")
+        rows = side.join(sets.hint("merge"), "node")  # Spark sizes a side without the copies that it holds
         label = F.col("node")
         if comps is not None:
             rows, label = rows.join(comps, "node", "left"), F.coalesce("label", "node")

@@ -72,11 +72,19 @@ def passages(n):
 def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
     """Texts that share little are not all compared with one another, however many share a bucket."""
     monkeypatch.setattr(near_dup, "BLOCK", 16)
-    sides, links = [], near_dup._links
-    monkeypatch.setattr(near_dup, "_links", lambda left, right, *more: sides.append((left, right)) or links(left, right, *more))
+    sides, plans, links = [], [], near_dup._links
+
+    def seen(left, right, *more):
+        found = links(left, right, *more)
+        sides.append((left, right))
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(near_dup, "_links", seen)
     check_components(spark, passages(200), near_dup.Likeness(words=3, percent=85))
     compared = [left.join(right.withColumnRenamed("node", "other"), ["pivot", "i", "j"]).count() for left, right in sides]
     assert len(compared) == 2 and max(compared) < 4 * 220
+    assert "Inner, Build" not in plans[1]  # the copies that a side holds are not broadcast
 
 
 @pytest.mark.parametrize(("few", "meetings"), [(4, 16), (100, 1)])
